@@ -19,6 +19,8 @@ WHITE = "".join(map(chr, WHITE_POINTS))
 LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Texts that a split at single blanks and line ends would not cut like LEADING.
 UNEVEN = re.compile(f"[{WHITE}][{WHITE}]|\0")
+#: Marks that end a run of letters in both tokenizers' patterns (an apostrophe may not).
+MARKS = "!#$%&*+,-./:;=?@|~)"
 #: Distinct pieces kept by a worker; about 170 MB. A full cache is emptied.
 CACHE_PIECES = 800_000
 #: Distinct new pieces in one call of the tokenizer.
@@ -52,7 +54,20 @@ class Encoder:
             return key
         return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
+    def _stem(self, key: str) -> tuple[str, str]:
+        """A word and the marks after it, if a key is just that: the tokenizers' patterns part them."""
+        stem = key.rstrip(MARKS)
+        return (stem.lower() if self.drops_white and stem.isascii() else stem, key[len(stem) :]) if stem.isalpha() else (key, "")
+
     def _learn(self, keys: list[str]) -> None:
+        parted = [self._stem(x) for x in keys]
+        ends = "" if self.drops_white else "\0"
+        self._encode({x for x, _ in parted}.union(ends + x for _, x in parted if x).difference(self.cache))
+        get = self.cache.__getitem__
+        self.cache.update([(key, get(stem) + get(ends + tail) if tail else get(stem)) for key, (stem, tail) in zip(keys, parted, strict=True)])
+
+    def _encode(self, keys: set[str]) -> None:
+        keys = list(keys)
         for at in range(0, len(keys), CALL_PIECES):
             part = keys[at : at + CALL_PIECES]
             texts = [self.real(x) for x in part]
