@@ -7,8 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelyard.llm import packing
-from pixelyard.llm.common import table
+from pixelyard.llm import packing, simhash, token_store
+from pixelyard.llm.common import staged_path, table
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staged_path(spark, "token-store")
+    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return token_store.read(spark, path, with_ids=False)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +26,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
+    "op7_token_store": op7_token_store,
     "op9_packing": op9_packing,
 }
 
