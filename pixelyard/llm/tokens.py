@@ -1,15 +1,15 @@
 """Whole-text encoding with a public tokenizer, a cached piece at a time.
 
 A text is cut where its white space makes the rest independent of what came before; every distinct
-piece is encoded once per worker by the tokenizers library, many in one call with a special token
-between them, and the pieces' ids are joined. The ids equal those of the whole text.
+piece is encoded once per worker by the tokenizers library, a plain word by its model alone, and the
+pieces' ids are joined. The ids equal those of the whole text.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: The code points of Unicode's White_Space, which the tokenizers' patterns call \s.
@@ -21,10 +21,31 @@ LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 UNEVEN = re.compile(f"[{WHITE}][{WHITE}]|\0")
 #: Marks that end a run of letters in both tokenizers' patterns (an apostrophe may not).
 MARKS = "!#$%&*+,-./:;=?@|~)"
+#: Letters up to here have one form only, so that a word of them goes straight to the model.
+PLAIN = chr(0x17F)
 #: Distinct pieces kept by a worker; about 170 MB. A full cache is emptied.
 CACHE_PIECES = 800_000
-#: Distinct new pieces in one call of the tokenizer.
-CALL_PIECES = 4_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level BPE: the byte's own if it's visible, else the next free one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class Pieces(dict):
+    """Ids by piece; a new one is encoded when it's looked up."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self[key] = self.encode(key)
+        return ids
 
 
 class Encoder:
@@ -32,11 +53,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.drops_white = not self.tokenizer.encode(" \n ", add_special_tokens=False).ids
-        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.between, self.between_id = min(added.items(), key=lambda x: x[1])
-        self.marks = tuple(added)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Pieces(self._piece)
 
     def cut(self, text: str) -> list[str]:
         """Keys of the text's pieces; see ``real``."""
@@ -54,45 +73,28 @@ class Encoder:
             return key
         return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
-    def _stem(self, key: str) -> tuple[str, str]:
-        """A word and the marks after it, if a key is just that: the tokenizers' patterns part them."""
-        stem = key.rstrip(MARKS)
-        return (stem.lower() if self.drops_white and stem.isascii() else stem, key[len(stem) :]) if stem.isalpha() else (key, "")
-
-    def _learn(self, keys: list[str]) -> None:
-        parted = [self._stem(x) for x in keys]
-        ends = "" if self.drops_white else "\0"
-        self._encode({x for x, _ in parted}.union(ends + x for _, x in parted if x).difference(self.cache))
-        get = self.cache.__getitem__
-        self.cache.update([(key, get(stem) + get(ends + tail) if tail else get(stem)) for key, (stem, tail) in zip(keys, parted, strict=True)])
-
-    def _encode(self, keys: set[str]) -> None:
-        keys = list(keys)
-        for at in range(0, len(keys), CALL_PIECES):
-            part = keys[at : at + CALL_PIECES]
-            texts = [self.real(x) for x in part]
-            joined = self.between.join(texts)
-            if joined.count(self.between) >= len(texts) or any(m in joined for m in self.marks if m != self.between):
-                for key, text in zip(part, texts, strict=True):  # a text that holds a special token's name
-                    self.cache[key] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.between_id), len(ids))
-            if len(ends) != len(part):
-                raise RuntimeError("the tokenizer joined pieces across its special token")
-            raw, starts = ids.tobytes(), [0, *(4 * ends[:-1] + 4).tolist()]
-            self.cache.update(zip(part, [raw[a:b] for a, b in zip(starts, (4 * ends).tolist(), strict=True)], strict=True))
+    def _piece(self, key: str) -> bytes:
+        word = key.rstrip(MARKS)
+        if not word.isalpha() or max(word) > PLAIN or "\u0130" in word:
+            return array("I", self.tokenizer.encode(self.real(key), add_special_tokens=False).ids).tobytes()
+        if len(word) < len(key):  # a word and the marks after it: the patterns part them
+            tail = key[len(word) :]
+            return self.cache[word] + self.cache[tail if self.drops_white else "\0" + tail]
+        if self.drops_white:
+            low = word.lower()
+            if low != word:
+                return self.cache[low]
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        else:
+            letters = BYTE_LETTERS[32] + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS))
+        return array("I", [x.id for x in self.tokenize(letters)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        cut = [self.cut(x) if x else [] for x in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        new = set().union(*cut).difference(self.cache)
-        if new:
-            self._learn(list(new))
         get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        return [b"".join(map(get, self.cut(x))) if x else b"" for x in texts]
 
 
 _encoders: dict[str, Encoder] = {}
