@@ -59,6 +59,8 @@ class Words:
     """of each word, counted from ``first``"""
     begin: np.ndarray
     """index of each text's first word; one more entry at the end"""
+    at: np.ndarray
+    """byte at which each text begins; one more entry at the end"""
 
     @property
     def counts(self) -> np.ndarray:
@@ -117,4 +119,4 @@ def words(column: pa.Array, kind: np.ndarray = ALNUM) -> Iterator[Words]:
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         doc = np.searchsorted(at, starts, side="right") - 1
         begin = np.searchsorted(doc, np.arange(last - first + 1), side="left")
-        yield Words(first, last, low, starts, ends, doc, begin)
+        yield Words(first, last, low, starts, ends, doc, begin, at)
