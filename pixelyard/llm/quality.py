@@ -137,6 +137,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs, add, type(schema)(list(schema.fields)).add("score", "double"))
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose scores reach ``THRESHOLD``; all columns stay, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(sent.value.scores(batch.column(place)) >= THRESHOLD))
+
+    return map_batches(docs, chosen, docs.schema)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each row of ``docs``."""
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))

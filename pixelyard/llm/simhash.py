@@ -32,6 +32,7 @@ SHINGLE, SEED = 3, 42
 #: Shingles whose bits are counted at once: 64 bytes each.
 BLOCK = 1 << 16
 
+_ROW = "_pixelyard_row"
 WIDTHS = [BITS // SEGMENTS + (i < BITS % SEGMENTS) for i in range(SEGMENTS)]
 STARTS = [sum(WIDTHS[:i]) for i in range(SEGMENTS)]
 #: Segments of a chain that must be equal: those whose budget is under one bit.
@@ -135,4 +136,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti")
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return kept.withColumn("_row", row).where((F.col("_row") == 1) | F.col("doc_id").isNull()).drop("_row")
+    return kept.withColumn(_ROW, row).where((F.col(_ROW) == 1) | F.col("doc_id").isNull()).drop(_ROW)
