@@ -1,10 +1,241 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables, and the SQL that checks them.
+
+The tables hold no images. Ground truth boxes come from ``lineitem``, detections are shifted copies
+with drops, duplicates and wrong classes, all by integer and double expressions that both engines
+evaluate alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelyard.functions.geometry import box
+from pixelyard.operators import curves, matching, summary
+from pixelyard.plans.params import AREAS, Params, coco_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PARAMS = Params()
+
+#: Ground truth and detections in SQL; the same text runs in both engines.
+GT_SQL = """
+ SELECT ann_id, image_id, category_id, x, y, w, h, w * h AS area, iscrowd FROM (
+  SELECT l_orderkey * 10 + l_linenumber AS ann_id, l_orderkey % 5000 AS image_id, min(l_partkey) % 5 AS category_id,
+         CAST((min(l_suppkey) * 37) % 400 AS DOUBLE) AS x, CAST((min(l_partkey) * 17) % 300 AS DOUBLE) AS y,
+         CAST(min(l_quantity) AS DOUBLE) + 8.0E0 AS w, CAST(min(l_quantity) AS DOUBLE) * 5.0E-1 + 1.0E1 AS h,
+         min(l_partkey) % 17 = 0 AS iscrowd
+  FROM lineitem GROUP BY l_orderkey, l_linenumber) g0"""
+DT_SQL = """
+ SELECT ann_id * 2 AS dt_id, image_id, CASE WHEN ann_id % 11 = 0 THEN (category_id + 1) % 5 ELSE category_id END AS category_id,
+        x + (ann_id % 7 - 3) AS x, y + (ann_id % 5 - 2) AS y, w, h, w * h AS area, CAST((ann_id * 7919) % 1000 AS DOUBLE) / 1.0E3 AS score
+ FROM gt WHERE ann_id % 6 <> 0
+ UNION ALL
+ SELECT ann_id * 2 + 1, image_id, category_id, x + 5.0E0, y + 4.0E0, w, h, w * h, CAST((ann_id * 104729) % 1000 AS DOUBLE) / 1.0E3
+ FROM gt WHERE ann_id % 9 = 0"""
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("double").alias("q"))
+    ann = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
+    w, h = F.col("q") + 8.0, F.col("q") * 0.5 + 10.0
+    x, y = ((F.col("s") * 37) % 400).cast("double"), ((F.col("p") * 17) % 300).cast("double")
+    return line.select(
+        ann.alias("ann_id"),
+        (F.col("l_orderkey") % 5000).cast("long").alias("image_id"),
+        (F.col("p") % 5).cast("long").alias("category_id"),
+        box(x, y, w, h).alias("bbox"),
+        (w * h).alias("area"),
+        (F.col("p") % 17 == 0).alias("iscrowd"),
+        F.lit(None).cast("boolean").alias("ignore"),
+        ann.alias("ord"),
+    )
+
+
+def detections(gt: DataFrame) -> DataFrame:
+    n, b = F.col("ann_id"), F.col("bbox")
+    shifted = gt.where(n % 6 != 0).select(
+        (n * 2).alias("dt_id"),
+        "image_id",
+        F.when(n % 11 == 0, (F.col("category_id") + 1) % 5).otherwise(F.col("category_id")).alias("category_id"),
+        box(b["x"] + (n % 7 - 3), b["y"] + (n % 5 - 2), b["w"], b["h"]).alias("bbox"),
+        "area",
+        ((n * 7919 % 1000).cast("double") / 1000.0).alias("score"),
+    )
+    again = gt.where(n % 9 == 0).select((n * 2 + 1).alias("dt_id"), "image_id", "category_id", box(b["x"] + 5.0, b["y"] + 4.0, b["w"], b["h"]).alias("bbox"), "area", ((n * 104729 % 1000).cast("double") / 1000.0).alias("score"))
+    both = shifted.unionByName(again)
+    return both.withColumn("ord", F.col("dt_id"))
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    gt = ground_truth(spark, sf_dir)
+    return matching.effective_ignore(gt, PARAMS.mode), detections(gt)
+
+
+def matched(spark: SparkSession, sf_dir: str, params: Params = PARAMS) -> tuple[DataFrame, DataFrame]:
+    """``matches`` and the ground truth counts."""
+    gt, dt = inputs(spark, sf_dir)
+    return matching.match(gt, matching.top_k(dt, params.max_dets[-1]), params), matching.ground_truth_counts(gt, params)
+
+
+def _base(*more: str) -> str:
+    return "WITH " + "RECURSIVE " * any("RECURSE" in m for m in more) + f"gt AS ({GT_SQL}), dt AS ({DT_SQL})" + "".join(", " + m.replace("/*RECURSE*/", "") for m in more)
+
+
+@query("scan_gt", _base() + " SELECT ann_id, image_id, category_id, x, y, w, h, area, iscrowd FROM gt")
+def scan_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth(spark, sf_dir).select("ann_id", "image_id", "category_id", "bbox.*", "area", "iscrowd")
+
+
+@query("scan_dt", _base() + " SELECT dt_id, image_id, category_id, x, y, w, h, area, score FROM dt")
+def scan_dt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(ground_truth(spark, sf_dir)).select("dt_id", "image_id", "category_id", "bbox.*", "area", "score")
+
+
+_INTER = "greatest(0.0E0, least(g.x + g.w, d.x + d.w) - greatest(g.x, d.x)) * greatest(0.0E0, least(g.y + g.h, d.y + d.h) - greatest(g.y, d.y))"
+PAIRS = f"""ranked AS (SELECT * FROM (SELECT dt.*, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, dt_id) AS rnk FROM dt) r0 WHERE rnk <= 100),
+pairs AS (SELECT image_id, category_id, dt_id, ann_id, rnk, score, d_area, g_area, iscrowd,
+   CASE WHEN iscrowd THEN inter / d_area ELSE inter / (g_area + d_area - inter) END AS iou
+ FROM (SELECT d.image_id, d.category_id, d.dt_id, g.ann_id, d.rnk, d.score, d.area AS d_area, g.area AS g_area, g.iscrowd, {_INTER} AS inter
+       FROM ranked d JOIN gt g ON d.image_id = g.image_id AND d.category_id = g.category_id) p0)"""
+
+
+@query("bbox_iou_pairs", _base(PAIRS) + " SELECT image_id, category_id, dt_id, ann_id, round(iou, 9) AS iou FROM pairs WHERE iou >= 1.0E-1")
+def bbox_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, dt = inputs(spark, sf_dir)
+    return matching.pairs(gt, matching.top_k(dt, 100)).withColumn("iou", F.round("iou", 9))
+
+
+@query("topk_per_cell", _base() + " SELECT dt_id, rnk FROM (SELECT dt_id, CAST(row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, dt_id) AS INTEGER) AS rnk FROM dt) x WHERE rnk <= 2")
+def topk_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.top_k(detections(ground_truth(spark, sf_dir)), 2).select("dt_id", F.col("rank").alias("rnk"))
+
+
+@query("lvis_trim", _base() + " SELECT dt_id, rnk FROM (SELECT dt_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, dt_id) AS INTEGER) AS rnk FROM dt) x WHERE rnk <= 5")
+def lvis_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.top_k(detections(ground_truth(spark, sf_dir)), 5, ["image_id"]).select("dt_id", F.col("rank").alias("rnk"))
+
+
+#: The greedy match in SQL: a step takes each cell's next detection that has a candidate left.
+def _match_sql(thresholds: str, areas: str) -> str:
+    return f"""{PAIRS},
+ts AS (SELECT * FROM (VALUES {thresholds}) t(t_idx, thr)),
+ars AS (SELECT * FROM (VALUES {areas}) a(area_idx, lo, hi)),
+edges AS (SELECT t_idx, thr, area_idx, image_id, category_id, dt_id, rnk, ann_id, iou, iscrowd, (iscrowd OR g_area < lo OR g_area > hi) AS ign
+          FROM pairs, ts, ars WHERE iou >= thr),
+firsts AS (SELECT t_idx, area_idx, image_id, category_id, rnk, dt_id,
+             row_number() OVER (PARTITION BY t_idx, area_idx, image_id, category_id ORDER BY rnk) AS k,
+             list({{'i': ign, 'v': -iou, 'g': -ann_id, 'c': iscrowd}} ORDER BY ign, iou DESC, ann_id DESC) AS es
+           FROM edges GROUP BY t_idx, area_idx, image_id, category_id, rnk, dt_id),
+/*RECURSE*/steps AS (
+  SELECT t_idx, area_idx, image_id, category_id, k, dt_id, es[1] AS pick, [-es[1].g] AS taken FROM firsts WHERE k = 1
+  UNION ALL
+  SELECT f.t_idx, f.area_idx, f.image_id, f.category_id, f.k, f.dt_id,
+         list_filter(f.es, lambda e: e.c OR NOT list_contains(s.taken, -e.g))[1] AS pick,
+         list_append(s.taken, -(list_filter(f.es, lambda e: e.c OR NOT list_contains(s.taken, -e.g))[1]).g) AS taken
+  FROM steps s JOIN firsts f ON f.t_idx = s.t_idx AND f.area_idx = s.area_idx AND f.image_id = s.image_id AND f.category_id = s.category_id AND f.k = s.k + 1),
+hits AS (SELECT t_idx, area_idx, dt_id, -pick.g AS ann_id, pick.i AS ign FROM steps WHERE pick IS NOT NULL),
+matches AS (SELECT r.image_id, r.category_id, r.dt_id, r.score, r.rnk, ts.t_idx, ars.area_idx, h.ann_id, h.ann_id IS NOT NULL AS matched,
+              CASE WHEN h.ann_id IS NOT NULL THEN h.ign ELSE (r.area < lo OR r.area > hi) END AS ignored
+            FROM ranked r CROSS JOIN ts CROSS JOIN ars LEFT JOIN hits h ON h.dt_id = r.dt_id AND h.t_idx = ts.t_idx AND h.area_idx = ars.area_idx)"""
+
+
+def _values(items: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(repr(x) if isinstance(x, int) else f"{x!r}E0" if "e" not in repr(x) else repr(x) for x in item) + ")" for item in items)
+
+
+ALL_AREA = _values([(0, 0.0, 1e10)])
+T50 = _values([(0, 0.5)])
+LADDER = _values(list(enumerate(PARAMS.seeds)))
+FOUR_AREAS = _values([(i, a.lo, a.hi) for i, a in enumerate(AREAS)])
+ONE = Params(iou_thresholds=(0.5,), areas=AREAS[:1], max_dets=(100,))
+LADDER_ONE = Params(areas=AREAS[:1], max_dets=(100,))
+
+
+def match_rows(matches: DataFrame) -> DataFrame:
+    """``matches`` as rows of (detection, area range, threshold)."""
+    by_area = matches.select("image_id", "category_id", "dt_id", "score", "rank", F.posexplode(F.arrays_zip("matched", "ignored", "gts")).alias("area_idx", "x"))
+    n = by_area.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(PARAMS.iou_thresholds) - 1))).alias("t_idx"))
+    return n.select("image_id", "category_id", "dt_id", "score", "rank", "area_idx", "t_idx", F.expr("shiftright(x.matched, t_idx) & 1 = 1").alias("matched"), F.expr("shiftright(x.ignored, t_idx) & 1 = 1").alias("ignored"), F.expr("get(x.gts, t_idx)").alias("ann_id"))
+
+
+@query("match_t50", _base(_match_sql(T50, ALL_AREA)) + " SELECT dt_id, coalesce(ann_id, -1) AS ann_id, matched, ignored FROM matches")
+def match_t50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_rows(matched(spark, sf_dir, ONE)[0]).where("t_idx = 0").select("dt_id", F.coalesce("ann_id", F.lit(-1)).alias("ann_id"), "matched", "ignored")
+
+
+@query("match_ladder", _base(_match_sql(LADDER, FOUR_AREAS)) + " SELECT area_idx, t_idx, category_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE matched) AS BIGINT) AS n_matched, CAST(count(*) FILTER (WHERE ignored) AS BIGINT) AS n_ignored, CAST(sum(coalesce(ann_id, 0)) AS BIGINT) AS ann_sum FROM matches GROUP BY ALL")
+def match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = match_rows(matched(spark, sf_dir)[0])
+    return rows.groupBy("area_idx", "t_idx", "category_id").agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), F.count_if("ignored").alias("n_ignored"), F.coalesce(F.sum("ann_id"), F.lit(0)).cast("long").alias("ann_sum"))
+
+
+CURVE = """npig AS (SELECT category_id, area_idx, count(*) AS npig FROM gt, ars WHERE NOT iscrowd AND gt.area >= lo AND gt.area <= hi GROUP BY ALL),
+caps AS (SELECT * FROM (VALUES {caps}) c(m_idx, cap)),
+run AS (SELECT category_id, area_idx, m_idx, t_idx, score, matched AND NOT ignored AS is_tp,
+          sum(CASE WHEN matched AND NOT ignored THEN 1 ELSE 0 END) OVER w AS tp, sum(CASE WHEN NOT matched AND NOT ignored THEN 1 ELSE 0 END) OVER w AS fp
+        FROM matches JOIN caps ON rnk <= cap WINDOW w AS (PARTITION BY category_id, area_idx, m_idx, t_idx ORDER BY score DESC, image_id, rnk ROWS UNBOUNDED PRECEDING)),
+pr0 AS (SELECT run.*, tp / CAST(npig AS DOUBLE) AS rc, CAST(tp AS DOUBLE) / (CAST(tp + fp AS DOUBLE) + 2.220446049250313E-16) AS p FROM run JOIN npig USING (category_id, area_idx) WHERE is_tp),
+rs AS (SELECT i AS r_idx, CASE WHEN i = 100 THEN 1.0E0 ELSE i * (1.0E0 / 100) END AS r FROM range(0, 101) x(i)),
+reach AS (SELECT pr0.*, (SELECT max(r_idx) FROM rs WHERE r <= rc) AS b FROM pr0),
+best AS (SELECT category_id, area_idx, m_idx, t_idx, b, max(p) AS p FROM reach GROUP BY ALL),
+sparse AS (SELECT category_id, area_idx, m_idx, t_idx, r_idx, max(p) AS precision FROM best JOIN rs ON b >= r_idx GROUP BY ALL),
+grid AS (SELECT category_id, area_idx, m_idx, t_idx FROM npig CROSS JOIN caps CROSS JOIN ts),
+lanes AS (SELECT g.*, coalesce(a.ap, 0.0E0) AS ap, coalesce(r.ar, 0.0E0) AS ar FROM grid g
+  LEFT JOIN (SELECT category_id, area_idx, m_idx, t_idx, sum(precision) / 101 AS ap FROM sparse GROUP BY ALL) a USING (category_id, area_idx, m_idx, t_idx)
+  LEFT JOIN (SELECT category_id, area_idx, m_idx, t_idx, max(rc) AS ar FROM pr0 GROUP BY ALL) r USING (category_id, area_idx, m_idx, t_idx))"""
+CAPS = _values([(i, m) for i, m in enumerate(PARAMS.max_dets)])
+
+
+@query("pr_curve", _base(_match_sql(LADDER, ALL_AREA), CURVE.format(caps="(0, 100)")) + " SELECT category_id, t_idx, CAST(r_idx AS INTEGER) AS r_idx, round(precision, 9) AS precision FROM sparse")
+def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pr, _ = curves.curve(*matched(spark, sf_dir, LADDER_ONE), LADDER_ONE)
+    return pr.select("category_id", "t_idx", "r_idx", F.round("precision", 9).alias("precision"))
+
+
+def lane_values(spark: SparkSession, sf_dir: str, params: Params = PARAMS) -> DataFrame:
+    matches, npig = matched(spark, sf_dir, params)
+    pr, rec = curves.curve(matches, npig, params)
+    return curves.lane_values(pr, rec, npig, params)
+
+
+@query("ap_per_class", _base(_match_sql(LADDER, FOUR_AREAS), CURVE.format(caps=CAPS)) + """
+ SELECT category_id, round(avg(ap) FILTER (WHERE area_idx = 0 AND m_idx = 2), 9) AS ap, round(avg(ap) FILTER (WHERE area_idx = 0 AND m_idx = 2 AND t_idx = 0), 9) AS ap50,
+  round(avg(ap) FILTER (WHERE area_idx = 0 AND m_idx = 2 AND t_idx = 5), 9) AS ap75, round(avg(ap) FILTER (WHERE area_idx = 1 AND m_idx = 2), 9) AS ap_small,
+  round(avg(ap) FILTER (WHERE area_idx = 2 AND m_idx = 2), 9) AS ap_medium, round(avg(ap) FILTER (WHERE area_idx = 3 AND m_idx = 2), 9) AS ap_large,
+  round(avg(ar) FILTER (WHERE area_idx = 0 AND m_idx = 2), 9) AS ar, round(avg(ar) FILTER (WHERE area_idx = 1 AND m_idx = 2), 9) AS ar_small,
+  round(avg(ar) FILTER (WHERE area_idx = 2 AND m_idx = 2), 9) AS ar_medium, round(avg(ar) FILTER (WHERE area_idx = 3 AND m_idx = 2), 9) AS ar_large
+ FROM lanes GROUP BY category_id""")
+def ap_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = summary.per_class(lane_values(spark, sf_dir), PARAMS)
+    return table.select("category_id", *[F.round(c, 9).alias(c) for c in table.columns[1:]])
+
+
+def _summary_sql() -> str:
+    rows = []
+    for i, line in enumerate(coco_plan()):
+        m, a = line.cap_index(PARAMS.max_dets), PARAMS.area_index(line.area)
+        iou = "" if line.iou is None else f" AND t_idx = {PARAMS.iou_index(line.iou)}"
+        rows.append(f"SELECT {i} AS ord, '{line.metric}' AS metric, CAST({'NULL' if line.iou is None else line.iou} AS DOUBLE) AS iou, '{line.area}' AS area, {PARAMS.max_dets[m]} AS max_dets, round(avg({line.metric.lower()}), 9) AS value FROM lanes WHERE area_idx = {a} AND m_idx = {m}{iou}")
+    return " UNION ALL ".join(rows)
+
+
+@query("coco_summary_12", _base(_match_sql(LADDER, FOUR_AREAS), CURVE.format(caps=CAPS)) + _summary_sql())
+def coco_summary_12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.lines(lane_values(spark, sf_dir), PARAMS, coco_plan()).select("ord", "metric", "iou", "area", "max_dets", F.round("value", 9).alias("value"))
