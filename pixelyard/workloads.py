@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelyard.functions.geometry import box
-from pixelyard.operators import curves, matching, summary
+from pixelyard.operators import calibration, curves, diagnostics, federated, matching, panoptic, semantic, slices, summary, tables
 from pixelyard.plans.params import AREAS, Params, coco_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +239,282 @@ def _summary_sql() -> str:
 @query("coco_summary_12", _base(_match_sql(LADDER, FOUR_AREAS), CURVE.format(caps=CAPS)) + _summary_sql())
 def coco_summary_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.lines(lane_values(spark, sf_dir), PARAMS, coco_plan()).select("ord", "metric", "iou", "area", "max_dets", F.round("value", 9).alias("value"))
+
+
+# ------------------------------------------------------------------- tables
+
+
+@query("per_image_table", _base(_match_sql(_values([(0, 0.5), (5, 0.75)]), ALL_AREA)) + """,
+ n AS (SELECT image_id, count(*) AS n_gt FROM gt WHERE NOT iscrowd GROUP BY 1),
+ m AS (SELECT image_id, count(*) FILTER (WHERE t_idx = 0) AS n_dt, count(*) FILTER (WHERE t_idx = 0 AND matched AND NOT ignored) AS tp_50, count(*) FILTER (WHERE t_idx = 0 AND NOT matched AND NOT ignored) AS fp_50,
+   count(*) FILTER (WHERE t_idx = 5 AND matched AND NOT ignored) AS tp_75, count(*) FILTER (WHERE t_idx = 5 AND NOT matched AND NOT ignored) AS fp_75 FROM matches GROUP BY 1)
+ SELECT i.image_id, coalesce(n_gt, 0) AS n_gt, coalesce(n_dt, 0) AS n_dt, coalesce(tp_50, 0) AS tp_50, coalesce(fp_50, 0) AS fp_50, greatest(coalesce(n_gt, 0) - coalesce(tp_50, 0), 0) AS fn_50,
+  coalesce(tp_75, 0) AS tp_75, coalesce(fp_75, 0) AS fp_75, greatest(coalesce(n_gt, 0) - coalesce(tp_75, 0), 0) AS fn_75
+ FROM (SELECT DISTINCT image_id FROM gt) i LEFT JOIN n USING (image_id) LEFT JOIN m USING (image_id)""")
+def per_image_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = PARAMS.but(areas=AREAS[:1])
+    gt, _ = inputs(spark, sf_dir)
+    return tables.per_image(gt.select("image_id").distinct(), gt, matched(spark, sf_dir, params)[0], params).drop("tp_mean")
+
+
+@query("per_detection", _base(_match_sql(T50, ALL_AREA)) + """,
+ b AS (SELECT dt_id, max(iou) AS best FROM pairs WHERE iou >= 1.0E-1 GROUP BY 1)
+ SELECT dt_id, image_id, category_id, score, CASE WHEN ignored THEN 'ignored' WHEN matched THEN 'tp' ELSE 'fp' END AS status, coalesce(ann_id, -1) AS gt_id, round(coalesce(best, -1.0E0), 9) AS best_iou FROM matches LEFT JOIN b USING (dt_id)""")
+def per_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, dt = inputs(spark, sf_dir)
+    pairs = matching.pairs(gt, matching.top_k(dt, 100))
+    table = tables.per_detection(matched(spark, sf_dir, ONE)[0], pairs, ONE)
+    return table.select("dt_id", "image_id", "category_id", "score", "status", F.coalesce("gt_id", F.lit(-1)).alias("gt_id"), F.round(F.coalesce("best_iou", F.lit(-1.0)), 9).alias("best_iou"))
+
+
+@query("area_breakdown", _base() + f" SELECT category_id, CAST(area_idx AS INTEGER) AS area_idx, CAST(count(*) FILTER (WHERE NOT iscrowd AND area >= lo AND area <= hi) AS BIGINT) AS npig FROM gt, (VALUES {FOUR_AREAS}) a(area_idx, lo, hi) GROUP BY ALL")
+def area_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.ground_truth_counts(inputs(spark, sf_dir)[0], PARAMS)
+
+
+# ------------------------------------------------------------------- slices
+
+_MANIFEST_SQL = "SELECT o_orderkey % 5000 AS image_id, min(o_orderpriority) AS priority, min(o_orderstatus) AS status FROM orders GROUP BY 1"
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 5000).cast("long").alias("key")).agg(F.min("o_orderpriority").alias("priority"), F.min("o_orderstatus").alias("status"))
+
+
+def sliced(spark: SparkSession, sf_dir: str, cross: tuple = ()) -> DataFrame:
+    gt, _ = inputs(spark, sf_dir)
+    parts = slices.slices(manifest(spark, sf_dir), gt.select("image_id"), cross)
+    matches, _ = matched(spark, sf_dir, LADDER_ONE)
+    key = ["axis", "value"]
+    a = LADDER_ONE.areas[0]
+    counted = slices.fan_out(gt.where(~F.col("ign") & F.col("area").between(a.lo, a.hi)), parts)
+    npig = counted.groupBy(*key, "category_id").agg(F.count("*").alias("npig")).withColumn("area_idx", F.lit(0))
+    pr, rec = curves.curve(slices.fan_out(matches, parts), npig, LADDER_ONE, key)
+    return curves.lane_values(pr, rec, npig, LADDER_ONE, key).groupBy(*key).agg(F.avg("ap").alias("ap"), F.avg("ar").alias("ar"))
+
+
+def _slice_sql(parts: str) -> str:
+    return _base(_match_sql(LADDER, ALL_AREA)) + f""",
+ man AS ({_MANIFEST_SQL}),
+ known AS (SELECT i.image_id, priority, status FROM (SELECT DISTINCT image_id FROM gt) i LEFT JOIN man USING (image_id)),
+ parts AS ({parts}),
+ npig AS (SELECT axis, value, category_id, count(*) AS npig FROM gt JOIN parts USING (image_id) WHERE NOT iscrowd GROUP BY ALL),
+ run AS (SELECT axis, value, category_id, t_idx, matched AND NOT ignored AS is_tp,
+          sum(CASE WHEN matched AND NOT ignored THEN 1 ELSE 0 END) OVER w AS tp, sum(CASE WHEN NOT matched AND NOT ignored THEN 1 ELSE 0 END) OVER w AS fp
+        FROM matches JOIN parts USING (image_id) WINDOW w AS (PARTITION BY axis, value, category_id, t_idx ORDER BY score DESC, image_id, rnk ROWS UNBOUNDED PRECEDING)),
+ pr0 AS (SELECT run.*, tp / CAST(npig AS DOUBLE) AS rc, CAST(tp AS DOUBLE) / (CAST(tp + fp AS DOUBLE) + 2.220446049250313E-16) AS p FROM run JOIN npig USING (axis, value, category_id) WHERE is_tp),
+ rs AS (SELECT i AS r_idx, CASE WHEN i = 100 THEN 1.0E0 ELSE i * (1.0E0 / 100) END AS r FROM range(0, 101) x(i)),
+ reach AS (SELECT pr0.*, (SELECT max(r_idx) FROM rs WHERE r <= rc) AS b FROM pr0),
+ best AS (SELECT axis, value, category_id, t_idx, b, max(p) AS p FROM reach GROUP BY ALL),
+ sparse AS (SELECT axis, value, category_id, t_idx, r_idx, max(p) AS precision FROM best JOIN rs ON b >= r_idx GROUP BY ALL),
+ lanes AS (SELECT g.*, coalesce(a.ap, 0.0E0) AS ap, coalesce(r.ar, 0.0E0) AS ar FROM (SELECT axis, value, category_id, t_idx FROM npig CROSS JOIN ts) g
+  LEFT JOIN (SELECT axis, value, category_id, t_idx, sum(precision) / 101 AS ap FROM sparse GROUP BY ALL) a USING (axis, value, category_id, t_idx)
+  LEFT JOIN (SELECT axis, value, category_id, t_idx, max(rc) AS ar FROM pr0 GROUP BY ALL) r USING (axis, value, category_id, t_idx)),
+ out AS (SELECT axis, value, avg(ap) AS ap, avg(ar) AS ar FROM lanes GROUP BY ALL)"""
+
+
+_AXES_SQL = "SELECT 'priority' AS axis, coalesce(priority, '__unassigned__') AS value, image_id FROM known UNION ALL SELECT 'status', coalesce(status, '__unassigned__'), image_id FROM known"
+
+
+@query("ap_by_slice", _slice_sql(_AXES_SQL) + " SELECT axis, value, round(ap, 9) AS ap, round(ar, 9) AS ar FROM out")
+def ap_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliced(spark, sf_dir).select("axis", "value", F.round("ap", 9).alias("ap"), F.round("ar", 9).alias("ar"))
+
+
+@query("ap_cross_slice", _slice_sql(_AXES_SQL + " UNION ALL SELECT 'priority::status', CASE WHEN priority IS NULL OR status IS NULL THEN '__unassigned__' ELSE priority || '::' || status END, image_id FROM known") + " SELECT axis, value, round(ap, 9) AS ap FROM out")
+def ap_cross_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliced(spark, sf_dir, (("priority", "status"),)).select("axis", "value", F.round("ap", 9).alias("ap"))
+
+
+@query("mpc_rpc", _slice_sql(_AXES_SQL) + " SELECT axis, round(avg(ap), 9) AS mpc, round(avg(ap) / (SELECT max(ap) FROM out WHERE axis = 'status' AND value = 'O'), 9) AS rpc FROM out WHERE axis <> 'status' AND value <> '__unassigned__' GROUP BY axis")
+def mpc_rpc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = slices.robustness(sliced(spark, sf_dir), "ap", ("status", "O"))
+    return out.select("axis", F.round("mpc", 9).alias("mpc"), F.round("rpc", 9).alias("rpc"))
+
+
+# -------------------------------------------------------------- calibration
+
+_SCORED_SQL = """scored AS (SELECT category_id, score, CASE WHEN matched THEN 1.0E0 ELSE 0.0E0 END AS correct FROM matches WHERE NOT ignored AND score >= 5.0E-2),
+ qs AS ({edges}),
+ es AS (SELECT row_number() OVER (ORDER BY e) - 1 AS k, e FROM (SELECT DISTINCT e FROM qs)),
+ bins AS (SELECT a.k AS bin_id, a.e AS lo, b.e AS hi, b.k = (SELECT max(k) FROM es) AS last FROM es a JOIN es b ON b.k = a.k + 1),
+ rel AS (SELECT CAST(bin_id AS INTEGER) AS bin_id, lo, hi, avg(score) AS mean_score, avg(correct) AS accuracy, count(*) AS n FROM bins JOIN scored ON score >= lo AND (score < hi OR (last AND score <= hi)) GROUP BY ALL)"""
+
+
+def _quantile_sql() -> str:
+    edges = " UNION ALL ".join(f"SELECT quantile_cont(score, {i / 15!r}E0) AS e FROM scored" for i in range(16))
+    return _base(_match_sql(T50, ALL_AREA), _SCORED_SQL.format(edges=edges))
+
+
+@query("calibration_reliability", _quantile_sql() + " SELECT bin_id, round(lo, 9) AS score_lo, round(hi, 9) AS score_hi, round(mean_score, 9) AS mean_score, round(accuracy, 9) AS accuracy, n FROM rel")
+def calibration_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dets = calibration.scored(matched(spark, sf_dir, ONE)[0], 0)
+    table = calibration.reliability(dets, calibration.edges(dets)).where("count > 0")
+    return table.select("bin_id", *[F.round(c, 9).alias(c) for c in ("score_lo", "score_hi", "mean_score", "accuracy")], F.col("count").alias("n"))
+
+
+@query("calibration_errors", _quantile_sql() + " SELECT round(sum(n * abs(accuracy - mean_score)) / sum(n), 9) AS ece, round(max(abs(accuracy - mean_score)), 9) AS mce, CAST(sum(n) AS BIGINT) AS n FROM rel")
+def calibration_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dets = calibration.scored(matched(spark, sf_dir, ONE)[0], 0)
+    out = calibration.errors(calibration.reliability(dets, calibration.edges(dets)))
+    return out.select(F.round("ece", 9).alias("ece"), F.round("mce", 9).alias("mce"), "n")
+
+
+# -------------------------------------------------------------- diagnostics
+
+_LRP_SQL = _match_sql(T50, ALL_AREA) + """,
+ lrp AS (SELECT m.category_id, m.score, m.matched, CASE WHEN m.matched THEN p.iou ELSE 0.0E0 END AS iou FROM matches m LEFT JOIN pairs p ON p.dt_id = m.dt_id AND p.ann_id = m.ann_id WHERE NOT (m.matched AND m.ignored)),
+ npos AS (SELECT category_id, count(*) AS n FROM gt WHERE NOT iscrowd GROUP BY 1),
+ taus AS (SELECT i, CASE WHEN i = 100 THEN 1.0E0 ELSE i * (1.0E0 / 100) END AS tau FROM range(0, 101) x(i)),
+ sweep AS (SELECT npos.category_id, n, i, count(*) FILTER (WHERE matched AND score >= tau) AS tp, count(*) FILTER (WHERE NOT matched AND score >= tau) AS fp, coalesce(sum(1.0E0 - iou) FILTER (WHERE matched AND score >= tau), 0.0E0) AS loc
+   FROM npos CROSS JOIN taus LEFT JOIN lrp ON lrp.category_id = npos.category_id GROUP BY ALL),
+ vals AS (SELECT *, n - tp AS fn, (loc / 5.0E-1 + fp + (n - tp)) / CAST(tp + fp + (n - tp) AS DOUBLE) AS v FROM sweep)"""
+
+
+@query("lrp_optimal", _base(_LRP_SQL) + " SELECT category_id, round(min(v), 9) AS olrp FROM vals GROUP BY category_id")
+def lrp_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, dt = inputs(spark, sf_dir)
+    found = diagnostics.optimal_lrp(diagnostics.lrp_matches(gt, matching.top_k(dt, 100)), diagnostics.n_counting(gt))
+    return found.select("category_id", F.round("olrp", 9).alias("olrp"))
+
+
+_IMAGE_SQL = f"""topi AS (SELECT * FROM (SELECT dt.*, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, dt_id) AS rnk FROM dt) r0 WHERE rnk <= 100),
+ipairs AS (SELECT *, inter / (g_area + d_area - inter) AS plain, CASE WHEN iscrowd THEN inter / d_area ELSE inter / (g_area + d_area - inter) END AS iou
+ FROM (SELECT d.image_id, d.category_id AS d_cat, g.category_id AS g_cat, d.dt_id, g.ann_id, d.rnk, d.area AS d_area, g.area AS g_area, g.iscrowd, {_INTER} AS inter FROM topi d JOIN gt g ON d.image_id = g.image_id) p0)"""
+
+
+@query("confusion_matrix_det", _base(_IMAGE_SQL + """,
+ firsts AS (SELECT image_id, rnk, dt_id, d_cat, row_number() OVER (PARTITION BY image_id ORDER BY rnk) AS k, list({'v': -iou, 'g': ann_id, 'c': iscrowd, 'k': g_cat} ORDER BY iou DESC, ann_id) AS es FROM ipairs WHERE iou >= 5.0E-1 GROUP BY image_id, rnk, dt_id, d_cat),
+/*RECURSE*/steps AS (
+  SELECT image_id, k, dt_id, d_cat, es[1] AS pick, CASE WHEN es[1].c THEN [] ELSE [es[1].g] END AS taken FROM firsts WHERE k = 1
+  UNION ALL
+  SELECT f.image_id, f.k, f.dt_id, f.d_cat, list_filter(f.es, lambda e: NOT list_contains(s.taken, e.g))[1] AS pick,
+    CASE WHEN coalesce((list_filter(f.es, lambda e: NOT list_contains(s.taken, e.g))[1]).c, true) THEN s.taken ELSE list_append(s.taken, (list_filter(f.es, lambda e: NOT list_contains(s.taken, e.g))[1]).g) END AS taken
+  FROM steps s JOIN firsts f ON f.image_id = s.image_id AND f.k = s.k + 1),
+ hits AS (SELECT dt_id, d_cat, pick.g AS ann_id, pick.k AS g_cat, pick.c AS crowd FROM steps WHERE pick IS NOT NULL),
+ rows0 AS (SELECT CAST(g_cat AS VARCHAR) AS g, CAST(d_cat AS VARCHAR) AS d FROM hits WHERE NOT crowd
+  UNION ALL SELECT '__none__', CAST(category_id AS VARCHAR) FROM topi WHERE dt_id NOT IN (SELECT dt_id FROM hits)
+  UNION ALL SELECT CAST(category_id AS VARCHAR), '__none__' FROM gt WHERE NOT iscrowd AND ann_id NOT IN (SELECT ann_id FROM hits WHERE NOT crowd))""") + " SELECT g AS gt_class, d AS dt_class, count(*) AS n FROM rows0 GROUP BY ALL")
+def confusion_matrix_det(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.confusion_matrix(*inputs(spark, sf_dir))
+
+
+_TIDE_SQL = _base(_IMAGE_SQL + """,
+ firsts AS (SELECT image_id, d_cat, rnk, dt_id, row_number() OVER (PARTITION BY image_id, d_cat ORDER BY rnk) AS k, list({'i': iscrowd, 'v': -plain, 'g': -ann_id, 'c': iscrowd} ORDER BY iscrowd, plain DESC, ann_id DESC) AS es
+   FROM ipairs WHERE d_cat = g_cat AND plain >= 5.0E-1 GROUP BY image_id, d_cat, rnk, dt_id),
+/*RECURSE*/steps AS (
+  SELECT image_id, d_cat, k, dt_id, es[1] AS pick, [-es[1].g] AS taken FROM firsts WHERE k = 1
+  UNION ALL
+  SELECT f.image_id, f.d_cat, f.k, f.dt_id, list_filter(f.es, lambda e: e.c OR NOT list_contains(s.taken, -e.g))[1] AS pick,
+    list_append(s.taken, -(list_filter(f.es, lambda e: e.c OR NOT list_contains(s.taken, -e.g))[1]).g) AS taken
+  FROM steps s JOIN firsts f ON f.image_id = s.image_id AND f.d_cat = s.d_cat AND f.k = s.k + 1),
+ hits AS (SELECT dt_id, pick.i AS ign FROM steps WHERE pick IS NOT NULL),
+ tops AS (SELECT dt_id, coalesce(max(iou) FILTER (WHERE d_cat = g_cat), 0.0E0) AS s, coalesce(max(iou) FILTER (WHERE d_cat <> g_cat), 0.0E0) AS c FROM ipairs GROUP BY 1),
+ binned AS (SELECT t.dt_id, t.category_id, CASE WHEN h.dt_id IS NOT NULL THEN CASE WHEN h.ign THEN 'ignore' ELSE 'tp' END WHEN coalesce(s, 0) >= 5.0E-1 THEN 'dupe' WHEN coalesce(c, 0) >= 5.0E-1 THEN 'cls'
+    WHEN coalesce(s, 0) >= 1.0E-1 AND coalesce(s, 0) >= coalesce(c, 0) THEN 'loc' WHEN coalesce(c, 0) >= 1.0E-1 THEN 'both' ELSE 'bkg' END AS bin, coalesce(s, 0.0E0) AS s, coalesce(c, 0.0E0) AS c
+  FROM topi t LEFT JOIN hits h USING (dt_id) LEFT JOIN tops USING (dt_id))""")
+
+
+@query("tide_bins", _TIDE_SQL + " SELECT dt_id, bin FROM binned")
+def tide_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.tide_bins(*inputs(spark, sf_dir))[0].select("dt_id", "bin")
+
+
+@query("fp_iou_histogram", _TIDE_SQL + ", f AS (SELECT 'same' AS kind, s AS v FROM binned WHERE bin NOT IN ('tp', 'ignore') UNION ALL SELECT 'cross', c FROM binned WHERE bin NOT IN ('tp', 'ignore')) SELECT kind, CAST(least(floor(v * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM f GROUP BY ALL")
+def fp_iou_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.fp_iou_histogram(diagnostics.tide_bins(*inputs(spark, sf_dir))[0])
+
+
+@query("tide_deltas")
+def tide_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mended versions change the inputs of the whole chain; tests hold them against single evaluations."""
+    return diagnostics.error_decomposition(*inputs(spark, sf_dir), PARAMS)
+
+
+# ---------------------------------------------------------------- federated
+
+_FED_SQL = """neg AS (SELECT DISTINCT o_orderkey % 5000 AS image_id, o_custkey % 5 AS category_id FROM orders WHERE o_orderstatus = 'F'),
+ nel AS (SELECT DISTINCT o_orderkey % 5000 AS image_id, o_custkey % 5 AS category_id FROM orders WHERE o_orderstatus = 'P')"""
+
+
+def federated_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = read(spark, sf_dir, "orders")
+    cells = lambda s: orders.where(F.col("o_orderstatus") == s).select((F.col("o_orderkey") % 5000).cast("long").alias("image_id"), (F.col("o_custkey") % 5).cast("long").alias("category_id")).distinct()
+    return cells("F"), cells("P")
+
+
+@query("federated_match", "WITH RECURSIVE " + f"gt AS ({GT_SQL}), dt0 AS ({DT_SQL}), " + _FED_SQL + """,
+ trimmed AS (SELECT * FROM (SELECT dt0.*, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, dt_id) AS r FROM dt0) x WHERE r <= 300),
+ dt AS (SELECT t.dt_id, t.image_id, t.category_id, t.x, t.y, t.w, t.h, t.area, t.score FROM trimmed t SEMI JOIN (SELECT image_id, category_id FROM gt UNION SELECT image_id, category_id FROM neg) k USING (image_id, category_id)), """ + _match_sql(T50, ALL_AREA).replace("/*RECURSE*/", "") + """
+ SELECT m.dt_id, matched, ignored OR (NOT matched AND n.image_id IS NOT NULL) AS ignored FROM matches m LEFT JOIN nel n ON n.image_id = m.image_id AND n.category_id = m.category_id""")
+def federated_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, dt = inputs(spark, sf_dir)
+    matches, _ = federated.match(gt, dt, *federated_inputs(spark, sf_dir), ONE.but(max_dets=(300,)))
+    return match_rows(matches).where("t_idx = 0").select("dt_id", "matched", "ignored")
+
+
+# ------------------------------------------------------------------ semantic
+
+_RUNS_SQL = "runs AS (SELECT l_orderkey % 5000 AS image_id, CAST(CASE WHEN l_partkey % 23 = 0 THEN 255 ELSE l_partkey % 7 END AS INTEGER) AS g, CAST(CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey % 7 ELSE l_partkey % 7 END AS INTEGER) AS d, CAST(l_quantity AS BIGINT) AS n FROM lineitem)"
+_CONF_SQL = "WITH " + _RUNS_SQL + ", conf AS (SELECT g, d, CAST(sum(n) AS BIGINT) AS n FROM runs WHERE g <> 255 AND g BETWEEN 0 AND 6 AND d BETWEEN 0 AND 6 GROUP BY ALL)"
+
+
+def pixel_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5000).cast("long").alias("image_id"), F.when(p % 23 == 0, 255).otherwise(p % 7).cast("int").alias("gt_class"), F.when(s % 3 == 0, s % 7).otherwise(p % 7).cast("int").alias("dt_class"), F.col("l_quantity").cast("long").alias("n"))
+
+
+@query("semantic_confusion", _CONF_SQL + " SELECT g AS gt_class, d AS dt_class, n FROM conf")
+def semantic_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.confusion(pixel_runs(spark, sf_dir), 7, 255)
+
+
+@query("semantic_miou", _CONF_SQL + """,
+ c AS (SELECT k, (SELECT sum(n) FROM conf WHERE g = k) AS gt, (SELECT sum(n) FROM conf WHERE d = k) AS dt, (SELECT sum(n) FROM conf WHERE g = k AND d = k) AS hit FROM range(0, 7) r(k))
+ SELECT round(avg(hit / CAST(gt + dt - hit AS DOUBLE)), 9) AS miou, round(sum(gt * (hit / CAST(gt + dt - hit AS DOUBLE))) / sum(gt), 9) AS fwiou, round(sum(hit) / CAST(sum(gt) AS DOUBLE), 9) AS pixel_accuracy, round(avg(hit / CAST(gt AS DOUBLE)), 9) AS mean_accuracy FROM c""")
+def semantic_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = semantic.summary(semantic.per_class(semantic.confusion(pixel_runs(spark, sf_dir), 7, 255), 7))
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+# ------------------------------------------------------------------ panoptic
+
+#: Each lineitem row is a run of pixels of one ground truth and one predicted segment of its image.
+_PAN_SQL = """px AS (SELECT l_orderkey % 5000 AS image_id, CAST(CASE WHEN l_partkey % 29 = 0 THEN 0 ELSE l_orderkey // 5000 * 10 + l_linenumber % 2 + 1 END AS BIGINT) AS gt_id, CAST(CASE WHEN l_suppkey % 31 = 0 THEN 0 ELSE l_orderkey // 5000 * 10 + l_linenumber % 3 % 2 + 1 END AS BIGINT) AS dt_id, CAST(l_quantity AS BIGINT) AS n FROM lineitem),
+ ov AS (SELECT image_id, gt_id, dt_id, sum(n) AS n FROM px GROUP BY ALL),
+ gs AS (SELECT image_id, gt_id, gt_id % 4 AS cat, gt_id % 13 = 5 AS crowd, sum(n) AS area FROM px WHERE gt_id <> 0 GROUP BY ALL),
+ ds AS (SELECT image_id, dt_id, CASE WHEN dt_id % 7 = 3 THEN (dt_id + 1) % 4 ELSE dt_id % 4 END AS cat, sum(n) AS area FROM px WHERE dt_id <> 0 GROUP BY ALL),
+ void AS (SELECT image_id, dt_id, n AS void FROM ov WHERE gt_id = 0),
+ tp AS (SELECT o.image_id, o.gt_id, o.dt_id, g.cat, o.n / CAST(g.area + d.area - o.n - coalesce(v.void, 0) AS DOUBLE) AS iou FROM ov o JOIN gs g ON g.image_id = o.image_id AND g.gt_id = o.gt_id AND NOT g.crowd JOIN ds d ON d.image_id = o.image_id AND d.dt_id = o.dt_id AND d.cat = g.cat
+   LEFT JOIN void v ON v.image_id = o.image_id AND v.dt_id = o.dt_id WHERE o.n / CAST(g.area + d.area - o.n - coalesce(v.void, 0) AS DOUBLE) > 5.0E-1),
+ cov AS (SELECT o.image_id, o.dt_id, sum(o.n) AS c FROM ov o JOIN ds d ON d.image_id = o.image_id AND d.dt_id = o.dt_id LEFT JOIN gs g ON g.image_id = o.image_id AND g.gt_id = o.gt_id WHERE o.gt_id = 0 OR (g.crowd AND g.cat = d.cat) GROUP BY ALL),
+ st AS (SELECT cat, sum(iou) AS s, count(*) AS tp, 0 AS fp, 0 AS fn FROM tp GROUP BY cat
+  UNION ALL SELECT g.cat, 0.0E0, 0, 0, count(*) FROM gs g ANTI JOIN tp USING (image_id, gt_id) WHERE NOT crowd GROUP BY g.cat
+  UNION ALL SELECT d.cat, 0.0E0, 0, count(*), 0 FROM (SELECT ds.* FROM ds ANTI JOIN tp USING (image_id, dt_id)) d LEFT JOIN cov c USING (image_id, dt_id) WHERE 2 * coalesce(c.c, 0) <= d.area GROUP BY d.cat),
+ cls AS (SELECT cat, sum(s) AS s, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM st GROUP BY cat),
+ pq AS (SELECT cat, s / (tp + 5.0E-1 * (fp + fn)) AS pq, CASE WHEN tp > 0 THEN s / tp ELSE 0.0E0 END AS sq, tp / (tp + 5.0E-1 * (fp + fn)) AS rq, tp, fp, fn FROM cls)"""
+
+
+def panoptic_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    o, k = F.col("l_orderkey"), F.col("l_linenumber")
+    base = F.floor(o / 5000).cast("long") * 10
+    px = read(spark, sf_dir, "lineitem").select((o % 5000).cast("long").alias("image_id"), F.when(F.col("l_partkey") % 29 == 0, 0).otherwise(base + k % 2 + 1).cast("long").alias("gt_id"), F.when(F.col("l_suppkey") % 31 == 0, 0).otherwise(base + k % 3 % 2 + 1).cast("long").alias("dt_id"), F.col("l_quantity").cast("long").alias("n"))
+    pairs = px.groupBy("image_id", "gt_id", "dt_id").agg(F.sum("n").alias("n"))
+    g, d = F.col("segment_id"), F.col("segment_id")
+    gt = pairs.where("gt_id <> 0").groupBy("image_id", F.col("gt_id").alias("segment_id")).agg(F.sum("n").alias("area")).select("image_id", "segment_id", "area", (g % 4).alias("category_id"), (g % 13 == 5).alias("iscrowd"))
+    dt = pairs.where("dt_id <> 0").groupBy("image_id", F.col("dt_id").alias("segment_id")).agg(F.sum("n").alias("area")).select("image_id", "segment_id", "area", F.when(d % 7 == 3, (d + 1) % 4).otherwise(d % 4).alias("category_id"))
+    return pairs, gt, dt
+
+
+@query("panoptic_pq", "WITH " + _PAN_SQL + " SELECT cat AS category_id, round(pq, 9) AS pq, round(sq, 9) AS sq, round(rq, 9) AS rq, CAST(tp AS BIGINT) AS n_tp, CAST(fp AS BIGINT) AS n_fp, CAST(fn AS BIGINT) AS n_fn FROM pq")
+def panoptic_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = panoptic.per_class(panoptic.attribution(*panoptic_inputs(spark, sf_dir)))
+    return out.select("category_id", *[F.round(c, 9).alias(c) for c in ("pq", "sq", "rq")], "n_tp", "n_fp", "n_fn")
+
+
+@query("panoptic_things_stuff", "WITH " + _PAN_SQL + " SELECT label, round(avg(pq), 9) AS pq, round(avg(sq), 9) AS sq, round(avg(rq), 9) AS rq, count(*) AS n FROM (SELECT pq.*, unnest(['all', CASE WHEN cat % 2 = 0 THEN 'things' ELSE 'stuff' END]) AS label FROM pq) x GROUP BY label")
+def panoptic_things_stuff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = panoptic.per_class(panoptic.attribution(*panoptic_inputs(spark, sf_dir)))
+    categories = spark.range(4).select(F.col("id").alias("category_id"), (F.col("id") % 2 == 0).alias("isthing"))
+    out = panoptic.average(classes, categories)
+    return out.select("label", *[F.round(c, 9).alias(c) for c in ("pq", "sq", "rq")], "n")
