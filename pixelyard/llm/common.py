@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -91,12 +92,13 @@ def held_out_of(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple[str, int]]:
-    """At most ``rows`` (text, label) pairs of ``docs``, never of the held-out fifth.
+def learned(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Callable[[list[tuple[str, int]]], object]) -> object:
+    """What ``learn`` makes of at most ``rows`` (text, label) pairs of ``docs``, never of the held-out fifth.
 
     The sample is the ``rows`` labels whose hashed doc_id is smallest: the same rows on every run,
-    spread over the whole table. The chosen labels are ``rows`` small rows, so they are broadcast.
-    Null labels are left out; a null text counts as empty. The pairs come in a fixed order.
+    spread over the whole table. The chosen labels are ``rows`` small rows, so they are broadcast; their
+    texts go to one task, which learns, so that the driver sees the model only. Null labels are left
+    out; a null text counts as empty. The pairs come in a fixed order.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -106,11 +108,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    found = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", "label")
-        .toArrow()
-    )
-    order = sorted(zip(found["doc_id"].to_pylist(), found["text"].to_pylist(), found["label"].to_pylist(), strict=True))
-    return [(text, label) for _, text, label in order]
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_rows: list[tuple] = []
+        for batch in batches:
+            all_rows += zip(*(batch[x].to_pylist() for x in ("doc_id", "text", "label")), strict=True)
+        model = learn([(text, k) for _, text, k in sorted(all_rows)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = found.repartition(1).mapInArrow(run, "model binary").first()
+    return learn([]) if made is None else pickle.loads(made["model"])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelyard.llm import textvec
-from pixelyard.llm.common import held_out, labelled_sample, map_batches
+from pixelyard.llm.common import held_out, learned, map_batches
 
 #: Labelled rows that are learned from, at most.
 SAMPLE_ROWS = 8_000
@@ -118,7 +118,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> n
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``sample_rows`` labelled texts that aren't held out."""
-    return learn(labelled_sample(docs, labels, "quality", sample_rows))
+    return learned(docs, labels, "quality", sample_rows, learn)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

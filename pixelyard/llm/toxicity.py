@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelyard.llm import textvec
-from pixelyard.llm.common import held_out, labelled_sample, map_batches
+from pixelyard.llm.common import held_out, learned, map_batches
 
 #: Weights are addressed by this many bits; the model has at most 2 ** BITS entries of 12 bytes.
 BITS = 20
 #: Labelled rows that are learned from, at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 HEAD = 4
@@ -67,8 +67,8 @@ def learn(pairs: list[tuple[str, int]], seed: int = 7) -> Model:
         doc, bucket = features(w)
         once = np.unique((doc << BITS) | bucket)
         ends = np.searchsorted(once >> BITS, np.arange(w.last - w.first + 1))
-        own = once & ((1 << BITS) - 1)
-        sets += [np.append(own[a:b], 0) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        own = (once & ((1 << BITS) - 1)).astype(np.int32)
+        sets += [np.append(own[a:b], np.int32(0)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def learn(pairs: list[tuple[str, int]], seed: int = 7) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``sample_rows`` labelled texts that aren't held out."""
-    return learn(labelled_sample(docs, labels, "toxic", sample_rows))
+    return learned(docs, labels, "toxic", sample_rows, learn)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
