@@ -78,7 +78,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE)
         from pixelyard.llm.tokens import encoder
 
         rows: list[tuple] = []
-        for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder(tokenizer).encode(batch["text"].to_pylist()), strict=True):
+        for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder(tokenizer).encode(batch["text"]), strict=True):
             ids += end
             n = len(ids) // 4
             rows += [(doc_id, at, min(sequence, n - at), zlib.crc32(ids[4 * at : 4 * (at + sequence)]), n) for at in range(0, n, sequence)]

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,8 @@ def cuts(places: np.ndarray, n: int) -> list[int]:
 
 def merkle(leaves: bytes, width: int = DIGEST) -> bytes:
     """The root over digests laid end to end; an odd one at a level's end moves up as it is."""
+    if len(leaves) == width:
+        return leaves
     level = [leaves[i : i + width] for i in range(0, len(leaves), width)]
     if not level:
         return hashlib.blake2b(b"", digest_size=width).digest()
@@ -75,6 +78,7 @@ _STAGE = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
+        T.StructField("root", T.BinaryType()),
         T.StructField("names", T.BinaryType()),
         T.StructField("lengths", T.ArrayType(T.IntegerType())),
         T.StructField("ids", T.BinaryType()),
@@ -101,7 +105,7 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFram
         from pixelyard.llm.tokens import encoder
 
         end = np.array([end_id], dtype="<u4").tobytes()
-        encoded = [x + end for x in encoder(tokenizer).encode(batch["text"].to_pylist())]
+        encoded = [x + end for x in encoder(tokenizer).encode(batch["text"])]
         counts = np.array([len(x) // 4 for x in encoded])
         flat = np.frombuffer(b"".join(encoded), dtype="<u4")
         at = np.append(0, np.cumsum(counts))
@@ -116,7 +120,8 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFram
             names.append(b"".join([hashlib.blake2b(ids4[4 * a : 4 * b], digest_size=DIGEST).digest() for a, b in zip(starts, ends, strict=True)]))
             lengths.append([b - a for a, b in zip(starts, ends, strict=True)])
             ids.append(narrow[size * at[i] : size * at[i + 1]])
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(ids, pa.binary())], names=_STAGE.names)
+        roots = [merkle(x) for x in names]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.array(names, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(ids, pa.binary())], names=_STAGE.names)
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, _STAGE)
 
@@ -164,27 +169,31 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document's marks come just before it; keep the ids of those chunks it is the first to have."""
-        start, marks = 0, None
+        start, marks = 0, {}
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    marks = row
-                    continue
-                own = marks if marks and marks["rid"] == row["rid"] else {"elsewhere": [], "shared": []}
-                gone, ids = set(own["elsewhere"]), row["ids"]
-                if gone:
-                    at, parts = 0, []
-                    for pos, n in enumerate(row["lengths"]):
-                        if pos not in gone:
-                            parts.append(ids[at : at + size * n])
-                        at += size * n
-                    ids = b"".join(parts)
-                out.append((row["rid"], row["doc_id"], start, row["n_tokens"], merkle(row["names"]), row["names"], row["lengths"], sorted(gone), sorted(own["shared"]), ids))
-                start += row["n_tokens"]
-            if out:
-                types = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.list_(pa.int32())] * 3 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=_RECIPE.names)
+            is_doc = pa.array(batch["kind"].to_numpy() == 1)
+            marks |= {row["rid"]: row for row in batch.select(["rid", "elsewhere", "shared", "kind"]).filter(pc.invert(is_doc)).to_pylist()}
+            docs = batch.filter(is_doc)
+            if not docs.num_rows:
+                continue
+            rid, ids = docs["rid"].to_numpy(), docs["ids"]
+            elsewhere, shared = [[] for _ in rid], [[] for _ in rid]
+            marked = np.flatnonzero(np.isin(rid, list(marks))).tolist() if marks else []
+            if marked:
+                own, lengths = ids.to_pylist(), docs["lengths"]
+                for i in marked:
+                    mark = marks.pop(int(rid[i]))
+                    elsewhere[i], shared[i] = sorted(mark["elsewhere"]), sorted(mark["shared"])
+                    if gone := set(elsewhere[i]):
+                        ends = size * np.cumsum(lengths[i].values.to_numpy())
+                        begins = [0, *ends[:-1].tolist()]
+                        own[i] = b"".join([own[i][a:e] for pos, (a, e) in enumerate(zip(begins, ends.tolist(), strict=True)) if pos not in gone])
+                ids = pa.array(own, pa.binary())
+            n = docs["n_tokens"].to_numpy()
+            ends = start + np.cumsum(n)
+            lists = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([docs["rid"], docs["doc_id"], pa.array(ends - n), docs["n_tokens"], docs["root"], docs["names"], docs["lengths"], pa.array(elsewhere, lists), pa.array(shared, lists), ids], names=_RECIPE.names)
+            start = int(ends[-1])
 
     settled = both.mapInArrow(settle, _RECIPE).withColumns({"part": F.spark_partition_id(), "width": F.lit(size)})
     settled.write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -238,31 +247,33 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def rebuild(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for row in batch.to_pylist():
-            kind = f"<u{row['width']}"
-            if row["fetched"]:
-                got, at, parts = {x["pos"]: x["chunk"] for x in row["fetched"]}, 0, []
-                for pos, n in enumerate(row["lengths"]):
+        fetched, column = batch["fetched"], batch["lengths"]
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        crcs, whole_ids = [], []
+        rows = zip(batch["doc_id"].to_pylist(), batch["width"].to_pylist(), batch["names"].to_pylist(), batch["root"].to_pylist(), batch["ids"].to_pylist(), strict=True)
+        for i, (doc_id, width, names, root, raw) in enumerate(rows):
+            lengths = flat[at[i] : at[i + 1]].tolist()
+            if fetched[i].is_valid:
+                got, place, parts = {x["pos"]: x["chunk"] for x in fetched[i].as_py()}, 0, []
+                for pos, n in enumerate(lengths):
                     if pos in got:
                         parts.append(got[pos])
                     else:
-                        parts.append(row["ids"][at : at + row["width"] * n])
-                        at += row["width"] * n
+                        parts.append(raw[place : place + width * n])
+                        place += width * n
                 raw = b"".join(parts)
-            else:
-                raw = row["ids"]
-            ids = np.frombuffer(raw, dtype=kind).astype("<u4").tobytes()
-            at, names = 0, []
-            for n in row["lengths"]:
-                names.append(hashlib.blake2b(ids[at : at + 4 * n], digest_size=DIGEST).digest())
-                at += 4 * n
-            names = b"".join(names)
-            if at != len(ids) or names != row["names"] or merkle(names) != row["root"]:
-                raise ValueError(f"document {row['doc_id']}: the store's chunks do not give its root")
-            out.append((row["doc_id"], row["local_start"] + row["before"], row["n_tokens"], zlib.crc32(ids), ids)[: 4 + with_ids])
-        columns = list(zip(*out, strict=True))
-        arrays = [pa.array(list(c), pa.int64()) for c in columns[:4]] + [pa.array(list(c), pa.binary()) for c in columns[4:]]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
+            ids = np.frombuffer(raw, dtype=f"<u{width}").astype("<u4").tobytes()
+            place, found = 0, []
+            for n in lengths:
+                found.append(hashlib.blake2b(ids[place : place + 4 * n], digest_size=DIGEST).digest())
+                place += 4 * n
+            found = b"".join(found)
+            if place != len(ids) or found != names or merkle(found) != root:
+                raise ValueError(f"document {doc_id}: the store's chunks do not give its root")
+            crcs.append(zlib.crc32(ids))
+            whole_ids.append(ids if with_ids else None)
+        start = batch["local_start"].to_numpy() + batch["before"].to_numpy()
+        arrays = [batch["doc_id"], pa.array(start), batch["n_tokens"], pa.array(crcs, pa.int64()), pa.array(whole_ids, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays[: 4 + with_ids], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
 
     return map_batches(every.join(F.broadcast(offset), "part"), rebuild, fields)

@@ -7,9 +7,13 @@ pieces' ids are joined. The ids equal those of the whole text.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: The code points of Unicode's White_Space, which the tokenizers' patterns call \s.
@@ -18,13 +22,15 @@ WHITE = "".join(map(chr, WHITE_POINTS))
 #: Pieces that keep the white space before them: in byte-level BPE it belongs to the next token.
 LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Texts that a split at single blanks and line ends would not cut like LEADING.
-UNEVEN = re.compile(f"[{WHITE}][{WHITE}]|\0")
+UNEVEN = f"[{WHITE}][{WHITE}]|\\x00"
 #: Marks that end a run of letters in both tokenizers' patterns (an apostrophe may not).
 MARKS = "!#$%&*+,-./:;=?@|~)"
 #: Letters up to here have one form only, so that a word of them goes straight to the model.
 PLAIN = chr(0x17F)
-#: Distinct pieces kept by a worker; about 170 MB. A full cache is emptied.
-CACHE_PIECES = 800_000
+#: Known keys of a worker, some 20 MB with their ids. When there are more, it starts again with the first ones.
+CACHE_KEYS, KEPT_KEYS = 500_000, 60_000
+#: Bytes of text that are encoded at once; what lies between text and ids is some thirty times as large.
+PART_BYTES = 4 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,64 +43,146 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
-class Pieces(dict):
-    """Ids by piece; a new one is encoded when it's looked up."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self[key] = self.encode(key)
-        return ids
-
-
 class Encoder:
-    """Encodes whole texts to little-endian unsigned 32-bit ids."""
+    """Encodes whole texts to little-endian unsigned 32-bit ids.
+
+    Keys: a run of letters stands for itself after a blank (byte-level BPE) or alone (tokenizers that drop
+    white space). In byte-level BPE any other key stands for itself after a blank too, but for one that
+    starts with a line end (itself) or a NUL (the rest of it). The ids of known keys lie end to end in
+    ``pool``; looking up a batch's different keys is one Arrow call.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.drops_white = not self.tokenizer.encode(" \n ", add_special_tokens=False).ids
-        self.cache = Pieces(self._piece)
+        self.line_end = b"" if self.drops_white else self._full("\n")
+        self.keys = pa.array([""], pa.string())
+        self.ids = [b"" if self.drops_white else self._full(" ")]
+        self.pool, self.size = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int32)
+        self._pooled = 0
+
+    def _full(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str, blank: bool) -> bytes:
+        if max(word) > PLAIN or "\u0130" in word:
+            return self._full(" " + word if blank else word)
+        if self.drops_white:
+            word, blank = word.lower(), False
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [x.id for x in self.tokenize(BYTE_LETTERS[32] + letters if blank else letters)]).tobytes()
 
-    def cut(self, text: str) -> list[str]:
-        """Keys of the text's pieces; see ``real``."""
+    def _key(self, key: str) -> bytes:
+        if key.isalpha():
+            return self._letters(key, not self.drops_white)
         if self.drops_white:
-            return text.replace("\n", " ").split(" ")
-        if UNEVEN.search(text):
-            return ["\0" + x for x in LEADING.findall(text)]
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\0" + pieces[0]
-        return pieces
-
-    def real(self, key: str) -> str:
-        """What a key stands for: itself after a NUL, itself if it starts a line, else a blank and itself."""
+            return self._full(key)
+        head = b""
+        if key[0] == "\n":  # a line end before a word is a token of its own
+            head, key = self.line_end, "\0" + key[1:]
+        if key[0] != "\0":
+            return self._full(" " + key)
+        word = key[1:].rstrip(MARKS)
+        tail = key[1 + len(word) :]
+        if not word.isalpha():
+            return head + self._full(key[1:])
+        return head + self._letters(word, False) + (self._full(tail) if tail else b"")
+
+    def _find(self, keys: pa.Array) -> np.ndarray:
+        """The places of ``keys``, which are all different, among the known ones; new ones are encoded."""
+        at = pc.index_in(keys, value_set=self.keys)
+        if at.null_count:
+            missing = keys.filter(pc.is_null(at))
+            self.ids += [self._key(x) for x in missing.to_numpy(zero_copy_only=False).tolist()]
+            places = at.to_numpy(zero_copy_only=False)
+            new = np.isnan(places)
+            places[new] = len(self.keys) + np.arange(len(missing))
+            self.keys = pa.concat_arrays([self.keys, missing])
+            return places.astype(np.int64)
+        return at.to_numpy().astype(np.int64)
+
+    def _refresh(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length in ``pool`` of each known key's ids."""
+        new = self.ids[self._pooled :]
+        if new:
+            self.pool = np.append(self.pool, np.frombuffer(b"".join(new), dtype="<u4"))
+            self.size = np.append(self.size, np.fromiter(map(len, new), dtype=np.int32, count=len(new)) >> 2)
+            self.ids[self._pooled :] = [None] * len(new)
+            self._pooled = len(self.ids)
+        return (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.int32), self.size
+
+    def _cut(self, column: pa.Array) -> pa.ListArray:
+        """The keys of texts that have no run of white space but single blanks and line ends."""
         if self.drops_white:
-            return key
-        return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
-
-    def _piece(self, key: str) -> bytes:
-        word = key.rstrip(MARKS)
-        if not word.isalpha() or max(word) > PLAIN or "\u0130" in word:
-            return array("I", self.tokenizer.encode(self.real(key), add_special_tokens=False).ids).tobytes()
-        if len(word) < len(key):  # a word and the marks after it: the patterns part them
-            tail = key[len(word) :]
-            return self.cache[word] + self.cache[tail if self.drops_white else "\0" + tail]
+            return pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        return pc.split_pattern(pc.binary_join_element_wise("\0", pc.replace_substring(column, "\n", " \n"), ""), " ")
+
+    def _encode(self, cut: pa.ListArray) -> list[bytes]:
+        """Each row's ids. A key is looked up once, however often it stands in the batch."""
+        encoded = cut.flatten().dictionary_encode()
+        keys, index = encoded.dictionary, encoded.indices.to_numpy()
+        stems = pc.utf8_rtrim(keys, characters=MARKS)
+        alpha = pc.utf8_is_alpha(stems)
+        # a word and the marks after it are two keys: the patterns part them
+        marked = pc.and_(alpha, pc.not_equal(pc.binary_length(stems), pc.binary_length(keys)))
+        tails = pc.replace_substring_regex(keys.filter(marked), "^\\p{L}+", "")
         if self.drops_white:
-            low = word.lower()
-            if low != word:
-                return self.cache[low]
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            stems = pc.if_else(alpha, pc.ascii_lower(stems), stems)
         else:
-            letters = BYTE_LETTERS[32] + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS))
-        return array("I", [x.id for x in self.tokenize(letters)]).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+            tails = pc.binary_join_element_wise("\0", tails, "")
+        heads = pc.if_else(alpha, stems, keys).dictionary_encode()
+        tails = tails.dictionary_encode()
+        first = self._find(heads.dictionary)[heads.indices.to_numpy()]
+        second = np.full(len(keys), -1)
+        second[marked.to_numpy(zero_copy_only=False)] = self._find(tails.dictionary)[tails.indices.to_numpy()]
+        start, size = self._refresh()
+        size2 = np.append(size, 0)  # place -1: nothing
+        both = np.stack([first, second], axis=1)[index].ravel()
+        n = size2[both]
+        at = np.append(0, np.cumsum(n, dtype=np.int64))
+        gaps = start[both] - at[:-1].astype(np.int32)
+        ids = self.pool[np.repeat(gaps, n) + np.arange(at[-1], dtype=np.int32)].tobytes()
+        ends = 4 * at[2 * (cut.offsets.to_numpy() - cut.offsets[0].as_py())]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, self.cut(x))) if x else b"" for x in texts]
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            first = len(out)
+            before = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, before + PART_BYTES, side="right")))
+            out += self._encode_part(texts.slice(first, last - first))
+        pa.default_memory_pool().release_unused()
+        return out
+
+    def _encode_part(self, texts: pa.Array) -> list[bytes]:
+        if len(self.keys) > CACHE_KEYS:
+            self._refresh()
+            self.keys, self.ids, self.size = pa.concat_arrays([self.keys[:KEPT_KEYS]]), self.ids[:KEPT_KEYS], self.size[:KEPT_KEYS].copy()
+            self.pool, self._pooled = self.pool[: int(self.size.sum())].copy(), KEPT_KEYS
+        collects = gc.isenabled()
+        gc.disable()  # lists of strings hold no cycles, and there are very many of them
+        try:
+            column = pc.fill_null(texts, "")
+            odd = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False) if not self.drops_white else np.zeros(len(column), dtype=bool)
+            empty = pc.equal(column, "").to_numpy(zero_copy_only=False)
+            out = np.full(len(column), b"", dtype=object)
+            for rows, cut in ((~odd & ~empty, self._cut), (odd, _leading)):
+                if rows.any():
+                    part = column.filter(pa.array(rows))
+                    for i, ids in zip(np.flatnonzero(rows).tolist(), self._encode(cut(part)), strict=True):
+                        out[i] = ids
+            return out.tolist()
+        finally:
+            if collects:
+                gc.enable()
+
+
+def _leading(column: pa.Array) -> pa.ListArray:
+    return pa.array([["\0" + x for x in LEADING.findall(text)] for text in column.to_pylist()], pa.list_(pa.string()))
 
 
 _encoders: dict[str, Encoder] = {}
