@@ -86,33 +86,23 @@ def greedy(edges: list[list[tuple]], seeds: tuple[float, ...], ignored: Callable
     return out
 
 
-def bbox_similarity(gt: DataFrame, dt: DataFrame) -> Column:
-    return box_iou(gt["bbox"], dt["bbox"], gt["iscrowd"])
+def bbox_similarity(g: Column, d: Column) -> Column:
+    """Of the struct columns of both sides."""
+    return box_iou(g["bbox"], d["bbox"], g["iscrowd"])
 
 
-def candidates(gt: DataFrame, dt: DataFrame, least: float, similarity: Callable[[DataFrame, DataFrame], Column] | None = None) -> DataFrame:
+def candidates(gt: DataFrame, dt: DataFrame, least: float, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """A row per detection of ``dt``, with ``edges``: its candidates in its cell at ``least`` or more."""
-    g = gt.select(*CELL, F.col("ord").alias("g_ord"), "ann_id", F.col("area").alias("g_area"), "ign", "iscrowd", *[c for c in ("bbox", "keypoints", "mask") if c in gt.columns])
-    d = dt
-    score = similarity or bbox_similarity
-    joined = d.alias("d").join(g.alias("g"), CELL, "left")
-    iou = score(_side("g", g), _side("d", d))
-    edge = F.struct("g_ord", "ann_id", "g_area", "ign", F.col("g.iscrowd").alias("crowd"), iou.alias("iou"))
-    known = joined.select(*CELL, "dt_id", "score", F.col("d.area").alias("area"), "rank", F.when(F.col("ann_id").isNotNull(), edge).alias("e"))
+    shapes = [c for c in ("bbox", "keypoints", "mask", "band", "tight") if c in gt.columns]
+    g = gt.select(*CELL, F.struct("ord", "ann_id", "category_id", "area", "ign", F.coalesce("iscrowd", F.lit(False)).alias("iscrowd"), *shapes).alias("g"))
+    d = dt.select(*CELL, "dt_id", "score", "area", "rank", F.struct("area", *[c for c in shapes if c in dt.columns]).alias("d"))
+    iou = (similarity or bbox_similarity)(F.col("g"), F.col("d"))
+    edge = F.struct(F.col("g.ord").alias("g_ord"), F.col("g.ann_id").alias("ann_id"), F.col("g.area").alias("g_area"), F.col("g.ign").alias("ign"), F.col("g.iscrowd").alias("crowd"), iou.alias("iou"))
+    known = d.join(g, CELL, "left").select(*CELL, "dt_id", "score", "area", "rank", F.when(F.col("g").isNotNull(), edge).alias("e"))
     wanted = F.when(F.col("e.iou") >= least, F.col("e"))
     return known.groupBy(*CELL, "dt_id", "score", "area", "rank").agg(F.collect_list(wanted).alias("edges"))
 
 
-class _side:
-    """Columns of one side of a self-explanatory alias."""
-
-    def __init__(self, alias: str, df: DataFrame):
-        self.alias, self.columns = alias, df.columns
-
-    def __getitem__(self, name: str) -> Column:
-        return F.col(f"{self.alias}.{name}")
-
-
 def match(gt: DataFrame, dt: DataFrame, params: Params, similarity: Callable | None = None, exhaustive: DataFrame | None = None) -> DataFrame:
     """``matches`` of ``dt`` (with ``rank``) against ``gt`` (with ``ign``).
 
