@@ -3,7 +3,7 @@
 Only DataFrame functions. Each text becomes a few counts; those that pass the limits also become a
 vector of transformed rates. For every (language, source) the minimum covariance determinant is
 approached by concentration steps: from medians and median deviations, the mean and covariance of
-the three quarters of the rows with the smallest distances, again and again. A document goes if its
+the six tenths of the rows with the smallest distances, again and again. A document goes if its
 squared Mahalanobis distance from its group's estimate is over ``CUTOFF``. A group of fewer than
 ``LEAST`` rows uses its language's estimate, and a language of fewer that of all rows.
 
@@ -27,7 +27,7 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Rows that an estimate needs.
 LEAST = 100
 #: Share of the rows whose covariance determinant is minimised.
-KEPT_SHARE = 0.75
+KEPT_SHARE = 0.6
 STEPS = 3
 #: Squared distances over this are outliers. For normal vectors of four entries 1 in 10 ** 20 is.
 CUTOFF = 100.0

@@ -199,13 +199,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     settled.write.option("compression", "zstd").parquet(f"{path}/recipes")
     drop_staged(spark, temp)
 
-    def seal(roots: list[bytes]) -> bytes:
+    @F.udf(T.BinaryType())
+    def seal(roots):
         return merkle(b"".join(roots))
 
     # a part's roots: 16 bytes a document of one file
     recipes = spark.read.parquet(f"{path}/recipes").select("part", "local_start", "n_tokens", "root")
     sealed = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("local_start", "root"))), lambda x: x["root"]).alias("roots"))
-    sealed.withColumn("root", F.udf(seal, T.BinaryType())("roots")).drop("roots").write.parquet(f"{path}/manifest")
+    sealed.withColumn("root", seal("roots")).drop("roots").write.parquet(f"{path}/manifest")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
