@@ -16,7 +16,8 @@ def scored(matches: DataFrame, iou_idx: int, min_score: float = 0.05) -> DataFra
     """``category_id, image_id, score, correct`` of the detections of all areas that count at a threshold."""
     hit, ign = F.shiftright(F.col("matched")[0], iou_idx), F.shiftright(F.col("ignored")[0], iou_idx)
     rows = matches.where(ign.bitwiseAND(F.lit(1)) == 0)
-    return rows.select("category_id", "image_id", "score", hit.bitwiseAND(F.lit(1)).cast("double").alias("correct")).where(F.col("score") >= min_score)
+    # read for the edges and again for the bins
+    return rows.select("category_id", "image_id", "score", hit.bitwiseAND(F.lit(1)).cast("double").alias("correct")).where(F.col("score") >= min_score).persist()
 
 
 def quantiles(df: DataFrame, name: str, shares: list[float], split: bool | None = None) -> list[float]:

@@ -70,6 +70,8 @@ def true_positives(matches: DataFrame, params: Params, extra: list[str] | None =
     """A row per true positive of each lane: its score and the counts ``tp`` and ``fp`` up to it."""
     extra = extra or []
     n = len(params.iou_thresholds)
+    if split is None:
+        matches = matches.persist()  # the largest key is counted first
     rows = lanes(matches, params, extra)
     sums = {f"tp_{t}": _bit(F.col("hit").bitwiseAND(F.bitwise_not("ign")), t) for t in range(n)} | {f"fp_{t}": _bit(F.bitwise_not(F.col("hit").bitwiseOR(F.col("ign"))), t) for t in range(n)}
     keys = [*extra, "category_id", "area_idx", "m_idx"]
@@ -78,13 +80,8 @@ def true_positives(matches: DataFrame, params: Params, extra: list[str] | None =
     return counted.select(*keys, "score", F.explode(F.array_compact(per_t)).alias("x")).select(*keys, "x.t_idx", "score", "x.tp", "x.fp")
 
 
-def curve(matches: DataFrame, npig: DataFrame, params: Params, extra: list[str] | None = None, split: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """Sparse ``pr(.., r_idx, precision, score)`` and ``rec(.., recall)``, per lane.
-
-    A recall threshold that a lane's curve doesn't reach has no row in ``pr``: its precision is 0. A lane
-    without true positives has no row in ``rec``: its recall is 0. Lanes without ground truth that
-    counts have neither, and no value.
-    """
+def steps(matches: DataFrame, npig: DataFrame, params: Params, extra: list[str] | None = None, split: bool | None = None) -> DataFrame:
+    """Each lane's precision as steps: ``precision`` and ``score`` hold for the recall indices over ``next`` up to ``b``; ``tp`` true positives reach ``b``."""
     extra = extra or []
     lane = [*extra, *LANE]
     known = npig.where(F.col("npig") > 0).select(*extra, "category_id", "area_idx", "npig")
@@ -92,20 +89,31 @@ def curve(matches: DataFrame, npig: DataFrame, params: Params, extra: list[str]
     tps = tps.withColumn("b", _reached(F.col("tp") / F.col("npig"), params.recall_thresholds)).withColumn("precision", F.col("tp") / ((F.col("tp") + F.col("fp")) + F.lit(EPS)))
     best = tps.groupBy(*lane, "npig", "b").agg(F.max("precision").alias("p"), F.max("score").alias("s"), F.max("tp").alias("tp"))
     down = Window.partitionBy(*lane).orderBy(F.desc("b"))
-    run = best.select("*", F.max("p").over(down).alias("precision"), F.max("s").over(down).alias("at"), F.coalesce(F.lead("b").over(down), F.lit(-1)).alias("next"))
-    pr = run.where(F.col("b") > F.col("next")).select(*lane, F.explode(F.sequence(F.col("next") + 1, F.col("b"))).alias("r_idx"), "precision", F.col("at").alias("score"))
-    rec = best.groupBy(*lane).agg((F.max("tp") / F.first("npig")).alias("recall"))
-    return pr, rec
+    return best.select(*lane, "npig", "b", "tp", F.max("p").over(down).alias("precision"), F.max("s").over(down).alias("score"), F.coalesce(F.lead("b").over(down), F.lit(-1)).alias("next"))
+
+
+def curve(matches: DataFrame, npig: DataFrame, params: Params, extra: list[str] | None = None, split: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sparse ``pr(.., r_idx, precision, score)`` and ``rec(.., recall)``, per lane.
+
+    A recall threshold that a lane's curve doesn't reach has no row in ``pr``: its precision is 0. A lane
+    without true positives has no row in ``rec``: its recall is 0. Lanes without ground truth that
+    counts have neither, and no value.
+    """
+    lane = [*(extra or []), *LANE]
+    found = steps(matches, npig, params, extra, split)
+    pr = found.where(F.col("b") > F.col("next")).select(*lane, F.explode(F.sequence(F.col("next") + 1, F.col("b"))).alias("r_idx"), "precision", "score")
+    return pr, found.groupBy(*lane).agg((F.max("tp") / F.first("npig")).alias("recall"))
 
 
-def lane_values(pr: DataFrame, rec: DataFrame, npig: DataFrame, params: Params, extra: list[str] | None = None) -> DataFrame:
+def lane_values(matches: DataFrame, npig: DataFrame, params: Params, extra: list[str] | None = None, split: bool | None = None) -> DataFrame:
     """``category_id, area_idx, m_idx, t_idx, ap, ar`` of every lane with ground truth that counts."""
     extra = extra or []
     lane = [*extra, *LANE]
     grid = F.array(*[F.struct(F.lit(m).alias("m_idx"), F.lit(t).alias("t_idx")) for m in range(len(params.max_dets)) for t in range(len(params.iou_thresholds))])
     every = npig.where(F.col("npig") > 0).select(*extra, "category_id", "area_idx", F.explode(grid).alias("x")).select(*extra, "category_id", "area_idx", "x.*")
-    ap = pr.groupBy(*lane).agg((F.sum("precision") / len(params.recall_thresholds)).alias("ap"))
-    return every.join(ap, lane, "left").join(rec, lane, "left").select(*lane, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("ar"))
+    area = F.sum(F.col("precision") * (F.col("b") - F.col("next"))) / len(params.recall_thresholds)
+    found = steps(matches, npig, params, extra, split).groupBy(*lane).agg(area.alias("ap"), (F.max("tp") / F.first("npig")).alias("ar"))
+    return every.join(found, lane, "left").select(*lane, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
 
 
 def dense(pr: DataFrame, npig: DataFrame, params: Params) -> DataFrame:

@@ -6,12 +6,14 @@ the JVM, and run only the sequential part in Arrow passes over whole cells. The
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelyard.errors import InvalidConfig
-from pixelyard.functions.geometry import box_iou
+from pixelyard.functions.geometry import box_iou, intersection
 from pixelyard.functions.numeric import linspace
 from pixelyard.operators import curves, matching
 from pixelyard.operators.matching import CELL, greedy
@@ -30,38 +32,34 @@ def refuse_federated(federated: bool) -> None:
         raise InvalidConfig("this diagnostic isn't defined for federated ground truth")
 
 
-def _cells(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
-    return rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("dts"))
-
-
 # ---------------------------------------------------------------- optimal LRP
 
 
 def lrp_matches(gt: DataFrame, dt: DataFrame, tp_threshold: float = 0.5, similarity=None) -> DataFrame:
     """``image_id, category_id, dt_id, score, hit, iou``; detections that fall on ignored ground truth only are left out."""
     ship(gt.sparkSession)
-    cells = _cells(matching.candidates(gt, dt, tp_threshold, similarity), CELL, "rank", "dt_id", "score", "edges")
+    rows = matching.cells(gt, dt, tp_threshold, similarity)
 
     def run(batches):
         for batch in batches:
             out = []
-            for image, category, dts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for image, category, dts, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 taken: set[int] = set()
-                for d in dts:
+                for d, edges in zip(dts, matching.edges_by_place(dts, found), strict=True):
                     best, pick = tp_threshold, None
-                    for e in sorted(d["edges"], key=lambda e: e["g_ord"]):
-                        if e["ann_id"] not in taken and not (e["crowd"] or e["ign"]) and e["iou"] >= best:
-                            best, pick = e["iou"], e["ann_id"]
+                    for _, ann_id, _, ign, crowd, value in sorted(edges):
+                        if ann_id not in taken and not (crowd or ign) and value >= best:
+                            best, pick = value, ann_id
                     if pick is not None:
                         taken.add(pick)
                         out.append((image, category, d["dt_id"], d["score"], True, best))
-                    elif not any(e["crowd"] or e["ign"] for e in d["edges"]):
+                    elif not any(e[3] or e[4] for e in edges):
                         out.append((image, category, d["dt_id"], d["score"], False, 0.0))
             if out:
                 types = [pa.int64()] * 3 + [pa.float64(), pa.bool_(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["image_id", "category_id", "dt_id", "score", "hit", "iou"])
 
-    return cells.mapInArrow(run, "image_id long, category_id long, dt_id long, score double, hit boolean, iou double")
+    return rows.select(*CELL, "dts", "edges").mapInArrow(run, "image_id long, category_id long, dt_id long, score double, hit boolean, iou double")
 
 
 def optimal_lrp(matches: DataFrame, n_gt: DataFrame, tp_threshold: float = 0.5, tau_grid: tuple[float, ...] = TAU_GRID, extra: list[str] | None = None) -> DataFrame:
@@ -108,14 +106,14 @@ def lrp_report(per_class: DataFrame, extra: list[str] | None = None) -> DataFram
 # ------------------------------------------------------------ across classes
 
 
-def image_candidates(gt: DataFrame, dt: DataFrame, similarity=None) -> DataFrame:
-    """All pairs of an image that overlap, whatever their classes: ``dt`` columns and ``e``; detections without one have a null ``e``."""
-    g = gt.select("image_id", F.col("category_id").alias("g_cat"), F.col("ord").alias("g_ord"), "ann_id", F.col("bbox").alias("g_bbox"), F.col("area").alias("g_area"), "ign", "iscrowd")
+def image_pairs(gt: DataFrame, dt: DataFrame, similarity=None) -> DataFrame:
+    """The pairs of an image that overlap, whatever their classes: columns of ``dt`` and ``e``."""
+    g = gt.select("image_id", F.col("category_id").alias("g_cat"), F.col("ord").alias("g_ord"), "ann_id", F.col("bbox").alias("g_bbox"), "ign", "iscrowd")
+    d = dt.select("image_id", "category_id", "dt_id", "rank", "bbox")
+    joined = d.join(g, "image_id").where(intersection(F.col("g_bbox"), F.col("bbox")) > 0)
     iou = (similarity or box_iou)(F.col("g_bbox"), F.col("bbox"), F.col("iscrowd"))
-    plain = box_iou(F.col("g_bbox"), F.col("bbox"))
-    joined = dt.join(g, "image_id", "left").withColumns({"iou": iou, "plain": plain})
-    edge = F.struct("g_ord", "ann_id", "g_cat", "ign", F.col("iscrowd").alias("crowd"), "iou", "plain")
-    return joined.withColumn("e", F.when((F.col("iou") > 0) | (F.col("plain") > 0), edge)).select(*[F.col(c) for c in dt.columns], "e", "g_bbox")
+    edge = F.struct("g_ord", "ann_id", "g_cat", "ign", F.col("iscrowd").alias("crowd"), iou.alias("iou"), box_iou(F.col("g_bbox"), F.col("bbox")).alias("plain"))
+    return joined.select("image_id", "category_id", "dt_id", "rank", edge.alias("e"))
 
 
 def confusion_matrix(gt: DataFrame, dt: DataFrame, t_f: float = 0.5, max_dets: int = 100, similarity=None) -> DataFrame:
@@ -126,30 +124,30 @@ def confusion_matrix(gt: DataFrame, dt: DataFrame, t_f: float = 0.5, max_dets: i
     """
     ship(gt.sparkSession)
     top = matching.top_k(dt, max_dets, ["image_id"])
-    rows = image_candidates(gt, top, similarity)
-    strong = F.when(F.col("e.iou") >= t_f, F.col("e"))
-    per_dt = rows.groupBy("image_id", "rank", "dt_id", "category_id").agg(F.collect_list(strong).alias("edges"))
-    cells = per_dt.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "dt_id", "category_id", "edges"))).alias("dts"))
+    strong = image_pairs(gt, top, similarity).where(F.col("e.iou") >= t_f)
+    cells = strong.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "dt_id", "category_id", "e"))).alias("edges"))
 
     def run(batches):
         for batch in batches:
             out = []
-            for dts in batch.column(0).to_pylist():
+            for edges in batch.column(0).to_pylist():
                 taken: set[int] = set()
-                for d in dts:
+                for _, own in groupby(edges, key=lambda x: x["rank"]):
                     best, pick = -1.0, None
-                    for e in sorted(d["edges"], key=lambda e: e["g_ord"]):
-                        if e["ann_id"] not in taken and e["iou"] > best:
-                            best, pick = e["iou"], e
-                    if pick is None:
-                        out.append((None, None, d["category_id"]))
-                    elif not pick["ign"]:
-                        taken.add(pick["ann_id"])
-                        out.append((pick["ann_id"], pick["g_cat"], d["category_id"]))
+                    for x in own:  # in order of rank and then of the ground truth
+                        if x["e"]["ann_id"] not in taken and x["e"]["iou"] > best:
+                            best, pick = x["e"]["iou"], x
+                    if pick is not None:
+                        e = pick["e"]
+                        if not e["ign"]:
+                            taken.add(e["ann_id"])
+                        out.append((pick["dt_id"], e["ann_id"], None if e["ign"] else e["g_cat"], pick["category_id"]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["ann_id", "g", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["dt_id", "ann_id", "g", "d"])
 
-    taken = cells.select("dts").mapInArrow(run, "ann_id long, g long, d long")
+    met = cells.select("edges").mapInArrow(run, "dt_id long, ann_id long, g long, d long").persist()
+    alone = top.join(met.select("dt_id"), "dt_id", "left_anti").select(F.lit(None).cast("long").alias("ann_id"), F.lit(None).cast("long").alias("g"), F.col("category_id").alias("d"))
+    taken = met.where("g is not null").select("ann_id", "g", "d").unionByName(alone)
     missed = gt.where(~F.col("ign")).select("ann_id", F.col("category_id").alias("g")).join(taken.where("ann_id is not null").select("ann_id"), "ann_id", "left_anti").select("g", F.lit(None).cast("long").alias("d"))
     both = taken.select("g", "d").unionByName(missed)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
@@ -164,12 +162,13 @@ def tide_bins(gt: DataFrame, dt: DataFrame, t_f: float = 0.5, t_b: float = 0.1,
     """
     ship(gt.sparkSession)
     top = matching.top_k(dt, max_dets, ["image_id"])
-    rows = image_candidates(gt, top, similarity)
+    rows = image_pairs(gt, top, similarity)
     same = F.col("e.g_cat") == F.col("category_id")
     # strictly larger wins, so the first in input order among equal ones
     best = lambda here: F.max_by(F.struct("e.iou", "e.ann_id"), F.when(here & (F.col("e.iou") > 0), F.struct("e.iou", -F.col("e.g_ord"))))
-    per_dt = rows.groupBy("image_id", "category_id", "dt_id", "rank").agg(F.collect_list(F.when(same & (F.col("e.plain") >= t_f), F.col("e"))).alias("edges"), best(same).alias("same"), best(~same).alias("cross"))
-    cells = per_dt.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("rank", "dt_id", "edges", "same", "cross"))).alias("dts"))
+    found = rows.groupBy("image_id", "category_id", "dt_id", "rank").agg(F.collect_list(F.when(same & (F.col("e.plain") >= t_f), F.col("e"))).alias("edges"), best(same).alias("same"), best(~same).alias("cross"))
+    every = top.select("image_id", "category_id", "dt_id", "rank").join(found, ["image_id", "category_id", "dt_id", "rank"], "left")
+    cells = every.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("rank", "dt_id", F.coalesce("edges", F.array()).alias("edges"), "same", "cross"))).alias("dts"))
     seeds = (min(t_f, MOST_SEED),)
 
     def run(batches):
@@ -237,8 +236,7 @@ def error_decomposition(gt: DataFrame, dt: DataFrame, params: Params, t_f: float
     one = params.but(max_dets=(max_dets,), areas=params.areas[:1])
     matches = matching.match(new_gt, matching.top_k(new_dt, max_dets), one)
     npig = matching.ground_truth_counts(new_gt, one)
-    pr, rec = curves.curve(matches, npig, one)
-    values = curves.lane_values(pr, rec, npig, one)
+    values = curves.lane_values(matches, npig, one)
     maps = values.groupBy((F.col("category_id") % n).cast("int").alias("k")).agg(F.avg("ap").alias("map"))
     rows = maps.sparkSession.createDataFrame(list(enumerate(kinds)), "k int, fix string")
     every = rows.join(maps, "k", "left").select("k", "fix", F.coalesce("map", F.lit(0.0)).alias("map"))

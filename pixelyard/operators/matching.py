@@ -91,16 +91,35 @@ def bbox_similarity(g: Column, d: Column) -> Column:
     return box_iou(g["bbox"], d["bbox"], g["iscrowd"])
 
 
-def candidates(gt: DataFrame, dt: DataFrame, least: float, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """A row per detection of ``dt``, with ``edges``: its candidates in its cell at ``least`` or more."""
+def scored_pairs(gt: DataFrame, dt: DataFrame, least: float, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``image_id, category_id, rank, dt_id, edge`` of every pair of a cell at ``least`` or more.
+
+    The pairs stay inside the join and the filter above it; only those that are left are gathered later.
+    """
     shapes = [c for c in ("bbox", "keypoints", "mask", "band", "tight") if c in gt.columns]
     g = gt.select(*CELL, F.struct("ord", "ann_id", "category_id", "area", "ign", F.coalesce("iscrowd", F.lit(False)).alias("iscrowd"), *shapes).alias("g"))
-    d = dt.select(*CELL, "dt_id", "score", "area", "rank", F.struct("area", *[c for c in shapes if c in dt.columns]).alias("d"))
-    iou = (similarity or bbox_similarity)(F.col("g"), F.col("d"))
-    edge = F.struct(F.col("g.ord").alias("g_ord"), F.col("g.ann_id").alias("ann_id"), F.col("g.area").alias("g_area"), F.col("g.ign").alias("ign"), F.col("g.iscrowd").alias("crowd"), iou.alias("iou"))
-    known = d.join(g, CELL, "left").select(*CELL, "dt_id", "score", "area", "rank", F.when(F.col("g").isNotNull(), edge).alias("e"))
-    wanted = F.when(F.col("e.iou") >= least, F.col("e"))
-    return known.groupBy(*CELL, "dt_id", "score", "area", "rank").agg(F.collect_list(wanted).alias("edges"))
+    d = dt.select(*CELL, "rank", "dt_id", F.struct("area", *[c for c in shapes if c in dt.columns]).alias("d"))
+    near = d.join(g, CELL).withColumn("iou", (similarity or bbox_similarity)(F.col("g"), F.col("d"))).where(F.col("iou") >= least)
+    edge = F.struct(F.col("g.ord").alias("g_ord"), F.col("g.ann_id").alias("ann_id"), F.col("g.area").alias("g_area"), F.col("g.ign").alias("ign"), F.col("g.iscrowd").alias("crowd"), "iou")
+    return near.select(*CELL, "rank", "dt_id", edge.alias("edge"))
+
+
+def cells(gt: DataFrame, dt: DataFrame, least: float, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """A row a cell with detections: ``dts`` in order of rank, and ``edges`` with the ranks they belong to (null without any)."""
+    dts = dt.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("rank", "dt_id", "score", "area"))).alias("dts"))
+    edges = scored_pairs(gt, dt, least, similarity).groupBy(*CELL).agg(F.collect_list(F.struct("rank", "edge")).alias("edges"))
+    return dts.join(edges, CELL, "left")
+
+
+def edges_by_place(dts: list[dict], edges: list[dict] | None) -> list[list[tuple]]:
+    """For each of ``dts`` its candidates ``(ord, ann_id, area, ign, crowd, iou)``."""
+    out: list[list[tuple]] = [[] for _ in dts]
+    if edges:
+        place = {d["rank"]: i for i, d in enumerate(dts)}
+        for x in edges:
+            e = x["edge"]
+            out[place[x["rank"]]].append((e["g_ord"], e["ann_id"], e["g_area"], e["ign"], e["crowd"], e["iou"]))
+    return out
 
 
 def match(gt: DataFrame, dt: DataFrame, params: Params, similarity: Callable | None = None, exhaustive: DataFrame | None = None) -> DataFrame:
@@ -110,19 +129,18 @@ def match(gt: DataFrame, dt: DataFrame, params: Params, similarity: Callable | N
     """
     ship(gt.sparkSession)
     seeds, areas = params.seeds, [(a.lo, a.hi) for a in params.areas]
-    rows = candidates(gt, dt, min(seeds), similarity)
-    cells = rows.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("rank", "dt_id", "score", "area", "edges"))).alias("dts"))
+    rows = cells(gt, dt, min(seeds), similarity)
     if exhaustive is not None:
-        cells = cells.join(exhaustive.select(*CELL).distinct().withColumn("open", F.lit(True)), CELL, "left")
+        rows = rows.join(exhaustive.select(*CELL).distinct().withColumn("open", F.lit(True)), CELL, "left")
     else:
-        cells = cells.withColumn("open", F.lit(False))
+        rows = rows.withColumn("open", F.lit(False))
     full = (1 << len(seeds)) - 1
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for image, category, dts, open_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                edges = [[(e["g_ord"], e["ann_id"], e["g_area"], e["ign"], e["crowd"], e["iou"]) for e in d["edges"]] for d in dts]
+            for image, category, dts, found, open_ in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                edges = edges_by_place(dts, found)
                 some = [i for i, own in enumerate(edges) if own]
                 every = [edges[i] for i in some]
                 known: dict[tuple, tuple] = {}
@@ -132,8 +150,8 @@ def match(gt: DataFrame, dt: DataFrame, params: Params, similarity: Callable | N
                     if key not in known:
                         picks = greedy(every, seeds, lambda e, lo=lo, hi=hi: e[3] or not lo <= e[2] <= hi)
                         hit, ign, ids = [0] * len(dts), [0] * len(dts), [None] * len(dts)
-                        for t, found in enumerate(picks):
-                            for i, pick in zip(some, found, strict=True):
+                        for t, taken in enumerate(picks):
+                            for i, pick in zip(some, taken, strict=True):
                                 if pick is not None:
                                     hit[i] |= 1 << t
                                     ign[i] |= (pick[3] or not lo <= pick[2] <= hi) << t
@@ -153,10 +171,10 @@ def match(gt: DataFrame, dt: DataFrame, params: Params, similarity: Callable | N
                 names = ["image_id", "category_id", "dt_id", "score", "area", "rank", "matched", "ignored", "gts"]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return cells.select(*CELL, "dts", F.coalesce("open", F.lit(False)).alias("open")).mapInArrow(run, MATCHES)
+    return rows.select(*CELL, "dts", "edges", F.coalesce("open", F.lit(False)).alias("open")).mapInArrow(run, MATCHES)
 
 
 def pairs(gt: DataFrame, dt: DataFrame, floor: float = 0.1, similarity: Callable | None = None) -> DataFrame:
     """``image_id, category_id, dt_id, ann_id, iou`` of every pair of a cell at ``floor`` or more."""
-    rows = candidates(gt, dt, floor, similarity).select(*CELL, "dt_id", F.explode("edges").alias("e"))
-    return rows.select(*CELL, "dt_id", F.col("e.ann_id").alias("ann_id"), F.col("e.iou").alias("iou"))
+    rows = scored_pairs(gt, dt, floor, similarity)
+    return rows.select(*CELL, "dt_id", F.col("edge.ann_id").alias("ann_id"), F.col("edge.iou").alias("iou"))

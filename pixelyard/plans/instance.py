@@ -35,7 +35,7 @@ class Result:
 
     def values(self) -> DataFrame:
         if self._values is None:
-            self._values = curves.lane_values(*self.curves(), self.npig, self.params)
+            self._values = curves.lane_values(self.matches, self.npig, self.params)
         return self._values
 
     def summary(self) -> DataFrame:
@@ -49,9 +49,9 @@ class Result:
 
     def _strict_stats(self) -> list[float]:
         """Means of the cube in (threshold, recall, category) order by pairwise sums."""
-        pr, rec = self.curves()
+        pr, _ = self.curves()
         cube = curves.dense(pr, self.npig, self.params).where("precision is not null")
-        lanes = curves.lane_values(pr, rec, self.npig, self.params)
+        lanes = self.values()
         frequency = {r["category_id"]: r["frequency"] for r in self.data.categories.collect()} if "frequency" in self.data.categories.columns else {}
         out = []
         for line in self.plan:
@@ -107,8 +107,7 @@ class Result:
         ranges = F.array(*[F.struct(F.lit(i).alias("area_idx"), F.lit(a.lo).alias("lo"), F.lit(a.hi).alias("hi")) for i, a in enumerate(self.params.areas)])
         counting = slices.fan_out(self.gt, parts).select(*key, "category_id", "area", "ign", F.explode(ranges).alias("r"))
         npig = counting.groupBy(*key, "category_id", F.col("r.area_idx").alias("area_idx")).agg(F.count_if(~F.col("ign") & F.col("area").between(F.col("r.lo"), F.col("r.hi"))).alias("npig"))
-        pr, rec = curves.curve(slices.fan_out(self.matches, parts), npig, self.params, key)
-        return summary.lines(curves.lane_values(pr, rec, npig, self.params, key), self.params, self.plan, self.data.categories, key)
+        return summary.lines(curves.lane_values(slices.fan_out(self.matches, parts), npig, self.params, key), self.params, self.plan, self.data.categories, key)
 
     def metrics(self) -> dict[str, float]:
         """Flat names: ``map, map_50, ..`` and ``mar_<cap>``."""

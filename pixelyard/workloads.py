@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelyard.functions.geometry import box
-from pixelyard.operators import calibration, curves, diagnostics, federated, matching, panoptic, semantic, slices, summary, tables
+from pixelyard.functions.geometry import COCO_SIGMAS, box, oks
+from pixelyard.operators import calibration, curves, diagnostics, federated, masks, matching, panoptic, semantic, slices, summary, tables
 from pixelyard.plans.params import AREAS, Params, coco_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,9 +210,7 @@ def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lane_values(spark: SparkSession, sf_dir: str, params: Params = PARAMS) -> DataFrame:
-    matches, npig = matched(spark, sf_dir, params)
-    pr, rec = curves.curve(matches, npig, params)
-    return curves.lane_values(pr, rec, npig, params)
+    return curves.lane_values(*matched(spark, sf_dir, params), params)
 
 
 @query("ap_per_class", _base(_match_sql(LADDER, FOUR_AREAS), CURVE.format(caps=CAPS)) + """
@@ -289,8 +287,7 @@ def sliced(spark: SparkSession, sf_dir: str, cross: tuple = ()) -> DataFrame:
     a = LADDER_ONE.areas[0]
     counted = slices.fan_out(gt.where(~F.col("ign") & F.col("area").between(a.lo, a.hi)), parts)
     npig = counted.groupBy(*key, "category_id").agg(F.count("*").alias("npig")).withColumn("area_idx", F.lit(0))
-    pr, rec = curves.curve(slices.fan_out(matches, parts), npig, LADDER_ONE, key)
-    return curves.lane_values(pr, rec, npig, LADDER_ONE, key).groupBy(*key).agg(F.avg("ap").alias("ap"), F.avg("ar").alias("ar"))
+    return curves.lane_values(slices.fan_out(matches, parts), npig, LADDER_ONE, key).groupBy(*key).agg(F.avg("ap").alias("ap"), F.avg("ar").alias("ar"))
 
 
 def _slice_sql(parts: str) -> str:
@@ -518,3 +515,85 @@ def panoptic_things_stuff(spark: SparkSession, sf_dir: str) -> DataFrame:
     categories = spark.range(4).select(F.col("id").alias("category_id"), (F.col("id") % 2 == 0).alias("isthing"))
     out = panoptic.average(classes, categories)
     return out.select("label", *[F.round(c, 9).alias(c) for c in ("pq", "sq", "rq")], "n")
+
+
+# ------------------------------------------------- masks, keypoints, streams
+
+#: Each order is a 40 x 50 mask of two bars; runs go down the columns.
+_RLE_SQL = "rle AS (SELECT o_orderkey AS id, [o_custkey % 300, o_orderkey % 90 + 1, o_custkey % 200 + 5, o_orderkey % 70 + 1, 2000 - (o_custkey % 300 + o_orderkey % 90 + 1 + o_custkey % 200 + 5 + o_orderkey % 70 + 1)] AS counts FROM orders)"
+
+
+def rle_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    head = [c % 300, o % 90 + 1, c % 200 + 5, o % 70 + 1]
+    counts = F.array(*[x.cast("long") for x in head], (2000 - (head[0] + head[1] + head[2] + head[3])).cast("long"))
+    return read(spark, sf_dir, "orders").select(o.cast("long").alias("id"), counts.alias("counts"))
+
+
+@query("rle_area", "WITH " + _RLE_SQL + " SELECT id, CAST(counts[2] + counts[4] AS BIGINT) AS area FROM rle")
+def rle_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rle_masks(spark, sf_dir).select("id", masks.rle_area(F.col("counts")).alias("area"))
+
+
+_SPAN = "greatest(0, least({a}1, {b}1) - greatest({a}0, {b}0))"
+
+
+@query("rle_intersect", "WITH " + _RLE_SQL + """,
+ s AS (SELECT id, id % 1000 AS cell, counts[1] AS p0, counts[1] + counts[2] AS p1, counts[1] + counts[2] + counts[3] AS q0, counts[1] + counts[2] + counts[3] + counts[4] AS q1 FROM rle),
+ x AS (SELECT a.id AS a_id, b.id AS b_id, """ + " + ".join(f"greatest(0, least(a.{u}1, b.{v}1) - greatest(a.{u}0, b.{v}0))" for u in "pq" for v in "pq") + """ AS inter, (a.p1 - a.p0 + a.q1 - a.q0) + (b.p1 - b.p0 + b.q1 - b.q0) AS total FROM s a JOIN s b ON a.cell = b.cell AND b.id = a.id + 1000)
+ SELECT a_id, b_id, CAST(inter AS BIGINT) AS inter, round(inter / CAST(total - inter AS DOUBLE), 9) AS iou FROM x""")
+def rle_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mask against the next of its cell."""
+    rows = rle_masks(spark, sf_dir).select("id", masks.rle_area(F.col("counts")).alias("area"), masks.rle_spans(F.col("counts")).alias("spans"))
+    a = rows.select(F.col("id").alias("a_id"), (F.col("id") + 1000).alias("b_id"), F.col("area").alias("a_area"), F.col("spans").alias("a_spans"))
+    b = rows.select(F.col("id").alias("b_id"), F.col("area").alias("b_area"), F.col("spans").alias("b_spans"))
+    both = a.join(b, "b_id").withColumn("inter", masks.rle_overlap(F.col("a_spans"), F.col("b_spans")))
+    return both.select("a_id", "b_id", "inter", F.round(F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter")), 9).alias("iou"))
+
+
+def _pose(id_: str) -> str:
+    return f"list_transform(range(0, 17), lambda k: {{'x': CAST(({id_} * 7 + k * 31) % 200 AS DOUBLE), 'y': CAST(({id_} * 13 + k * 17) % 150 AS DOUBLE), 'v': ({id_} + k) % 3}})"
+
+
+_SIGMAS_SQL = "[" + ", ".join(f"{s!r}E0" for s in COCO_SIGMAS) + "]"
+
+
+@query("oks_pairs", f"""WITH p AS (SELECT s_suppkey AS id, {_pose('s_suppkey')} AS g, {_SIGMAS_SQL} AS sg FROM supplier),
+ t AS (SELECT id, list_transform(range(1, 18), lambda k: CASE WHEN g[k].v > 0 THEN exp(-((id % 5) * (id % 5) + (k % 3) * (k % 3)) / ((sg[k] * 2) * (sg[k] * 2)) / 6.0E3 / 2) END) AS e FROM p)
+ SELECT id, round(list_sum(e) / list_count(e), 9) AS oks FROM t""")
+def oks_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keypoints made from the suppliers against shifted copies."""
+    i = F.col("s_suppkey")
+    k = F.sequence(F.lit(0), F.lit(16))
+    flat = lambda dx, dy: F.flatten(F.transform(k, lambda j: F.array(((i * 7 + j * 31) % 200).cast("double") + dx(j), ((i * 13 + j * 17) % 150).cast("double") + dy(j), ((i + j) % 3).cast("double"))))
+    rows = read(spark, sf_dir, "supplier").select(i.alias("id"), flat(lambda j: F.lit(0.0), lambda j: F.lit(0.0)).alias("g"), flat(lambda j: i % 5, lambda j: (j + 1) % 3).alias("d"))
+    whole = box(F.lit(0.0), F.lit(0.0), F.lit(200.0), F.lit(150.0))
+    return rows.select("id", F.round(oks(F.col("g"), F.col("d"), whole, F.lit(6000.0)), 9).alias("oks"))
+
+
+@query("stream_merge_equals_batch", ORACLES["match_ladder"])
+def stream_merge_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ranks of images matched apart, their ``matches`` united: the same rows as in one go."""
+    gt, dt = inputs(spark, sf_dir)
+    parts = None
+    for rank in range(3):
+        here = F.col("image_id") % 3 == rank
+        part = matching.match(gt.where(here), matching.top_k(dt.where(here), PARAMS.max_dets[-1]), PARAMS)
+        parts = part if parts is None else parts.unionByName(part)
+    rows = match_rows(parts)
+    return rows.groupBy("area_idx", "t_idx", "category_id").agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), F.count_if("ignored").alias("n_ignored"), F.coalesce(F.sum("ann_id"), F.lit(0)).cast("long").alias("ann_sum"))
+
+
+@query("semantic_classes", _CONF_SQL + """,
+ c AS (SELECT k, (SELECT sum(n) FROM conf WHERE g = k) AS gt, (SELECT sum(n) FROM conf WHERE d = k) AS dt, (SELECT sum(n) FROM conf WHERE g = k AND d = k) AS hit FROM range(0, 7) r(k))
+ SELECT CAST(k AS INTEGER) AS class_id, CAST(gt AS BIGINT) AS n_gt, CAST(dt AS BIGINT) AS n_dt, CAST(hit AS BIGINT) AS n_hit, round(hit / CAST(gt + dt - hit AS DOUBLE), 9) AS iou, round(hit / CAST(gt AS DOUBLE), 9) AS recall, round(hit / CAST(dt AS DOUBLE), 9) AS precision FROM c""")
+def semantic_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = semantic.per_class(semantic.confusion(pixel_runs(spark, sf_dir), 7, 255), 7)
+    return out.select("class_id", "n_gt", "n_dt", "n_hit", *[F.round(c, 9).alias(c) for c in ("iou", "recall", "precision")])
+
+
+@query("ground_truth_hash")
+def ground_truth_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order-free identity of the ground truth: XOR of row hashes and a count, by category."""
+    gt = ground_truth(spark, sf_dir)
+    return gt.groupBy("category_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("ann_id", "image_id", "area", "iscrowd")).alias("digest"))
