@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelyard.errors import InvalidConfig
-from pixelyard.functions.geometry import box_iou, intersection
+from pixelyard.functions.geometry import met_iou, overlapping
 from pixelyard.functions.numeric import linspace
 from pixelyard.operators import curves, matching
 from pixelyard.operators.matching import CELL, greedy
@@ -110,9 +110,9 @@ def image_pairs(gt: DataFrame, dt: DataFrame, similarity=None) -> DataFrame:
     """The pairs of an image that overlap, whatever their classes: columns of ``dt`` and ``e``."""
     g = gt.select("image_id", F.col("category_id").alias("g_cat"), F.col("ord").alias("g_ord"), "ann_id", F.col("bbox").alias("g_bbox"), "ign", "iscrowd")
     d = dt.select("image_id", "category_id", "dt_id", "rank", "bbox")
-    joined = d.join(g, "image_id").where(intersection(F.col("g_bbox"), F.col("bbox")) > 0)
-    iou = (similarity or box_iou)(F.col("g_bbox"), F.col("bbox"), F.col("iscrowd"))
-    edge = F.struct("g_ord", "ann_id", "g_cat", "ign", F.col("iscrowd").alias("crowd"), iou.alias("iou"), box_iou(F.col("g_bbox"), F.col("bbox")).alias("plain"))
+    joined = d.join(g, "image_id").where(overlapping(F.col("g_bbox"), F.col("bbox")))
+    iou = (similarity or met_iou)(F.col("g_bbox"), F.col("bbox"), F.col("iscrowd"))
+    edge = F.struct("g_ord", "ann_id", "g_cat", "ign", F.col("iscrowd").alias("crowd"), iou.alias("iou"), met_iou(F.col("g_bbox"), F.col("bbox")).alias("plain"))
     return joined.select("image_id", "category_id", "dt_id", "rank", edge.alias("e"))
 
 

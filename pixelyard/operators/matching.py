@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelyard.functions.geometry import box_iou
+from pixelyard.functions.geometry import box_iou, met_iou, overlapping
 from pixelyard.plans.params import Params
 from pixelyard.workers import ship
 
@@ -91,6 +91,9 @@ def bbox_similarity(g: Column, d: Column) -> Column:
     return box_iou(g["bbox"], d["bbox"], g["iscrowd"])
 
 
+bbox_similarity.met = lambda g, d: met_iou(g["bbox"], d["bbox"], g["iscrowd"])  # once their boxes overlap
+
+
 def scored_pairs(gt: DataFrame, dt: DataFrame, least: float, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``image_id, category_id, rank, dt_id, edge`` of every pair of a cell at ``least`` or more.
 
@@ -99,7 +102,12 @@ def scored_pairs(gt: DataFrame, dt: DataFrame, least: float, similarity: Callabl
     shapes = [c for c in ("bbox", "keypoints", "mask", "band", "tight") if c in gt.columns]
     g = gt.select(*CELL, F.struct("ord", "ann_id", "category_id", "area", "ign", F.coalesce("iscrowd", F.lit(False)).alias("iscrowd"), *shapes).alias("g"))
     d = dt.select(*CELL, "rank", "dt_id", F.struct("area", *[c for c in shapes if c in dt.columns]).alias("d"))
-    near = d.join(g, CELL).withColumn("iou", (similarity or bbox_similarity)(F.col("g"), F.col("d"))).where(F.col("iou") >= least)
+    met, score = d.join(g, CELL), similarity or bbox_similarity
+    if least > 0 and not getattr(score, "anywhere", False):  # box and mask kernels: most pairs end here
+        shape = "tight" if "tight" in shapes else "bbox"
+        met = met.where(overlapping(F.col("g")[shape], F.col("d")[shape]))
+        score = getattr(score, "met", score)
+    near = met.withColumn("iou", score(F.col("g"), F.col("d"))).where(F.col("iou") >= least)
     edge = F.struct(F.col("g.ord").alias("g_ord"), F.col("g.ann_id").alias("ann_id"), F.col("g.area").alias("g_area"), F.col("g.ign").alias("ign"), F.col("g.iscrowd").alias("crowd"), "iou")
     return near.select(*CELL, "rank", "dt_id", edge.alias("edge"))
 

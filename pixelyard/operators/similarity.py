@@ -7,17 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pixelyard.functions.geometry import COCO_SIGMAS, box_iou, intersection, oks
+from pixelyard.functions.geometry import COCO_SIGMAS, intersection, oks
 from pixelyard.operators.masks import mask_iou
+from pixelyard.operators.matching import bbox_similarity
 from pixelyard.plans.params import Bbox, Boundary, Keypoints, Segm
 
 Similarity = Callable[[object, object], Column]
 
 
-def bbox(g, d) -> Column:
-    return box_iou(g["bbox"], d["bbox"], g["iscrowd"])
-
-
 def segm(g, d) -> Column:
     """Masks meet only where their tight boxes do."""
     return mask_iou(g["mask"], d["mask"], g["iscrowd"], intersection(g["tight"], d["tight"]) > 0)
@@ -38,12 +35,13 @@ def keypoints(sigmas: dict[int, tuple[float, ...]] | None = None) -> Similarity:
             chosen = F.when(g["category_id"] == category, F.array(*[F.lit(float(s)) for s in own])).otherwise(chosen)
         return F.when(g["keypoints"].isNotNull() & d["keypoints"].isNotNull(), oks(g["keypoints"], d["keypoints"], g["bbox"], g["area"], chosen)).otherwise(F.lit(0.0))
 
+    score.anywhere = True  # points may be close where boxes are apart
     return score
 
 
 def of_kernel(kernel) -> Similarity:
     if isinstance(kernel, Bbox):
-        return bbox
+        return bbox_similarity
     if isinstance(kernel, Segm):
         return segm
     if isinstance(kernel, Boundary):
