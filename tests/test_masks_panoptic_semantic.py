@@ -170,3 +170,30 @@ def test_command_line(spark, tmp_path, capsys):
         assert cli.main(["eval", str(tmp_path / "gt.json"), str(tmp_path / "dt.json"), "--iou-type", kind, "--json", str(tmp_path / "out.json")]) == 0
         assert json.loads((tmp_path / "out.json").read_text())["stats"]["AP_0.50:0.95_all_100"] == pytest.approx(1.0)
     assert "Average Precision" in capsys.readouterr().out
+
+
+def test_panoptic_evaluator(spark):
+    from pixelyard.plans.panoptic import Evaluator
+
+    pairs, gt, dt = panoptic_case(spark, [[1, 1, 2, 2]], [[1, 1, 2, 3]], {1: 1, 2: 2}, {1: 1, 2: 2, 3: 2})
+    kinds = spark.createDataFrame([(1, True), (2, False)], "category_id long, isthing boolean")
+    out = Evaluator().evaluate(kinds, gt, dt, pairs)
+    assert out.to_dict()["things"]["pq"] == 1.0 and "n" not in out.to_dict(strict=True)["all"]
+    assert Evaluator(things=(2,)).evaluate(kinds, gt, dt, pairs).to_dict()["stuff"]["pq"] == 1.0
+    images = gt.select("image_id").distinct()
+    man = spark.createDataFrame([(1, "sun")], "key long, w string")
+    assert {(r["axis"], r["label"]) for r in out.sliced(man, images).collect()} == {(a, x) for a in ("w", "overall") for x in ("all", "things", "stuff")}
+    with pytest.raises(UnknownImage):
+        Evaluator().evaluate(kinds, gt, dt.where("false"), pairs)
+
+
+def test_semantic_evaluator(spark, tmp_path):
+    from pixelyard.plans.semantic import Evaluator
+
+    for side, value in (("g", 1), ("d", 0)):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "a.png").write_bytes(write_png(np.array([[[0], [1], [255]], [[1], [value], [0]]], np.uint8), 2))
+    out = Evaluator(2, 255).from_pngs(spark, str(tmp_path / "g"), str(tmp_path / "d"))
+    assert {(r["gt_class"], r["dt_class"]): r["n"] for r in out.confusion().collect()} == {(0, 0): 2, (1, 1): 2, (1, 0): 1}
+    assert out.summary().first()["pixel_accuracy"] == pytest.approx(0.8)
+    assert Evaluator.preset("cityscapes").n_classes == 19 and Evaluator(2, 255, class_ids=(0,)).evaluate(out.runs).summary().first()["miou"] == pytest.approx(2 / 3)
