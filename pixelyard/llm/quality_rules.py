@@ -29,6 +29,8 @@ LEAST = 100
 #: Share of the rows whose covariance determinant is minimised.
 KEPT_SHARE = 0.6
 STEPS = 3
+#: Groups whose rows (some 200 bytes each) are sent to every task; more are joined by key.
+FEW_GROUPS = 50_000
 #: Squared distances over this are outliers. For normal vectors of four entries 1 in 10 ** 20 is.
 CUTOFF = 100.0
 #: The median of a squared distance of four normal entries: distances are scaled to have it.
@@ -108,20 +110,28 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d", reduce(add, [F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(n)])).drop(*[f"_z{i}" for i in range(n)])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Per ``g``: mean, factor and scale of the vectors; ``rows`` has ``g`` and the vector's columns."""
+def _beside(group: DataFrame, few: bool) -> DataFrame:
+    """A table of one row a group: sent to all tasks if the groups are known to be few, else joined by key."""
+    return F.broadcast(group) if few else group
+
+
+def estimates(rows: DataFrame, few: bool) -> DataFrame:
+    """Per ``g``: mean, factor and scale of the vectors; ``rows`` has ``g`` and the vector's columns.
+
+    ``few``: there are at most ``FEW_GROUPS`` values of ``g``.
+    """
     n = len(VECTOR)
     middle = rows.groupBy("g").agg(*[_quantile(F.col(v), 0.5, 3).alias(f"m_{i}") for i, v in enumerate(VECTOR)])
-    away = rows.join(middle, "g").groupBy("g").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(n)], *[_quantile(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, 3).alias(f"a_{i}") for i, v in enumerate(VECTOR)])
+    away = rows.join(_beside(middle, few), "g").groupBy("g").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(n)], *[_quantile(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, 3).alias(f"a_{i}") for i, v in enumerate(VECTOR)])
     away = away.withColumns({f"c_{i}_{j}": F.greatest((1.4826 * F.col(f"a_{i}")) ** 2, F.lit(FLOOR)) if i == j else F.lit(0.0) for i in range(n) for j in range(i + 1)})
     group = staged(_cholesky(away.drop(*[f"a_{i}" for i in range(n)])), "start")
     for _ in range(STEPS):
-        far = _distance(rows.join(group, "g"))
+        far = _distance(rows.join(_beside(group, few), "g"))
         near = far.groupBy("g").agg(_quantile(F.log(F.col("d") + 1e-9), KEPT_SHARE).alias("edge"))
-        inner = far.join(near, "g").where(F.round(F.log(F.col("d") + 1e-9), 2) <= F.col("edge"))
+        inner = far.join(_beside(near, few), "g").where(F.round(F.log(F.col("d") + 1e-9), 2) <= F.col("edge"))
         moments = [F.avg(v).alias(f"m_{i}") for i, v in enumerate(VECTOR)] + [(F.covar_pop(VECTOR[i], VECTOR[j]) + (FLOOR if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)]
         group = staged(_cholesky(inner.groupBy("g").agg(*moments)), "step")
-    scale = _distance(rows.join(group, "g")).groupBy("g").agg(F.greatest(F.exp(_quantile(F.log(F.col("d") + 1e-9), 0.5)) / MEDIAN, F.lit(1.0)).alias("scale"))
+    scale = _distance(rows.join(_beside(group, few), "g")).groupBy("g").agg(F.greatest(F.exp(_quantile(F.log(F.col("d") + 1e-9), 0.5)) / MEDIAN, F.lit(1.0)).alias("scale"))
     return staged(group.join(scale, "g"), "estimates")
 
 
@@ -142,14 +152,15 @@ def judge(docs: DataFrame) -> DataFrame:
     groups = by_both.join(by_lang, "lang").select("lang", "source", F.when(F.col("n_both") >= LEAST, F.to_json(F.struct("lang", "source"))).when(F.col("n_lang") >= LEAST, F.to_json(F.struct("lang"))).otherwise("").alias("g"))
     groups = staged(groups, "groups")
     # what a language's or all rows' estimate rests on: every good row of it, not only those that use it
-    own = good.join(groups, ["lang", "source"])
+    few = groups.count() <= FEW_GROUPS
+    own = good.join(_beside(groups, few), ["lang", "source"])
     wider = groups.select("g").distinct().where(~F.col("g").contains('"source"'))
     lang_key = F.to_json(F.struct("lang"))
     by_own = own.where(F.col("g").contains('"source"')).select("g", *VECTOR)
     by_language = good.withColumn("g", lang_key).join(wider, "g", "left_semi").select("g", *VECTOR)
     by_all = good.withColumn("g", F.lit("")).join(wider, "g", "left_semi").select("g", *VECTOR)
-    known = estimates(by_own.unionByName(by_language).unionByName(by_all))
-    judged = _distance(rows.join(groups, ["lang", "source"], "left").join(known, "g", "left"))
+    known = estimates(by_own.unionByName(by_language).unionByName(by_all), few)
+    judged = _distance(rows.join(_beside(groups, few), ["lang", "source"], "left").join(_beside(known, few), "g", "left"))
     distance = F.when(~F.col("base_failed"), F.col("d") / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))
     return judged.select("doc_id", *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"))
