@@ -23,6 +23,8 @@ from pixelyard.llm.common import held_out, learned, map_batches
 SAMPLE_ROWS = 8_000
 #: Bytes of a dictionary, and of a block.
 DICTIONARY, BLOCK = 256 << 10, 1 << 10
+#: Bytes of a piece of text in a dictionary.
+PIECE = 128
 LEVEL = 6
 #: Documents with a score from here on are of good quality.
 THRESHOLD = 0.3
@@ -72,12 +74,18 @@ def _expand(x: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(x)), d, r, d * d, d * r, r * r], axis=1)
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Equal shares of text from many documents, the shortest pieces that fill the dictionary."""
-    if not texts:
-        return b""
-    share = max(120, DICTIONARY // len(texts))
-    return b"\n".join(t[:share] for t in texts)[-DICTIONARY:]
+def _dictionary(texts: list[bytes], seed: int = 3) -> bytes:
+    """All texts if they fit; else a piece from a seeded place of each equal stretch of the texts laid end to end.
+
+    Every byte of every text, wherever it stands, has the same chance to be learned.
+    """
+    flat = b"\n".join(texts)
+    if len(flat) <= DICTIONARY:
+        return flat
+    n = DICTIONARY // PIECE
+    ends = [len(flat) * i // n for i in range(n + 1)]
+    places = np.random.default_rng(seed).integers(ends[:-1], np.maximum(np.array(ends[1:]) - PIECE, ends[:-1]), endpoint=True)
+    return b"".join(flat[x : x + PIECE] for x in places.tolist())
 
 
 def learn(pairs: list[tuple[str, int]], seed: int = 7) -> Model:

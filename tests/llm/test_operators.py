@@ -166,6 +166,28 @@ def test_classifiers_on_held_out_rows(spark, docs, empty, module, label):
     assert 0 <= module.judged(docs, labels.where("false")).first()["score"] <= 1
 
 
+def test_quality_learns_what_follows_a_clean_opening():
+    rng = random.Random(8)
+    clean = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    noise = ["".join(rng.choice("klmnopqrst") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+
+    def text(bad):
+        opening = " ".join(rng.choice(clean) for _ in range(200))
+        return f"{opening} {' '.join(rng.choice(noise if bad else clean) for _ in range(200))}"
+
+    pairs = [(text(i % 2), 1 - i % 2) for i in range(1600)]
+    model = quality.learn(pairs)
+    # the words of the bad parts are in the dictionary, as are those of many good texts
+    assert sum(w.encode() in model.bad for w in noise) > 0.9 * len(noise) and not any(w.encode() in model.good for w in noise)
+    assert len(model.good) == len(model.bad) == quality.DICTIONARY
+    assert quality.learn(pairs).bad == model.bad
+    held = [(text(i % 2), 1 - i % 2) for i in range(100)]
+    wrong = sum((s >= quality.THRESHOLD) != y for s, (_, y) in zip(model.scores(pa.array([t for t, _ in held])), held, strict=True))
+    assert wrong < 5
+    # few texts are learned whole
+    assert quality._dictionary([t.encode() for t, _ in pairs[:20]]) == "\n".join(t for t, _ in pairs[:20]).encode()
+
+
 def test_ftrl_is_sparse(spark):
     table, labels = labelled(spark)
     model = toxicity.fit(table, labels)
