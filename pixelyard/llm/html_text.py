@@ -26,8 +26,16 @@ from pixelyard.llm.common import map_batches
 
 #: Elements of HTML by how a parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+#: Elements without text of the page, left out whole; one that its page doesn't close is an ordinary element.
+ASIDE = frozenset("svg select template".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var object".split())
+#: Their tags are passed over too, and their text stays in its block.
+INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr semantics annotation annotation-xml".split())
+INLINE |= frozenset("svg g path circle rect line polyline polygon ellipse use defs symbol text tspan image lineargradient radialgradient stop clippath mask pattern filter foreignobject".split())
+#: HTML start tags that end an open svg, but inside the elements that may hold HTML.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_INSIDE = frozenset("foreignobject desc title".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag of the key closes an open element of the value, up to the nearest list or table.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tbody", "tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "option": {"option"}}
@@ -37,6 +45,8 @@ FENCE = frozenset("ul ol dl menu table body html article section div".split())
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?<![^\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: The last '/' of a tag that belongs to the value of an attribute without quotes.
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"']*/\Z")
 _PART = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.!?;:,]")
 
@@ -52,6 +62,46 @@ class Page:
     """(node, text, characters of it in links)"""
 
 
+def _empty(attributes: str) -> bool:
+    """Whether a tag closes itself, as those of svg and math may."""
+    return attributes.endswith("/") and _UNQUOTED_END.search(attributes) is None
+
+
+def _raw_end(source: str, name: str, pos: int) -> re.Match[str] | None:
+    return re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(source, pos)
+
+
+def _ends(source: str, first: re.Match[str], ends: dict[int, int | None]) -> None:
+    """Where the ``ASIDE`` element of a start tag ends, by the tag's end; None if nothing closes it.
+
+    Elements of the same name that are met on the way are settled too, so no part of a page is read again
+    for each of them.
+    """
+    name = first[2].lower()
+    opened, inside, pos = [first.end()], 0, first.end()
+    ends[first.end()] = None
+    while opened and (m := _TAG.search(source, pos)) is not None:
+        pos = m.end()
+        tag = (m[2] or "").lower()
+        if tag == name:
+            if m[1]:
+                ends[opened.pop()] = pos
+            elif name == "select":  # a second one ends the first, which its page didn't close
+                return
+            elif not (name == "svg" and _empty(m[3])):
+                ends[pos] = None
+                opened.append(pos)
+        elif name == "svg":
+            if tag in HTML_INSIDE and not _empty(m[3]):
+                inside = max(0, inside + (-1 if m[1] else 1))
+            elif tag in BREAKOUT and not m[1] and not inside:
+                return
+        elif not m[1] and name == "select" and tag in ("input", "textarea"):
+            return
+        elif not m[1] and tag in RAW and (close := _raw_end(source, tag, pos)):
+            pos = close.end()
+
+
 def parse(source: str) -> Page:
     """The block-level tree of a page; unclosed, misnested and cut-off markup is taken as browsers roughly do."""
     page = Page()
@@ -59,6 +109,7 @@ def parse(source: str) -> Page:
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
+    ends: dict[int, int | None] = {}
 
     def flush() -> None:
         nonlocal parts, linked
@@ -107,13 +158,21 @@ def parse(source: str) -> Page:
                 flush()
             continue
         if name in RAW:
-            close = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(source, pos)
-            if name == "textarea" or name in ("svg", "math", "object", "select", "template") or close or name in ("script", "style", "title"):
+            close = _raw_end(source, name, pos)
+            if close or name in ("textarea", "script", "style", "title"):
                 pos = close.end() if close else end
             continue
+        if name in ASIDE and not (name == "svg" and _empty(m[3])):
+            if pos not in ends:
+                _ends(source, m, ends)
+            if ends[pos] is not None:
+                pos = ends[pos]
+                continue
         if name in INLINE:
             if name == "a":
                 in_link = 1
+            elif name in ("mtd", "annotation", "annotation-xml"):
+                parts.append(" ")
             continue
         if name in VOID:
             if name == "hr":
@@ -341,7 +400,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages(page_id, url, html)``.
 
     ``text`` holds the content blocks in page order, parted by an empty line; ``n_chars`` its code
-    points. A null or empty page, or one without content, has an empty text. Markup that ends early is
+    points. Closed svg, select and template elements have no text of the page; math and the fallback of
+    object have. A null or empty page, or one without content, has an empty text. Markup that ends early is
     read as far as it goes. Repeated rows give repeated rows; other columns are ignored.
     """
     known = train(labelled_pages()) if model is None else model

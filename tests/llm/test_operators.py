@@ -105,6 +105,27 @@ def test_html_text(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+ARTICLE = "<article><h1>A title</h1><p>First, a paragraph of the article.</p><p>Second, some more text.</p></article>"
+KEPT = "A title\n\nFirst, a paragraph of the article.\n\nSecond, some more text."
+
+
+def test_html_elements_that_do_not_end():
+    model = html_text.train(html_text.labelled_pages())
+    text = lambda body: html_text.main_text(f"<html><body>{body}</body></html>", model)
+    assert text(ARTICLE) == KEPT
+    closed = "<svg><title>Icon</title><path d='M0 0'/></svg>"
+    for start in ('<svg class="i"/>', "<svg/>", "<math/>", '<svg viewBox="0 0 1 1" />', "<svg class=i/>", "<svg>", "<svg><path d='M0 0'/>", "<object>", '<object data="x.swf">', "<select name=a>", "<template>", "<math>", "<svg><svg/>"):
+        for after in ("", closed, "<select><option>one</select>" if "select" in start else closed):
+            assert text(f"<header>{start}</header>{ARTICLE}{after}") == KEPT, (start, after)
+            assert text(f"{start}{ARTICLE}{after}") == KEPT, (start, after)
+    # closed ones go, also nested ones
+    for start in (closed, f"<svg><g>{closed}<text>x</text></g></svg>", "<svg><foreignObject><div>label</div></foreignObject></svg>", "<select><option>one<option>two</select>", "<template><template><p>x</template><p>y, not shown.</p></template>", "<template><script>'</template>'</script><p>y, not shown.</p></template>"):
+        assert text(f"{start}{ARTICLE}") == text(f"{ARTICLE}{start}") == KEPT
+    inner = "<p>First, <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><p>Second, <object data=a><param name=b>a fallback</object> text.</p>"
+    assert text(f"<article><h1>A title</h1>{inner}</article>") == "A title\n\nFirst, x=1 holds.\n\nSecond, a fallback text."
+    assert len(html_text.parse("<svg>" * 20_000).tag) == len(html_text.parse("<template>" * 3).tag) - 3 == 1
+
+
 def test_html_marginals_are_exact():
     model = html_text.train(html_text.labelled_pages(40))
     page = html_text.parse("<div class=menu><ul><li><a>x</a><li>y.</ul></div><main><p>Some text, here.</main>")
