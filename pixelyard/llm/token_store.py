@@ -5,10 +5,12 @@ cut alike wherever they stand. A chunk's name is the digest of its ids. Each dis
 stored once, in the row of the first document (by doc_id) that has it; every document keeps a
 recipe, the names and lengths of its chunks in order, and a Merkle root over them. Rows lie in
 ascending doc_id order over the parts; the manifest has each part's counts and the root over its
-documents' roots. Reading back fetches the chunks a document lacks by name, checks every name and
-root, and fails on any difference.
+documents' roots, and a row with the sums and the root over the parts' roots. Reading back fetches
+the chunks a document lacks by name, checks every name, root and count, those of the parts and of the
+whole store included, and fails on any difference.
 
-On disk: ``recipes/`` (Parquet, a row a document) and ``manifest/`` (Parquet, a row a part).
+On disk: ``recipes/`` (Parquet, a row a document) and ``manifest/`` (Parquet, a row a part, and the
+store's as part ``WHOLE``).
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ DIGEST = 16
 #: Ids of a chunk: at least, on average about, at most.
 LEAST, MEAN, MOST = 128, 1024, 8192
 _MASK = np.uint64(MEAN - 1)
+#: The part number of the manifest's row for the whole store.
+WHOLE = -1
 _WINDOW_STEPS = (1, 2, 4, 8)
 
 
@@ -199,27 +203,47 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     settled.write.option("compression", "zstd").parquet(f"{path}/recipes")
     drop_staged(spark, temp)
 
+    parts = _sealed(spark.read.parquet(f"{path}/recipes"))
+    spark.createDataFrame([*parts, _whole(parts)], _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+_MANIFEST = "part int, n_docs long, n_tokens long, root binary"
+
+
+def _sealed(recipes: DataFrame) -> list[tuple[int, int, int, bytes]]:
+    """(part, n_docs, n_tokens, root) of each part, from its documents' rows: a row a file."""
+
     @F.udf(T.BinaryType())
     def seal(roots):
         return merkle(b"".join(roots))
 
     # a part's roots: 16 bytes a document of one file
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "local_start", "n_tokens", "root")
-    sealed = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("local_start", "root"))), lambda x: x["root"]).alias("roots"))
-    sealed.withColumn("root", seal("roots")).drop("roots").write.parquet(f"{path}/manifest")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("local_start", "root"))), lambda x: x["root"])
+    parts = recipes.select("part", "local_start", "n_tokens", "root").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), ordered.alias("roots"))
+    return sorted((r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in parts.withColumn("root", seal("roots")).drop("roots").collect())
+
+
+def _whole(parts: list[tuple[int, int, int, bytes]]) -> tuple[int, int, int, bytes]:
+    return WHOLE, sum(x[1] for x in parts), sum(x[2] for x in parts), merkle(b"".join(x[3] for x in parts))
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Rebuild every document from the store's files and verify it.
 
     Returns ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids`` (little-endian unsigned
-    32-bit). ``start`` counts the ids of all documents before it.
+    32-bit). ``start`` counts the ids of all documents before it. The parts' counts and roots are
+    recomputed from the documents' and held against the manifest at once, each document against its own
+    count and root as it is rebuilt.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = spark.read.parquet(f"{path}/recipes")
-    parts = sorted((r["part"], r["n_tokens"]) for r in spark.read.parquet(f"{path}/manifest").collect())  # a row a file
+    written = sorted((r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in spark.read.parquet(f"{path}/manifest").collect())  # a row a file
+    parts = _sealed(rows)
+    if written != [_whole(parts), *parts]:
+        wrong = sorted({x[0] for x in {*written} ^ {_whole(parts), *parts}})
+        raise ValueError(f"{path}: the documents do not give the manifest's counts and roots of parts {wrong[:20]} ({WHOLE}: the whole store)")
     offsets, total = [], 0
-    for part, n in parts:
+    for part, _, n, _ in parts:
         offsets.append((part, total))
         total += n
     offset = spark.createDataFrame(offsets, "part int, before long")
@@ -251,8 +275,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
         fetched, column = batch["fetched"], batch["lengths"]
         at, flat = column.offsets.to_numpy(), column.values.to_numpy()
         crcs, whole_ids = [], []
-        rows = zip(batch["doc_id"].to_pylist(), batch["width"].to_pylist(), batch["names"].to_pylist(), batch["root"].to_pylist(), batch["ids"].to_pylist(), strict=True)
-        for i, (doc_id, width, names, root, raw) in enumerate(rows):
+        rows = zip(batch["doc_id"].to_pylist(), batch["width"].to_pylist(), batch["names"].to_pylist(), batch["root"].to_pylist(), batch["n_tokens"].to_pylist(), batch["ids"].to_pylist(), strict=True)
+        for i, (doc_id, width, names, root, n_tokens, raw) in enumerate(rows):
             lengths = flat[at[i] : at[i + 1]].tolist()
             if fetched[i].is_valid:
                 got, place, parts = {x["pos"]: x["chunk"] for x in fetched[i].as_py()}, 0, []
@@ -269,7 +293,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                 found.append(hashlib.blake2b(ids[place : place + 4 * n], digest_size=DIGEST).digest())
                 place += 4 * n
             found = b"".join(found)
-            if place != len(ids) or found != names or merkle(found) != root:
+            if place != len(ids) or place != 4 * n_tokens or found != names or merkle(found) != root:
                 raise ValueError(f"document {doc_id}: the store's chunks do not give its root")
             crcs.append(zlib.crc32(ids))
             whole_ids.append(ids if with_ids else None)

@@ -419,6 +419,18 @@ def test_a_damaged_store_is_refused(spark, docs, tmp_path):
         token_store.read(spark, f"file://{tmp_path}/b").collect()
 
 
+@pytest.mark.parametrize(("table", "lost"), [("recipes", "doc_id = 5"), ("recipes", "part = 0"), ("manifest", "part = 0"), ("manifest", "part = -1"), ("both", "part = 0")])
+def test_a_store_with_missing_rows_is_refused(spark, docs, tmp_path, table, lost):
+    token_store.write(docs, f"file://{tmp_path}/a", BYTE, 2)
+    for name in ("recipes", "manifest"):
+        whole = spark.read.parquet(f"file://{tmp_path}/a/{name}")
+        left = whole.where(f"not coalesce({lost}, false)") if table in (name, "both") else whole
+        assert (left.count() < whole.count()) == (table in (name, "both"))
+        left.write.parquet(f"file://{tmp_path}/b/{name}")
+    with pytest.raises(ValueError, match="do not give the manifest's"):
+        token_store.read(spark, f"file://{tmp_path}/b").collect()
+
+
 def test_cuts_are_found_again_after_an_insertion():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 60_000)
