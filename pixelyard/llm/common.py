@@ -6,36 +6,38 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelyard.workers import ship
+
 #: Python workers get batches of at most this many bytes, so that a run of very long texts
 #: cannot fill a worker.
 BATCH_BYTES = 8 << 20
 #: numpy passes work on pieces of about this many text bytes (one longer text is its own piece).
 PIECE_BYTES = 1 << 20
+#: Bytes of the texts that a model is learned from, at most.
+SAMPLE_BYTES = 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the Python workers that start from now on import this package from where the driver has it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (local tests) is a local folder made and set.
+    Where the session leaves it unset, a local session (tests) gets a temporary folder; on a cluster
+    that is an error, because its machines share none.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pixelyard-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -54,6 +56,27 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables that are removed when what was made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = staged_path(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, but: int = 0) -> None:
+        """Remove all but the last ``but`` tables."""
+        gone = self.paths[: len(self.paths) - but]
+        for path in gone:
+            drop_staged(self.spark, path)
+        self.paths = self.paths[len(gone) :]
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Remove a staged table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -92,31 +115,39 @@ def held_out_of(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def learned(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Callable[[list[tuple[str, int]]], object]) -> object:
-    """What ``learn`` makes of at most ``rows`` (text, label) pairs of ``docs``, never of the held-out fifth.
+def learned(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Callable[[list[tuple[str, int]]], object], most_bytes: int = SAMPLE_BYTES) -> object:
+    """What ``learn`` makes of a bounded sample of (text, label) pairs of ``docs``, never of the held-out fifth.
 
-    The sample is the ``rows`` labels whose hashed doc_id is smallest: the same rows on every run,
-    spread over the whole table. The chosen labels are ``rows`` small rows, so they are broadcast; their
-    texts go to one task, which learns, so that the driver sees the model only. Null labels are left
-    out; a null text counts as empty. The pairs come in a fixed order.
+    The sample is the ``rows`` labels whose hashed doc_id is smallest, spread over the whole table; a
+    text that would take its bytes over ``most_bytes`` is left out, never cut. The chosen labels are
+    ``rows`` small rows, so they are broadcast; their texts go in a fixed order through one task, which
+    holds no more than the bound and learns, so that the driver sees the model only. A doc_id that is
+    repeated counts once, with its least text; null labels and null doc_ids are left out; a null text
+    counts as empty.
     """
+    place = F.xxhash64("doc_id")
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .where(~held_out_of(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max(F.col(label).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(place, "doc_id")
         .limit(rows)
     )
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_rows: list[tuple] = []
+        pairs: list[tuple[str, int]] = []
+        size = 0
         for batch in batches:
-            all_rows += zip(*(batch[x].to_pylist() for x in ("doc_id", "text", "label")), strict=True)
-        model = learn([(text, k) for _, text, k in sorted(all_rows)])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    made = found.repartition(1).mapInArrow(run, "model binary").first()
+            for text, k in zip(batch["text"], batch["label"].to_pylist(), strict=True):
+                n = len(text.as_buffer())
+                if size + n <= most_bytes:
+                    size += n
+                    pairs.append((text.as_py(), k))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(pairs))], pa.binary())], names=["model"])
+
+    ordered = found.repartition(1).sortWithinPartitions(place, "doc_id").select("text", "label")
+    made = ordered.mapInArrow(run, "model binary").first()
     return learn([]) if made is None else pickle.loads(made["model"])

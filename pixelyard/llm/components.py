@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelyard.llm.common import staged
+from pixelyard.llm.common import Scratch
 
 #: Rounds grow with the logarithm of the node count; more than this means a fault.
 MOST_ROUNDS = 60
@@ -34,22 +34,25 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a").cast("double") - F.col("b"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``(node, root)`` for each node of ``edges(a long, b long)`` that isn't its component's least node.
 
     The least node of a component is its root. Loops and repeated edges have no effect; no edges give
-    no rows.
+    no rows. Each round's table goes when the next is written; the last one is the ``scratch``'s.
     """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    scratch, own = scratch or Scratch(edges.sparkSession), Scratch(edges.sparkSession)
+    now = own.stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(now)
     for _ in range(MOST_ROUNDS):
         if not before[0]:
             break
-        now = staged(_small_star(_large_star(now)), "edges")
+        now = own.stage(_small_star(_large_star(now)), "edges")
+        own.drop(but=1)
         after = _state(now)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("components didn't settle")
+    scratch.paths += own.paths
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

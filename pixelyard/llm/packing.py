@@ -10,11 +10,10 @@ import zlib
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pixelyard.llm.common import map_batches, staged
 
@@ -25,7 +24,8 @@ GROUP_PIECES = 16_384
 #: Consecutive pieces of one document that stay in one group.
 RUN_PIECES = 1_024
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_OWN = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+PIECES = ", ".join(f"{c} long" for c in [*_OWN, "sequence_id", "offset"])
 
 
 class Tournament:
@@ -70,21 +70,24 @@ def first_fit_decreasing(lengths: Iterable[int], capacity: int) -> tuple[np.ndar
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE) -> DataFrame:
-    """Tokenize whole texts, end each with ``end_id``, cut into pieces of at most ``sequence`` ids."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType())])
+    """Tokenize whole texts, end each with ``end_id``, cut into pieces of at most ``sequence`` ids.
+
+    ``rid`` tells the rows of ``docs`` apart, also those that share a doc_id or have none.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         from pixelyard.llm.tokens import encoder
 
         rows: list[tuple] = []
-        for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder(tokenizer).encode(batch["text"]), strict=True):
+        for rid, doc_id, ids in zip(batch["rid"].to_pylist(), batch["doc_id"].to_pylist(), encoder(tokenizer).encode(batch["text"]), strict=True):
             ids += end
             n = len(ids) // 4
-            rows += [(doc_id, at, min(sequence, n - at), zlib.crc32(ids[4 * at : 4 * (at + sequence)]), n) for at in range(0, n, sequence)]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=schema.names)
+            rows += [(rid, doc_id, at, min(sequence, n - at), zlib.crc32(ids[4 * at : 4 * (at + sequence)]), n) for at in range(0, n, sequence)]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["rid", *_OWN])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, schema)
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(numbered, encode, f"rid long, {', '.join(f'{c} long' for c in _OWN)}")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -93,16 +96,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE,
     One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``; the ids
     of a document lie in its pieces in order, each in exactly one. Every row of ``docs`` counts, also
     repeated ones and those with a null doc_id; a null or empty text is its end id alone; an empty
-    table gives no rows. Other columns are ignored. Pieces of equal length are placed in the order of
-    (doc_id, start), so a rerun gives the same sequences.
+    table gives no rows. Other columns are ignored. A row's group follows from its place in the table,
+    so rows of one doc_id, or of none, are dealt like any others; pieces of equal length are placed in
+    the order of (doc_id, start, place), nulls first, and a rerun over the same files gives the same
+    sequences.
     """
     pieces = staged(cut(docs, tokenizer, end_id, sequence), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / (sequence * RUN_PIECES)), F.lit("group")), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("rid", F.floor(F.col("start") / (sequence * RUN_PIECES)), F.lit("group")), F.lit(groups)))
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start"], kind="stable", na_position="first")
-        bins, offsets = first_fit_decreasing(rows["length"], sequence)
-        return rows.drop(columns="group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("doc_id", "start", "rid")], null_placement="at_start"))
+        bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), sequence)
+        return pa.table([*(rows[c] for c in _OWN), pa.array((key[0].as_py() << 32) + bins), pa.array(offsets)], names=[*_OWN, "sequence_id", "offset"])
 
-    return dealt.groupBy("group").applyInPandas(fit, PIECES)
+    return dealt.groupBy("group").applyInArrow(fit, PIECES)

@@ -6,10 +6,11 @@ the chain's first three segments are equal, the first four to six differ in at m
 candidates meet on three equal consecutive segments (27 or 28 bits), the chain's budgets prune
 them, and only then all bits are compared.
 
-A meeting of more than ``PAIRED`` different fingerprints isn't paired. Its fingerprints are linked
-exactly by a second way: two differ in at most two bits just if some value differs from both in at
-most one, so each is sent to the 65 such values; at most 65 meet at one, and all are linked to the
-least of them.
+Where many meet, the chain's own budget parts them further: the next three segments differ in at most
+one bit, so of any two halves of them one is equal. A crowded meeting becomes two, each with one half
+more that is equal, and so on with the other half, until at most one bit of the six segments is open:
+then, with the last segment, at most 2,048 different fingerprints can meet. No pair is lost, and no
+meeting is left to another method.
 """
 
 from __future__ import annotations
@@ -19,19 +20,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelyard.llm import textvec
-from pixelyard.llm.common import map_batches, staged
+from pixelyard.llm.common import Scratch, map_batches, staged
 from pixelyard.llm.components import components
 
 BITS, DIFFER = 64, 2
 SEGMENTS = 7
-#: Different fingerprints that are compared in pairs where they meet.
-PAIRED = 8
+#: A meeting of more different fingerprints is parted first, while its chain has open bits.
+PAIRED = 32
 SHINGLE, SEED = 3, 42
 #: Shingles whose bits are counted at once: 64 bytes each.
 BLOCK = 1 << 16
 
+#: Row numbers (8 bytes each) that are sent to all tasks at most; more are joined by a shuffle.
+FEW_DROPPED = 1_000_000
 _ROW = "_pixelyard_row"
 WIDTHS = [BITS // SEGMENTS + (i < BITS % SEGMENTS) for i in range(SEGMENTS)]
 STARTS = [sum(WIDTHS[:i]) for i in range(SEGMENTS)]
@@ -48,6 +52,26 @@ def _chain(first: int, n: int) -> int:
     return sum(((1 << WIDTHS[i % SEGMENTS]) - 1) << STARTS[i % SEGMENTS] for i in range(first, first + n))
 
 
+def _meetings() -> list[tuple[int, int, list[int]]]:
+    """Every kind of meeting: its chain's first segment, the bits that are equal, the kinds it is parted into.
+
+    The first ``SEGMENTS`` kinds are those that all fingerprints enter.
+    """
+    kinds: list[tuple[int, int, list[int]]] = [(i, _chain(i, EQUAL), []) for i in range(SEGMENTS)]
+    todo = [(i, [b for b in range(BITS) if (_chain(i, SEGMENTS - 1) ^ _chain(i, EQUAL)) >> b & 1]) for i in range(SEGMENTS)]
+    for kind, free in todo:
+        if len(free) > 1:
+            for half, rest in ((free[: len(free) // 2], free[len(free) // 2 :]), (free[len(free) // 2 :], free[: len(free) // 2])):
+                at, equal, parts = kinds[kind]
+                parts.append(len(kinds))
+                todo.append((len(kinds), rest))
+                kinds.append((at, equal | sum(1 << b for b in half), []))
+    return kinds
+
+
+MEETINGS = _meetings()
+
+
 def _fingerprints(column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column), dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -79,35 +103,52 @@ def _fingerprints(column: pa.Array) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of each row: the 64 bits as a signed long; a text without words has 0."""
-
-    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_fingerprints(batch["text"]).view(np.int64))], names=["doc_id", "fp"])
-
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), prints, "doc_id long, fp long")
-
+def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``fp`` of each row, beside its columns ``keep`` (else ``doc_id``): the 64 bits as a signed long.
 
-def links(prints: DataFrame) -> DataFrame:
-    """``a, b``: enough pairs of the different ``fp`` that differ in at most two bits to join all that such pairs join."""
-    chain_keys = F.array(*[F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(_signed(_chain(i, EQUAL)))).alias("part")) for i in range(SEGMENTS)])
-    keys = prints.select("fp", F.explode(chain_keys).alias("k")).select("fp", "k.*")
-    sizes = keys.groupBy("at", "part").agg(F.count("*").alias("n")).where("n > 1")
-    met = staged(keys.join(sizes, ["at", "part"]), "met")
-
-    a, b = (met.where(F.col("n") <= PAIRED).select("at", "part", F.col("fp").alias(x)) for x in "ab")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    budgets = F.lit(True)
-    for k in range(EQUAL + 1, SEGMENTS):
-        masks = F.array(*[F.lit(_signed(_chain(i, k))) for i in range(SEGMENTS)])
-        budgets &= F.bit_count(differ.bitwiseAND(masks[F.col("at")])) <= k * DIFFER // SEGMENTS
-    paired = a.join(b, ["at", "part"]).where((F.col("a") < F.col("b")) & budgets & (F.bit_count(differ) <= DIFFER)).select("a", "b")
+    A null text, and one without words, has 0; an empty table gives no rows; repeated rows give repeated rows.
+    """
+    if keep is None:
+        docs, keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
 
-    crowded = met.where(F.col("n") > PAIRED).select("fp").distinct()
-    near = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS)])
-    hubs = crowded.select("fp", F.explode(near).alias("flip")).groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    starred = hubs.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, BITS + 1)).alias("b"))
-    return paired.unionByName(starred)
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(_fingerprints(batch["text"]).view(np.int64))], names=[*keep, "fp"])
+
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), prints, schema)
+
+
+def links(prints: DataFrame, scratch: Scratch | None = None, paired: int = PAIRED) -> DataFrame:
+    """``a, b``: the pairs of the different ``fp`` that differ in at most two bits."""
+    scratch = scratch or Scratch(prints.sparkSession)
+    of = lambda pick: F.array(*[F.lit(pick(k)) for k in MEETINGS])
+    at, equal = of(lambda k: k[0]), of(lambda k: _signed(k[1]))
+    parted = F.array(*[F.array(*[F.lit(x) for x in k[2]]).cast("array<int>") for k in MEETINGS])
+    keys = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("kind"))
+    found = None
+    while True:
+        keys = keys.select("fp", "kind", F.col("fp").bitwiseAND(equal[F.col("kind")]).alias("part"))
+        sizes = keys.groupBy("kind", "part").agg(F.count("*").alias("n")).where("n > 1")
+        met = scratch.stage(keys.join(sizes, ["kind", "part"]), "met")
+        small = (F.col("n") <= paired) | (F.size(parted[F.col("kind")]) == 0)
+        a, b = (met.where(small).select("kind", "part", F.col("fp").alias(x)) for x in "ab")
+        differ, budgets = F.col("a").bitwiseXOR(F.col("b")), F.lit(True)
+        for k in range(EQUAL + 1, SEGMENTS):
+            masks = F.array(*[F.lit(_signed(_chain(i, k))) for i in range(SEGMENTS)])
+            budgets &= F.bit_count(differ.bitwiseAND(masks[at[F.col("kind")]])) <= k * DIFFER // SEGMENTS
+        pairs = a.join(b, ["kind", "part"]).where((F.col("a") < F.col("b")) & budgets & (F.bit_count(differ) <= DIFFER)).select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        crowded = met.where(~small)
+        if crowded.isEmpty():
+            return found
+        keys = crowded.select("fp", F.explode(parted[F.col("kind")]).alias("kind"))
+
+
+def _rooted(different: DataFrame, scratch: Scratch) -> DataFrame:
+    """``different(fp, least)`` with ``first``, the least of its component's."""
+    roots = components(links(different, scratch), scratch)
+    rooted = different.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -118,22 +159,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows give repeated rows. A null doc_id is never a component's id unless all of its rows have none.
     An empty table gives no rows; other columns are ignored.
     """
+    scratch = Scratch(docs.sparkSession)
     prints = staged(fingerprints(docs), "prints")
-    different = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "different")
-    roots = components(links(different))
-    rooted = different.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    different = scratch.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "different")
+    named = staged(_rooted(different, scratch), "named")
+    scratch.drop()
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; all columns stay.
+    """``docs`` with one row of each component, that of the smallest doc_id; all columns stay.
 
-    Rows of one doc_id are one document, of which one row stays. Rows without a doc_id all stay.
+    Rows are told apart by their place, not by doc_id: different texts of one doc_id both stay, and of
+    copies one stays, also if they share a doc_id or have none (such a row stays only if no copy has
+    one). Of equal doc_ids the first row stays. A null text counts as empty; an empty table gives no rows.
     """
-    from pyspark.sql import Window
-
-    dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return kept.withColumn(_ROW, row).where((F.col(_ROW) == 1) | F.col("doc_id").isNull()).drop(_ROW)
+    scratch = Scratch(docs.sparkSession)
+    # a row's place must be the same for its fingerprint and when it is kept, whatever docs comes from
+    rows = staged(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    prints = scratch.stage(fingerprints(rows.select(_ROW, F.col("doc_id").cast("long").alias("doc_id"), "text"), [_ROW, "doc_id"]), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _ROW)
+    different = scratch.stage(prints.groupBy("fp").agg(F.min(order).alias("least")), "different")
+    named = _rooted(different, scratch).select("fp", F.col(f"first.{_ROW}").alias("stays"))
+    dropped = staged(prints.join(named, "fp").where(F.col(_ROW) != F.col("stays")).select(_ROW), "dropped")
+    scratch.drop()
+    few = dropped.count() <= FEW_DROPPED
+    return rows.join(F.broadcast(dropped) if few else dropped, _ROW, "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])

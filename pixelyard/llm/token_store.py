@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelyard.llm.common import BATCH_BYTES, drop_staged, map_batches, staged, staged_path
+from pixelyard.llm.common import BATCH_BYTES, Scratch, drop_staged, map_batches, staged_path
 
 DIGEST = 16
 #: Ids of a chunk: at least, on average about, at most.
@@ -35,6 +35,9 @@ _MASK = np.uint64(MEAN - 1)
 #: The part number of the manifest's row for the whole store.
 WHOLE = -1
 _WINDOW_STEPS = (1, 2, 4, 8)
+#: A chunk that over one in so many places of the store asks for is handed to all tasks: at most as many
+#: chunks of at most ``MOST`` ids, 32 MB; the others' rows are joined by name.
+HOT_SHARE = 1000
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
@@ -136,6 +139,18 @@ def _refs(rows: DataFrame) -> DataFrame:
     return rows.select("names", "doc_id", "rid", pos).select(F.substring("names", F.col("pos") * DIGEST + 1, F.lit(DIGEST)).alias("name"), "doc_id", "rid", "pos")
 
 
+def _by_name(refs: DataFrame, table: DataFrame) -> DataFrame:
+    """``refs`` joined to ``table(name, n, ..)``, a row a name, on the name.
+
+    ``n`` counts the refs of a name, so fewer than ``HOT_SHARE`` names can have over that share of all;
+    those rows go to every task, and no task has to take all refs of such a name.
+    """
+    hot = F.col("n") > table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / HOT_SHARE
+    often = F.broadcast(table.where(hot))
+    seldom = refs.join(F.broadcast(table.where(hot).select("name")), "name", "left_anti").join(table.where(~hot), "name")
+    return refs.join(often, "name").unionByName(seldom)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode every whole text and write the store.
 
@@ -151,12 +166,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     _encode(docs, tokenizer, end_id, kind).withColumn("rid", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(temp)
     rows = spark.read.parquet(temp)
 
+    scratch = Scratch(spark)
     refs = _refs(rows)
     first = F.min(F.struct("doc_id", "rid", "pos")).alias("first")
-    repeated = refs.groupBy("name").agg(first, F.count("*").alias("n")).where("n > 1").select("name", F.col("first.rid").alias("first_rid"), F.col("first.pos").alias("first_pos"))
+    repeated = refs.groupBy("name").agg(first, F.count("*").alias("n")).where("n > 1").select("name", "n", F.col("first.rid").alias("first_rid"), F.col("first.pos").alias("first_pos"))
+    repeated = scratch.stage(repeated, "repeated")
     is_first = (F.col("rid") == F.col("first_rid")) & (F.col("pos") == F.col("first_pos"))
-    marks = staged(
-        refs.join(repeated, "name")
+    marks = scratch.stage(
+        _by_name(refs, repeated)
         .withColumn("is_first", is_first)
         .groupBy("doc_id", "rid")
         .agg(F.collect_list(F.when(~F.col("is_first"), F.col("pos"))).alias("elsewhere"), F.collect_list(F.when(F.col("is_first"), F.col("pos"))).alias("shared")),
@@ -202,6 +219,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     settled = both.mapInArrow(settle, _RECIPE).withColumns({"part": F.spark_partition_id(), "width": F.lit(size)})
     settled.write.option("compression", "zstd").parquet(f"{path}/recipes")
     drop_staged(spark, temp)
+    scratch.drop()
 
     parts = _sealed(spark.read.parquet(f"{path}/recipes"))
     spark.createDataFrame([*parts, _whole(parts)], _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
@@ -213,14 +231,13 @@ _MANIFEST = "part int, n_docs long, n_tokens long, root binary"
 def _sealed(recipes: DataFrame) -> list[tuple[int, int, int, bytes]]:
     """(part, n_docs, n_tokens, root) of each part, from its documents' rows: a row a file."""
 
-    @F.udf(T.BinaryType())
-    def seal(roots):
-        return merkle(b"".join(roots))
+    def seal(key: tuple, rows: pa.Table) -> pa.Table:  # some 32 bytes a document of one file
+        rows = rows.sort_by("local_start")
+        root = merkle(b"".join(rows["root"].to_pylist()))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([rows.num_rows], pa.int64()), pa.array([pc.sum(rows["n_tokens"]).as_py()], pa.int64()), pa.array([root], pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
 
-    # a part's roots: 16 bytes a document of one file
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("local_start", "root"))), lambda x: x["root"])
-    parts = recipes.select("part", "local_start", "n_tokens", "root").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), ordered.alias("roots"))
-    return sorted((r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in parts.withColumn("root", seal("roots")).drop("roots").collect())
+    parts = recipes.select("part", "local_start", "n_tokens", "root").groupBy("part").applyInArrow(seal, _MANIFEST)
+    return sorted((r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in parts.collect())
 
 
 def _whole(parts: list[tuple[int, int, int, bytes]]) -> tuple[int, int, int, bytes]:
@@ -263,10 +280,23 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                 at = end
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.binary())], names=["name", "chunk"])
 
-    supply = map_batches(rows.where(F.size("shared") > 0).select("names", "lengths", "elsewhere", "shared", "width", "ids"), shared, "name binary, chunk binary")
-    lacking = rows.where(F.size("elsewhere") > 0)
-    wanted = lacking.select("rid", "names", F.explode("elsewhere").alias("pos")).select("rid", "pos", F.substring("names", F.col("pos") * DIGEST + 1, F.lit(DIGEST)).alias("name"))
-    fetched = wanted.join(supply, "name").groupBy("rid").agg(F.collect_list(F.struct("pos", "chunk")).alias("fetched"))
+    def supply(rows: DataFrame) -> DataFrame:
+        return map_batches(rows.select("names", "lengths", "elsewhere", "shared", "width", "ids"), shared, "name binary, chunk binary")
+
+    named = lambda pos: F.substring("names", F.col(pos) * DIGEST + 1, F.lit(DIGEST)).alias("name")
+    lacking, lending = rows.where(F.size("elsewhere") > 0), rows.where(F.size("shared") > 0)
+    wanted = lacking.select("rid", "names", F.explode("elsewhere").alias("pos")).select("rid", "pos", named("pos"))
+    asked = wanted.groupBy("name").agg(F.count("*").alias("n"))
+    total = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [(bytes(r["name"]),) for r in asked.where(F.col("n") > total / HOT_SHARE).select("name").collect()]  # under HOT_SHARE names
+    if hot:
+        often = F.broadcast(spark.createDataFrame(hot, "name binary"))
+        lenders = lending.select("rid", "names", F.explode("shared").alias("pos")).select("rid", named("pos")).join(often, "name").select("rid").distinct()
+        chunks = supply(lending.join(F.broadcast(lenders), "rid", "left_semi")).join(often, "name")
+        found = wanted.join(F.broadcast(chunks), "name").unionByName(wanted.join(often, "name", "left_anti").join(supply(lending), "name"))
+    else:
+        found = wanted.join(supply(lending), "name")
+    fetched = found.groupBy("rid").agg(F.collect_list(F.struct("pos", "chunk")).alias("fetched"))
     whole = rows.where(F.size("elsewhere") == 0).withColumn("fetched", F.lit(None).cast("array<struct<pos:int,chunk:binary>>"))
     every = whole.unionByName(lacking.join(fetched, "rid", "left"))
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids

@@ -2,7 +2,9 @@
 
 A text is cut where its white space makes the rest independent of what came before; every distinct
 piece is encoded once per worker by the tokenizers library, a plain word by its model alone, and the
-pieces' ids are joined. The ids equal those of the whole text.
+pieces' ids are joined. The ids equal those of the whole text: that holds for texts of the characters
+up to U+024F, but for one that becomes two in lower case and for the mark that special tokens begin
+with. Any other text is given to the library whole.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ WHITE = "".join(map(chr, WHITE_POINTS))
 LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Texts that a split at single blanks and line ends would not cut like LEADING.
 UNEVEN = f"[{WHITE}][{WHITE}]|\\x00"
+#: Texts that are encoded whole: normalising or composing may join what a cut would part.
+UNPROVEN = "[^\\x00-\\x{24F}]|\\x{130}|<\\|"
 #: Marks that end a run of letters in both tokenizers' patterns (an apostrophe may not).
 MARKS = "!#$%&*+,-./:;=?@|~)"
 #: Letters up to here have one form only, so that a word of them goes straight to the model.
@@ -167,10 +171,13 @@ class Encoder:
         gc.disable()  # lists of strings hold no cycles, and there are very many of them
         try:
             column = pc.fill_null(texts, "")
-            odd = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False) if not self.drops_white else np.zeros(len(column), dtype=bool)
+            whole = pc.match_substring_regex(column, UNPROVEN).to_numpy(zero_copy_only=False)
+            odd = ~whole & (pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False) if not self.drops_white else False)
             empty = pc.equal(column, "").to_numpy(zero_copy_only=False)
             out = np.full(len(column), b"", dtype=object)
-            for rows, cut in ((~odd & ~empty, self._cut), (odd, _leading)):
+            for i in np.flatnonzero(whole).tolist():
+                out[i] = self._full(column[i].as_py())
+            for rows, cut in ((~odd & ~empty & ~whole, self._cut), (odd, _leading)):
                 if rows.any():
                     part = column.filter(pa.array(rows))
                     for i, ids in zip(np.flatnonzero(rows).tolist(), self._encode(cut(part)), strict=True):
