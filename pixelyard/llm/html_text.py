@@ -5,17 +5,17 @@ its class and id words and its own text (length, share in links, sentence marks)
 each edge ties a child to its parent. One upward and one downward sum-product pass give every
 node's exact content marginal; blocks of text whose node is likelier content than not are kept.
 
-All potentials are smoothed counts over labelled pages. The pages come from ``labelled_pages``:
-layouts made by a rule, in which every block's label is known.
+All potentials are smoothed counts over labelled pages: the layouts of ``html_pages``, in which every
+element of the article is marked by hand.
 """
 
 from __future__ import annotations
 
 import html
 import math
-import random
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pixelyard.llm.common import map_batches
+from pixelyard.llm.html_pages import labelled
 
 #: Elements of HTML by how a parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +61,8 @@ class Page:
     names: list[frozenset[str]] = field(default_factory=lambda: [frozenset()])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
     """(node, text, characters of it in links)"""
+    marked: list[bool] = field(default_factory=lambda: [False])
+    """labelled as the article's"""
 
 
 def _empty(attributes: str) -> bool:
@@ -106,10 +109,12 @@ def parse(source: str) -> Page:
     """The block-level tree of a page; unclosed, misnested and cut-off markup is taken as browsers roughly do."""
     page = Page()
     stack, at, node, in_link = ["#root"], [0], 0, 0
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # the depths of the open elements of a name
+    fences: list[int] = []
     parts: list[str] = []
     linked = 0
     ends: dict[int, int | None] = {}
+    endless: set[str] = set()  # elements that nothing closes from here on
 
     def flush() -> None:
         nonlocal parts, linked
@@ -124,7 +129,9 @@ def parse(source: str) -> Page:
         nonlocal node
         flush()
         for name in stack[depth:]:
-            opened[name] -= 1
+            opened[name].pop()
+            if name in FENCE:
+                fences.pop()
         del stack[depth:], at[depth:]
         node = at[-1]
 
@@ -150,15 +157,14 @@ def parse(source: str) -> Page:
                     parts.append(" ")
                 continue
             if opened[name]:
-                depth = len(stack) - 1
-                while stack[depth] != name:
-                    depth -= 1
-                leave(depth)
+                leave(opened[name][-1])
             elif name == "p":
                 flush()
             continue
         if name in RAW:
-            close = _raw_end(source, name, pos)
+            close = None if name in endless else _raw_end(source, name, pos)
+            if close is None:
+                endless.add(name)
             if close or name in ("textarea", "script", "style", "title"):
                 pos = close.end() if close else end
             continue
@@ -181,18 +187,12 @@ def parse(source: str) -> Page:
                 parts.append(" " if name == "br" else "")
             continue
         if name in ENDS_P and opened["p"]:
-            depth = len(stack) - 1
-            while stack[depth] != "p":
-                depth -= 1
-            leave(depth)
+            leave(opened["p"][-1])
         elif name in CLOSES:
-            depth, found = len(stack) - 1, None
-            while depth > 0 and stack[depth] not in FENCE:
-                if stack[depth] in CLOSES[name]:
-                    found = depth
-                depth -= 1
-            if found is not None:
-                leave(found)
+            fence = fences[-1] if fences else 0
+            inside = [open_[i] for x in CLOSES[name] if (open_ := opened[x]) and (i := bisect_right(open_, fence)) < len(open_)]
+            if inside:
+                leave(min(inside))
         flush()
         if name in ("html", "body") and opened[name]:
             continue
@@ -200,11 +200,16 @@ def parse(source: str) -> Page:
         page.parent.append(node)
         page.tag.append(name)
         page.names.append(names)
+        page.marked.append("data-k" in m[3])
         node = len(page.tag) - 1
+        opened[name].append(len(stack))
+        if name in FENCE:
+            fences.append(len(stack))
         stack.append(name)
         at.append(node)
-        opened[name] += 1
     flush()
+    if "body" not in page.tag:  # it may be left out
+        page.tag[0] = "body"
     return page
 
 
@@ -219,7 +224,7 @@ def _observed(page: Page) -> list[list[tuple[str, str]]]:
     out = []
     for i, tag in enumerate(page.tag):
         n = chars[i]
-        seen = [("tag", tag)] + [("name", x) for x in page.names[i]]
+        seen = [("tag", tag + ", named" * bool(page.names[i]) + ", with text" * bool(n))] + [("name", x) for x in page.names[i]]
         if n:
             share = links[i] / n
             length = "short" if n < 25 else "line" if n < 90 else "some" if n < 250 else "long"
@@ -259,29 +264,31 @@ class Model:
         return [1.0 / (1.0 + math.exp(-max(-300.0, min(300.0, x)))) for x in belief]
 
 
-def train(pages: Iterable[tuple[str, set[str]]], smooth: float = 0.5) -> Model:
-    """Potentials from (page, texts of its content blocks) pairs.
+def train(pages: Iterable[str], smooth: float = 0.5) -> Model:
+    """Potentials from pages in which ``data-k`` marks the elements whose own text is the article's.
 
-    A node with text of its own has its text's label. One without is content if there is content below
-    it and it isn't above the smallest node that holds all of the page's content.
+    A node with text of its own is content if it is marked. One without is content if there is content
+    below it and it isn't above the smallest node that holds all of the page's content, or if there is
+    no other text below it.
     """
     counts: dict[str, dict[str, list[float]]] = defaultdict(lambda: defaultdict(lambda: [smooth, smooth]))
-    edges, nodes = [[[smooth, smooth], [smooth, smooth]] for _ in range(2)], [smooth, smooth]
-    for source, content in pages:
+    edges, nodes = [[[smooth, smooth], [smooth, smooth]] for _ in range(2)], [smooth, smooth]  # nodes: the roots
+    for source in pages:
         page = parse(source)
         good, bad = [0] * len(page.tag), [0] * len(page.tag)
         for node, text, _ in page.blocks:
-            (good if text in content else bad)[node] += len(text)
-        below = good[:]
+            (good if page.marked[node] else bad)[node] += len(text)
+        below, other = good[:], bad[:]
         for i in range(len(page.tag) - 1, 0, -1):
             below[page.parent[i]] += below[i]
+            other[page.parent[i]] += other[i]
         label = [0] * len(page.tag)
         whole = max((i for i in range(len(page.tag)) if below[i] == below[0]), default=0)  # nodes are in page order: the last is the lowest
         for i in range(len(page.tag)):
             own = good[i] + bad[i]
-            label[i] = int(good[i] > bad[i]) if own else int(below[i] > 0 and i >= whole)
+            label[i] = int(good[i] > bad[i]) if own else int(below[i] > 0 and (i >= whole or not other[i]))
+        nodes[label[0]] += 1
         for i, seen in enumerate(_observed(page)):
-            nodes[label[i]] += 1
             for kind, value in seen:
                 counts[kind][value][label[i]] += 1
             if i:
@@ -295,95 +302,7 @@ def train(pages: Iterable[tuple[str, set[str]]], smooth: float = 0.5) -> Model:
             else:
                 seen[kind, value] = math.log(v[1] / total[1]) - math.log(v[0] / total[0])
     edge = tuple(tuple(tuple(math.log(x / sum(row)) for x in row) for row in e) for e in edges)
-    return Model(seen, edge, math.log(smooth / sum(nodes)))
-
-
-#: Words by which page authors name what isn't the article, and what is.
-OTHER_NAMES = "ad ads advert advertisement sponsor sponsored promo promotion banner popup modal overlay cookie consent gdpr notice alert nav navigation navbar menu breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer bottom copyright legal sidebar aside widget related recommended more share sharing social follow newsletter subscribe signup login search form comment comments reply respond discussion tags meta byline author toc skip".split()
-CONTENT_NAMES = "article content post entry story body text main hentry prose page single copy".split()
-
-
-def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, set[str]]]:
-    """Pages by rule: an article in one of several wrappers, with paragraphs of every length, among parts that are not content."""
-    rng = random.Random(seed)
-    syllables = "ka lo mi ner tas vu rel on esh dra pi qua sto ber".split()
-
-    def word() -> str:
-        return "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-
-    def sentence(least: int = 3, most: int = 14) -> str:
-        return " ".join(word() for _ in range(rng.randint(least, most))).capitalize() + rng.choice(". . . ! ?".split())
-
-    def heading() -> str:
-        text = sentence(1, 8)
-        return text[:-1] if rng.random() < 0.7 else text
-
-    def paragraph() -> str:
-        return " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 4, 6))))
-
-    def links(tag: str, k: int) -> str:
-        return "".join(f'<{tag}><a href="/{word()}">{word()}</a></{tag}>' for _ in range(k))
-
-    def named(tag: str, name: str, inner: str) -> str:
-        prefix, attribute = rng.choice(("", "", "site-", "page-", "block_")), rng.choice(("class", "class", "id"))
-        return f'<{tag} {attribute}="{prefix}{name}">{inner}</{tag}>'
-
-    def other() -> str:
-        kind = rng.randrange(10)
-        if kind == 0:
-            return f"<nav><ul>{links('li', rng.randint(3, 8))}</ul></nav>"
-        if kind == 1:
-            return f"<header><h1>{heading()}</h1><p>{sentence(2, 6)}</p></header>" if rng.random() < 0.5 else f"<header><a href='/'>{word()}</a> {sentence(2, 5)}</header>"
-        if kind == 2:
-            return f"<footer>&copy; {word()} {sentence()}</footer>" if rng.random() < 0.5 else f"<footer><p>{paragraph()}</p><ul>{links('li', 3)}</ul></footer>"
-        if kind == 3:
-            return f"<aside><h3>{word()}</h3><p>{paragraph()}</p><ul>{links('li', 4)}</ul></aside>"
-        if kind == 4:
-            return f"<form><p>{sentence(2, 5)}</p><label>{word()}</label><input name=q><button>{word()}</button></form>"
-        name = rng.choice(OTHER_NAMES)
-        inner = rng.choice((paragraph, sentence, lambda: f"<p>{paragraph()}</p>", lambda: f"<h3>{word()}</h3><p>{paragraph()}</p><p>{paragraph()}</p>", lambda: f"<ul>{links('li', 5)}</ul>", lambda: f"<p>{sentence()}</p><div>{paragraph()}</div>"))()
-        return named(rng.choice(("div", "div", "section", "ul" if "<li>" in inner else "div")), name, inner)
-
-    pages = []
-    for _ in range(n):
-        content: set[str] = set()
-
-        def keep(text: str, content: set[str] = content) -> str:
-            content.add(" ".join(text.split()))
-            return text
-
-        blocks = [f"<h1>{keep(heading())}</h1>"] if rng.random() < 0.8 else []
-        for _ in range(rng.randint(1, 9)):
-            kind = rng.randrange(14)
-            if kind < 9:
-                blocks.append(f"<p>{keep(paragraph() if rng.random() < 0.9 else heading())}" + ("</p>" if rng.random() < 0.8 else ""))
-            elif kind == 9:
-                blocks.append(f"<{(t := rng.choice(('h2', 'h2', 'h3')))}>{keep(heading())}</{t}>")
-            elif kind == 10:
-                blocks.append("<ul>" + "".join(f"<li>{keep(rng.choice((heading, sentence))())}</li>" for _ in range(3)) + "</ul>")
-            elif kind == 11:
-                blocks.append(f"<blockquote><p>{keep(paragraph())}</p></blockquote>")
-            elif kind == 12:
-                blocks.append(f"<pre>{keep(sentence())}</pre>" if rng.random() < 0.5 else f"<table><tr><td>{keep(heading())}</td><td>{keep(heading())}</td></tr></table>")
-            else:
-                blocks.append(named("div", rng.choice(OTHER_NAMES), paragraph()))
-        article, inside = "".join(blocks), rng.randrange(5)
-        if inside == 0:
-            article = f"<article>{article}</article>"
-        elif inside == 1:
-            article = f"<main><article>{article}</article></main>"
-        elif inside == 2:
-            article = f"<main>{article}</main>"
-        elif inside == 3:
-            article = named("div", rng.choice(CONTENT_NAMES), article)
-        else:
-            article = f"<article>{named('div', rng.choice(CONTENT_NAMES), article)}</article>"
-        before, after = ("".join(other() for _ in range(rng.randint(1, 4))) for _ in range(2))
-        page = f"{before}{article}{after}"
-        if rng.random() < 0.3:
-            page = f'<div class="{rng.choice(("wrapper", "container", "layout", "site"))}">{page}</div>'
-        pages.append((f"<!DOCTYPE html><html><head><title>{sentence()}</title></head><body>{page}</body></html>", content))
-    return pages
+    return Model(seen, edge, math.log(nodes[1] / nodes[0]))
 
 
 def main_text(source: str | None, model: Model) -> str:
@@ -402,9 +321,10 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     ``text`` holds the content blocks in page order, parted by an empty line; ``n_chars`` its code
     points. Closed svg, select and template elements have no text of the page; math and the fallback of
     object have. A null or empty page, or one without content, has an empty text. Markup that ends early is
-    read as far as it goes. Repeated rows give repeated rows; other columns are ignored.
+    read as far as it goes. Repeated rows give repeated rows; an empty table gives no rows; other columns
+    are ignored.
     """
-    known = train(labelled_pages()) if model is None else model
+    known = train(labelled()) if model is None else model
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(x, known) for x in batch["html"].to_pylist()]

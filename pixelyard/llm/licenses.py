@@ -25,16 +25,30 @@ from pixelyard.llm.common import map_batches
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Wording of common notices, by label.
+_BSD_OPENING = "redistribution and use <<optional>> of this software <<end>> in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_ONE = "<<any 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_TWO = "<<any 1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_THREE = "<<any 1>> neither the name of <<any 12>> nor the names of <<any 6>> may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = "this software is provided by <<any 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_AS_IS = "the software is provided as is"
+
+#: Wording of common licences, whole, and of the notices that name one, by label.
 TEMPLATES = {
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software "
+    + _AS_IS
+    + " without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<any 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    + _AS_IS
+    + " and <<any 6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<any 6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause": f"{_BSD_OPENING} {_BSD_ONE} {_BSD_TWO} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD_OPENING} {_BSD_ONE} {_BSD_TWO} {_BSD_THREE} {_BSD_END}",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<any 1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<any 1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<any 1>> this notice may not be removed or altered from any source distribution",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<any 9>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu <<any 2>> general public license as published by the free software foundation either version <<any 1>> of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<any 2>> general public license for more details",
     "gpl-3.0": "gnu general public license <<optional>> as published by the free software foundation either <<end>> version 3 <<optional>> of the license <<end>>",
     "gpl-2.0": "gnu general public license <<optional>> as published by the free software foundation either <<end>> version 2 <<optional>> of the license <<end>>",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu <<any 2>> general public license as published by the free software foundation",
     "apache-2.0": "apache license <<optional>> version <<end>> 2 0",
-    "apache-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "mit-notice": "under the <<optional>> terms of the <<end>> mit license",
-    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-4.0": "cc by <<optional>> license <<end>> 4 0",
     "cc-by-sa-4.0": "cc by sa <<optional>> license <<end>> 4 0",
     "cc-by-nc-4.0": "cc by nc <<optional>> license <<end>> 4 0",

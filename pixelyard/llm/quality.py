@@ -1,9 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and what each saves.
 
-A text is cut into blocks (a dictionary helps most near its start), each compressed with both
-dictionaries. The sizes' normalised difference says which text the document resembles; with the
-share that is left by the better one (runs of repeats leave little of it), a logistic curve turns
-it into a calibrated score.
+A text is cut into short blocks, so that what a block saves it saves by the dictionary and not by its
+own text; each is compressed with both dictionaries. The sizes' normalised difference says which text a
+block resembles. The document's is that which two fifths of its blocks stay under (a few odd blocks
+don't decide, a bad stretch does), and a rising curve through the labels' shares makes it a calibrated score.
 """
 
 from __future__ import annotations
@@ -22,10 +22,14 @@ from pixelyard.llm.common import held_out, learned, map_batches
 #: Labelled rows that are learned from, at most.
 SAMPLE_ROWS = 8_000
 #: Bytes of a dictionary, and of a block.
-DICTIONARY, BLOCK = 256 << 10, 1 << 10
+DICTIONARY, BLOCK = 256 << 10, 128
 #: Bytes of a piece of text in a dictionary.
 PIECE = 128
-LEVEL = 6
+LEVEL = 12
+#: The share of a text's blocks whose differences lie under the text's own.
+SHARE = 0.4
+#: The part of a score that rises evenly with the difference.
+RISE = 0.02
 #: Documents with a score from here on are of good quality.
 THRESHOLD = 0.3
 
@@ -34,9 +38,8 @@ THRESHOLD = 0.3
 class Model:
     good: bytes
     bad: bytes
-    weights: np.ndarray
-    middle: np.ndarray
-    spread: np.ndarray
+    curve: tuple[np.ndarray, np.ndarray]
+    """differences, and the scores at them"""
     _made: list = field(default_factory=list, repr=False)
 
     def __getstate__(self) -> dict:
@@ -45,8 +48,7 @@ class Model:
     def scores(self, column: pa.Array) -> np.ndarray:
         if not self._made:
             self._made += [_compressor(self.good), _compressor(self.bad)]
-        x = (measure(column, *self._made) - self.middle) / self.spread
-        return 1.0 / (1.0 + np.exp(-np.clip(_expand(x) @ self.weights, -35, 35)))
+        return np.interp(measure(column, *self._made), *self.curve)
 
 
 def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
@@ -58,22 +60,20 @@ def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
 
 
 def measure(column: pa.Array, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    """Per text: the normalised size difference (good less bad), and the smaller size a byte."""
+    """Per text the normalised size difference of its block at ``SHARE``: positive if the good text's
+    dictionary saves more; 0 for an empty text."""
     data, offsets = textvec.flat(column)
-    out = np.zeros((len(column), 2))
+    out = np.zeros(len(column))
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         if b > a:
-            blocks = [data[x : min(x + BLOCK, b)].tobytes() for x in range(a, b, BLOCK)]
-            g, k = sum(len(good.compress(x)) for x in blocks), sum(len(bad.compress(x)) for x in blocks)
-            out[i] = (g - k) / max(g, k), min(g, k) / (b - a + 16)
+            raw = data[a:b].tobytes()
+            blocks = [raw[x : x + BLOCK] for x in range(0, b - a, BLOCK)]
+            g, k = (np.array([len(c.compress(x)) for x in blocks]) for c in (good, bad))
+            d, at = (k - g) / np.maximum(g, k), int(SHARE * (len(blocks) - 1))
+            out[i] = np.partition(d, at)[at]
     return out
 
 
-def _expand(x: np.ndarray) -> np.ndarray:
-    d, r = x[:, 0], x[:, 1]
-    return np.stack([np.ones(len(x)), d, r, d * d, d * r, r * r], axis=1)
-
-
 def _dictionary(texts: list[bytes], seed: int = 3) -> bytes:
     """All texts if they fit; else a piece from a seeded place of each equal stretch of the texts laid end to end.
 
@@ -89,39 +89,36 @@ def _dictionary(texts: list[bytes], seed: int = 3) -> bytes:
 
 
 def learn(pairs: list[tuple[str, int]], seed: int = 7) -> Model:
-    """Dictionaries from half of the pairs, the curve from the other half; without both labels the score is their share."""
+    """Dictionaries from half of the pairs, the curve from the other half."""
     order = np.random.default_rng(seed).permutation(len(pairs)).tolist()
     for_dict, for_curve = [pairs[i] for i in order[::2]], [pairs[i] for i in order[1::2]]
     good, bad = (_dictionary([t.encode() for t, y in for_dict if y == k and t]) for k in (1, 0))
     y = np.array([k for _, k in for_curve], dtype=float)
     x = measure(pa.array([t for t, _ in for_curve], pa.large_string()), _compressor(good), _compressor(bad))
-    middle, spread = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(2), np.ones(2))
-    full = _expand((x - middle) / spread)
-    w = np.zeros(full.shape[1])
-    share = (y.sum() + 1) / (len(y) + 2)
-    w[0] = np.log(share / (1 - share))
-    return Model(good, bad, _logistic(full, y, w) if 0 < y.sum() < len(y) else w, middle, spread)
+    return Model(good, bad, calibrate(x, y))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Newton's steps, halved while they raise the penalised loss."""
-    ridge = np.array([1e-6, *[1.0] * (x.shape[1] - 1)])
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a rising curve: the shares of good rows by ``x``, neighbours pooled until they rise.
 
-    def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (ridge * w * w).sum())
-
-    now = loss(w)
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (p - y) + ridge * w)
-        while loss(w - step) > now and np.abs(step).max() > 1e-10:
-            step = step / 2
-        w = w - step
-        before, now = now, loss(w)
-        if before - now < 1e-9:
-            break
-    return w
+    A pool's rows have one share, the curve is linear from pool to pool; ``RISE`` of it is a straight line,
+    so that no two differences within those learned from have one score. Without both labels it is flat, at their share.
+    """
+    share = (y.sum() + 1) / (len(y) + 2)
+    if not 0 < y.sum() < len(y):
+        return np.array([0.0]), np.array([share])
+    pools: list[tuple[float, float, float, float]] = []  # least and largest x, sum of y, rows
+    order = np.argsort(x, kind="stable")
+    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        pools.append((a, a, b, 1.0))
+        while len(pools) > 1 and (pools[-2][1] == a or pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]):
+            (lo, _, good, n), (_, hi, more, k) = pools[-2:]
+            pools[-2:] = [(lo, hi, good + more, n + k)]
+    lo, hi, good, n = np.array(pools).T
+    level = np.repeat(good / n, 2)
+    at = np.stack([lo, hi], axis=1).ravel()
+    at = at + np.arange(len(at)) * 1e-12
+    return at, (1 - RISE) * level + RISE * (at - at[0]) / (at[-1] - at[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -132,8 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with the column ``score``: nearer to 1, the label 1 is likelier.
 
-    A null or empty text is measured as nothing saved by either dictionary. All columns and rows stay;
-    a column of that name is replaced.
+    A null or empty text is measured as nothing saved by either dictionary, so all of them have one
+    score. All columns and rows stay, also repeated ones and those without a doc_id; an empty table stays
+    empty; a column of that name is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score")
@@ -146,7 +144,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose scores reach ``THRESHOLD``; all columns stay, whatever their names."""
+    """The rows of ``docs`` whose scores reach ``THRESHOLD``; all columns stay, whatever their names.
+
+    Rows with equal texts, null and empty ones included, stay or go together; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -157,6 +158,10 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of each row of ``docs``."""
+    """``doc_id, held_out, score, predicted`` of each row of ``docs``.
+
+    Every row counts, also repeated ones, null and empty texts and those without a doc_id (held out: the
+    checksum of an empty text is 0). Without labels all rows have an even score; an empty table gives no rows.
+    """
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

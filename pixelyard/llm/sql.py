@@ -4,7 +4,17 @@ from __future__ import annotations
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-URL_FILTER = r"""
+
+
+def _unescaped(path: str) -> str:
+    """The path with the escapes of letters, digits and ``-._~`` undone."""
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~":
+        for code in sorted({f"%{ord(c):02X}", f"%{ord(c):02x}"}):
+            path = f"replace({path}, '{code}', '{c}')"
+    return path
+
+
+URL_FILTER = rf"""
 WITH rests AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
@@ -16,11 +26,12 @@ ruled AS (
     WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
     WHEN ends_with('.' || host, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN ends_with('.' || host, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
-    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts)
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+    '.' || regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') || {_unescaped("path")} AS plain FROM parts)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
   WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches('.' || host || path, '^[^/]*spam-farm\.|^[^/]*cheap-pills\.|^[^/]*\.ads\.|^[^/]*/.*/wp-login\.php$|\.exe$') THEN 'block'
+  WHEN regexp_matches(plain, '^[^/]*(spam-farm|cheap-pills|\.casino-[^/]*|\.ads|\.adserver|\.tracking)\.|^[^/]*/(.*/)?(wp-login\.php$|cgi-bin/)|\.(exe|apk)$') THEN 'block'
   WHEN host = '' THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """

@@ -5,10 +5,15 @@ one byte; a backslash takes the next character as it is. One bit stands for each
 each rule; the bits of all rules lie end to end in 64-bit words. A step shifts every state by one,
 takes in the rules that may begin here, keeps what the character allows, and adds back the states
 that a star holds. Many URLs step together, a column of bytes at a time.
+
+The base rules are held against host and path as they stand, the method's own against the canonical
+URL: without user, port and the host's last dots, and with percent-escapes of letters, digits and
+``-._~`` undone.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,13 +37,15 @@ class Rule:
     verdict: str
     name: str | None = None
     rank: int = 0
+    canonical: bool = True
+    """held against the canonical URL, not the URL as it stands"""
 
 
 def host_rule(rule: str, verdict: str) -> Rule:
     """A rule ``host/path``: it fits the host and all its subdomains where the path starts with the rule's."""
     host, slash, path = rule.partition("/")
     plain = "".join("\\" + c if c in "*?\\" else c for c in f".{host}{slash}{path}")
-    return Rule(f"*{plain}**", verdict, rule, 1_000_000 + len(rule))
+    return Rule(f"*{plain}**", verdict, rule, 1_000_000 + len(rule), canonical=False)
 
 
 def parse(glob: str) -> list:
@@ -128,13 +135,24 @@ class Automaton:
 BASE = [host_rule("org/", "allow"), host_rule("example.org/es/", "block"), host_rule("example.org/en/1", "block"), host_rule("com/fr/", "allow"), host_rule("com/de/", "block")]
 #: The method's own rules, for URLs that no base rule fits.
 OWN = [
-    Rule("*spam-farm.**", "block", rank=3),
-    Rule("*cheap-pills.**", "block", rank=3),
-    Rule("*.ads.**", "block", rank=2),
-    Rule("*/**/wp-login.php", "block", rank=1),
-    Rule("**.exe", "block", rank=1),
+    *[Rule(glob, "block", rank=3) for glob in ("*spam-farm.**", "*cheap-pills.**", "*.casino-*.**")],
+    *[Rule(glob, "block", rank=2) for glob in ("*.ads.**", "*.adserver.**", "*.tracking.**")],
+    *[Rule(glob, "block", rank=1) for glob in ("*/wp-login.php", "*/**/wp-login.php", "*/cgi-bin/**", "*/**/cgi-bin/**", "**.exe", "**.apk")],
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters that mean the same escaped or not.
+UNRESERVED = UPPER + LOWER + "0123456789-._~"
+_ESCAPE = re.compile("%([0-9A-Fa-f]{2})")
+_PORT = re.compile(":[0-9]*\\Z")
+
+
+def canonical(host: str, path: str) -> str:
+    """``.host/path`` without user, port and last dots; escapes that stand for unreserved characters are undone until none is left."""
+    host = _PORT.sub("", host[host.rfind("@") + 1 :]).rstrip(".")
+    before = None
+    while "%" in path and path != before:
+        before, path = path, _ESCAPE.sub(lambda m: c if (c := chr(int(m[1], 16))) in UNRESERVED else m[0], path)
+    return f".{host}{path}"
 
 
 def judge(pages: DataFrame, rules: list[Rule] | None = None, default: str = "allow", unparsed: str = "block") -> DataFrame:
@@ -142,7 +160,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, default: str = "all
 
     The fitting rule of the highest rank decides (the earlier of equal ones). With none, a URL without
     a host gets ``unparsed`` and any other ``default``. A null url, or one without ``://``, has an empty
-    host and path. Repeated rows give repeated rows; other columns are ignored.
+    host and path. Repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
     """
     rules = BASE + OWN if rules is None else rules
     at = F.instr("url", "://")
@@ -151,10 +169,15 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, default: str = "all
     parts = parts.select("page_id", F.translate(F.regexp_extract("rest", "^[^/?#]*", 0), UPPER, LOWER).alias("host"), F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1).alias("path"))
     automaton = Automaton(rules)
     order = sorted(range(len(rules)), key=lambda k: -rules[k].rank)
+    own = [k for k, r in enumerate(rules) if r.canonical]
 
     def decide(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, paths = batch["host"].to_pylist(), batch["path"].to_pylist()
-        fits = automaton.matches(pa.array([f".{h}{p}" for h, p in zip(hosts, paths, strict=True)], pa.large_string()))
+        plain = [f".{h}{p}" for h, p in zip(hosts, paths, strict=True)]
+        fits = automaton.matches(pa.array(plain, pa.large_string()))
+        plainer = [canonical(h, p) for h, p in zip(hosts, paths, strict=True)]
+        if odd := [i for i, (x, y) in enumerate(zip(plain, plainer, strict=True)) if x != y]:
+            fits[np.ix_(odd, own)] = automaton.matches(pa.array([plainer[i] for i in odd], pa.large_string()))[:, own]
         best = np.full(len(hosts), -1)
         for k in reversed(order):
             best[fits[:, k]] = k
