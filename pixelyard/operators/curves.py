@@ -1,18 +1,23 @@
-"""Precision and recall by window and aggregation over ``matches``.
+"""Precision and recall from ``matches``.
 
-Running counts of true and false positives go over score order once, for all thresholds at once.
-A true positive's recall says up to which recall threshold its precision counts, so the envelope
-and the lookup need no second ordering: the best precision by threshold, at most one row each and
-pre-aggregated before the shuffle, and a running maximum over those.
+Rows are sorted by score once per category. One Arrow pass keeps the running counts of all thresholds,
+area ranges and caps at once, a batch at a time. A true positive's recall says up to which recall
+threshold its precision counts, so what leaves the pass is the best precision by recall threshold, at
+most a row each, and the envelope is a running maximum over those. A category of more rows than one
+task should sort is dealt by score ranges instead.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelyard.functions.numeric import EPS, RECALL_LADDER
 from pixelyard.plans.params import Params
+from pixelyard.workers import ship
 
 LANE = ["category_id", "area_idx", "m_idx", "t_idx"]
 #: Rows of one category, area range and cap that one task still sorts; larger ones are split by score.
@@ -70,8 +75,6 @@ def true_positives(matches: DataFrame, params: Params, extra: list[str] | None =
     """A row per true positive of each lane: its score and the counts ``tp`` and ``fp`` up to it."""
     extra = extra or []
     n = len(params.iou_thresholds)
-    if split is None:
-        matches = matches.persist()  # the largest key is counted first
     rows = lanes(matches, params, extra)
     sums = {f"tp_{t}": _bit(F.col("hit").bitwiseAND(F.bitwise_not("ign")), t) for t in range(n)} | {f"fp_{t}": _bit(F.bitwise_not(F.col("hit").bitwiseOR(F.col("ign"))), t) for t in range(n)}
     keys = [*extra, "category_id", "area_idx", "m_idx"]
@@ -80,14 +83,102 @@ def true_positives(matches: DataFrame, params: Params, extra: list[str] | None =
     return counted.select(*keys, "score", F.explode(F.array_compact(per_t)).alias("x")).select(*keys, "x.t_idx", "score", "x.tp", "x.fp")
 
 
+class _Counts:
+    """One key's running counts over its rows in score order, and the best of each recall index (moved up by one)."""
+
+    def __init__(self, npig: np.ndarray, params: Params):
+        self.npig, self.params = npig, params
+        self.caps, self.recalls = np.array(params.max_dets), np.array(params.recall_thresholds)
+        lanes = (len(npig), len(self.caps), len(params.iou_thresholds))
+        self.tp, self.fp = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+        size = int(np.prod(lanes)) * (len(self.recalls) + 1)
+        self.precision, self.score, self.most = np.full(size, -1.0), np.zeros(size), np.zeros(size, dtype=np.int64)
+
+    def add(self, rank: np.ndarray, score: np.ndarray, hit: np.ndarray, ign: np.ndarray) -> None:
+        bits = np.arange(len(self.params.iou_thresholds))
+        on = lambda x: ((x[:, :, None] >> bits) & 1).astype(bool)  # noqa: E731  row, area, threshold
+        is_tp, is_fp = on(hit & ~ign), on(~(hit | ign))
+        for a in np.flatnonzero(self.npig > 0).tolist():
+            for m, cap in enumerate(self.caps.tolist()):
+                inside = (rank <= cap)[:, None]
+                hits = is_tp[:, a] & inside
+                tp = np.cumsum(hits, axis=0) + self.tp[a, m]
+                fp = np.cumsum(is_fp[:, a] & inside, axis=0) + self.fp[a, m]
+                self.tp[a, m], self.fp[a, m] = tp[-1], fp[-1]
+                row, t = np.nonzero(hits)
+                if len(row):
+                    upto = tp[row, t]
+                    b = np.searchsorted(self.recalls, upto / self.npig[a], side="right")
+                    at = ((a * len(self.caps) + m) * len(bits) + t) * (len(self.recalls) + 1) + b
+                    np.maximum.at(self.precision, at, upto / ((upto + fp[row, t]) + EPS))
+                    np.maximum.at(self.score, at, score[row])
+                    np.maximum.at(self.most, at, upto)
+
+    def rows(self) -> list[np.ndarray]:
+        """Columns ``area_idx, m_idx, t_idx, npig, b, p, s, tp``."""
+        at = np.flatnonzero(self.precision >= 0)
+        lane, b = np.divmod(at, len(self.recalls) + 1)
+        lane, t = np.divmod(lane, len(self.params.iou_thresholds))
+        a, m = np.divmod(lane, len(self.caps))
+        return [*(x.astype(np.int32) for x in (a, m, t)), self.npig[a], (b - 1).astype(np.int32), self.precision[at], self.score[at], self.most[at]]
+
+
+def _counted(matches: DataFrame, npig: DataFrame, params: Params, keys: list[str]) -> DataFrame:
+    """Each lane's best precision and score, and its true positives, by the last recall threshold reached."""
+    n_a = len(params.areas)
+    by_area = F.map_from_entries(F.collect_list(F.struct("area_idx", "npig")))
+    known = npig.where("npig > 0").groupBy(*keys).agg(by_area.alias("x")).select(*keys, F.array(*[F.coalesce(F.element_at("x", F.lit(a)), F.lit(0)).cast("long") for a in range(n_a)]).alias("npigs"))
+    rows = matches.select(*keys, "image_id", "rank", "score", "matched", "ignored").join(known, keys)
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "image_id", "rank")
+    fields = [T.StructField(n, k) for n, k in (("area_idx", T.IntegerType()), ("m_idx", T.IntegerType()), ("t_idx", T.IntegerType()), ("npig", T.LongType()), ("b", T.IntegerType()), ("p", T.DoubleType()), ("s", T.DoubleType()), ("tp", T.LongType()))]
+    schema = T.StructType([*(rows.schema[k] for k in keys), *fields])
+    ship(matches.sparkSession)
+
+    def run(batches):
+        key, counts = None, None
+
+        def finished():
+            columns = counts.rows()
+            return pa.RecordBatch.from_arrays([*(pa.repeat(k, len(columns[0])) for k in key), *map(pa.array, columns)], names=schema.names)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            changes = np.zeros(n, dtype=bool)
+            for k in keys:
+                codes = batch[k].dictionary_encode(null_encoding="encode").indices.to_numpy()
+                changes[1:] |= codes[1:] != codes[:-1]
+            flat = lambda c: c.flatten().to_numpy().reshape(-1, n_a)
+            rank, score, hit, ign = batch["rank"].to_numpy(), batch["score"].to_numpy(), flat(batch["matched"]), flat(batch["ignored"])
+            starts = [0, *np.flatnonzero(changes).tolist(), n]
+            for i, j in zip(starts, starts[1:]):
+                own = [batch[k][i] for k in keys]
+                if own != key:
+                    if key is not None:
+                        yield finished()
+                    key, counts = own, _Counts(np.array(batch["npigs"][i].as_py()), params)
+                counts.add(rank[i:j], score[i:j], hit[i:j], ign[i:j])
+        if key is not None:
+            yield finished()
+
+    return ordered.mapInArrow(run, schema)
+
+
 def steps(matches: DataFrame, npig: DataFrame, params: Params, extra: list[str] | None = None, split: bool | None = None) -> DataFrame:
     """Each lane's precision as steps: ``precision`` and ``score`` hold for the recall indices over ``next`` up to ``b``; ``tp`` true positives reach ``b``."""
     extra = extra or []
-    lane = [*extra, *LANE]
-    known = npig.where(F.col("npig") > 0).select(*extra, "category_id", "area_idx", "npig")
-    tps = true_positives(matches, params, extra, split).join(known, [*extra, "category_id", "area_idx"])
-    tps = tps.withColumn("b", _reached(F.col("tp") / F.col("npig"), params.recall_thresholds)).withColumn("precision", F.col("tp") / ((F.col("tp") + F.col("fp")) + F.lit(EPS)))
-    best = tps.groupBy(*lane, "npig", "b").agg(F.max("precision").alias("p"), F.max("score").alias("s"), F.max("tp").alias("tp"))
+    lane, keys = [*extra, *LANE], [*extra, "category_id"]
+    if split is None:
+        matches = matches.persist()  # the largest key is counted first
+        split = bool(matches.groupBy(*keys).count().where(F.col("count") > SPLIT_ROWS).take(1))
+    if split:
+        known = npig.where(F.col("npig") > 0).select(*extra, "category_id", "area_idx", "npig")
+        tps = true_positives(matches, params, extra, split).join(known, [*extra, "category_id", "area_idx"])
+        tps = tps.withColumn("b", _reached(F.col("tp") / F.col("npig"), params.recall_thresholds)).withColumn("precision", F.col("tp") / ((F.col("tp") + F.col("fp")) + F.lit(EPS)))
+        best = tps.groupBy(*lane, "npig", "b").agg(F.max("precision").alias("p"), F.max("score").alias("s"), F.max("tp").alias("tp"))
+    else:
+        best = _counted(matches, npig, params, keys)
     down = Window.partitionBy(*lane).orderBy(F.desc("b"))
     return best.select(*lane, "npig", "b", "tp", F.max("p").over(down).alias("precision"), F.max("s").over(down).alias("score"), F.coalesce(F.lead("b").over(down), F.lit(-1)).alias("next"))
 

@@ -1,9 +1,9 @@
 """Greedy matching of detections to ground truth, cell by cell.
 
 A cell is an image and a category. Similarities come from an equi-join on the cell, below the least
-threshold they are dropped in the JVM; a cell's detections with their remaining candidates meet in
-one row, and one Arrow pass runs the sequential part for all thresholds and area ranges. Both
-aggregations reuse the join's partitioning, so each side is shuffled once.
+threshold they are dropped inside it. One Arrow pass over flat rows, cell after cell, does the rest: a
+detection with one candidate that no other wants is settled by array arithmetic, for all thresholds and
+area ranges at once; only the detections that compete run the sequential part.
 
 The result, ``matches``, has a row per detection that is within the cap:
 ``image_id, category_id, dt_id, score, area, rank`` and, by area range, ``matched`` and ``ignored``
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pixelyard.plans.params import Params
 from pixelyard.workers import ship
 
 CELL = ["image_id", "category_id"]
-MATCHES = "image_id long, category_id long, dt_id long, score double, area double, rank int, matched array<int>, ignored array<int>, gts array<array<long>>"
+MATCHES = "image_id long, category_id long, dt_id long, score double, area double, rank int, matched array<long>, ignored array<long>, gts array<array<long>>"
 
 
 def top_k(dt: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -130,6 +131,111 @@ def edges_by_place(dts: list[dict], edges: list[dict] | None) -> list[list[tuple
     return out
 
 
+_FLAT = ["image_id", "category_id", "rank", "dt_id", "score", "area", "open", "g_ord", "ann_id", "g_area", "ign", "crowd", "iou"]
+
+
+def candidates(gt: DataFrame, dt: DataFrame, least: float, similarity: Callable | None = None) -> DataFrame:
+    """``_FLAT`` rows: each detection with each of its candidates, or once with nulls; ``n`` counts the cell's rows.
+
+    The count also keeps every cell in one partition, row next to row.
+    """
+    d = dt.withColumn("open", F.coalesce("open", F.lit(False)) if "open" in dt.columns else F.lit(False))
+    score = similarity or bbox_similarity
+    if getattr(score, "met", None) is not None and least > 0:
+        g = gt.select(*CELL, F.struct("bbox", F.coalesce("iscrowd", F.lit(False)).alias("iscrowd"), F.col("ord").alias("g_ord"), "ann_id", F.col("area").alias("g_area"), "ign").alias("g"))
+        d = d.select(*CELL, "rank", "dt_id", "score", "area", "open", F.struct("bbox").alias("d"))
+        near = overlapping(F.col("g.bbox"), F.col("d.bbox")) & (score.met(F.col("g"), F.col("d")) >= least)
+        met = d.join(g, (d["image_id"] == g["image_id"]) & (d["category_id"] == g["category_id"]) & near, "left")
+        iou = F.when(F.col("g").isNotNull(), score.met(F.col("g"), F.col("d")))
+        rows = met.select(d["image_id"], d["category_id"], "rank", "dt_id", "score", "area", "open", "g.g_ord", "g.ann_id", "g.g_area", "g.ign", F.col("g.iscrowd").alias("crowd"), iou.alias("iou"))
+    else:  # a similarity that isn't a plain expression can't stand in a join's condition
+        edge = scored_pairs(gt, dt, least, similarity).select(*CELL, "rank", "dt_id", "edge.*")
+        alone = d.select(*CELL, "rank", "dt_id", "score", "area", "open")
+        rows = alone.unionByName(edge, allowMissingColumns=True)
+    return rows.select(*_FLAT, F.count(F.lit(1)).over(Window.partitionBy(*CELL)).alias("n"))
+
+
+def _settle(x: dict[str, np.ndarray], seeds: tuple[float, ...], areas: list[tuple[float, float]]) -> pa.RecordBatch:
+    """``matches`` of the rows of whole cells."""
+    n_t, n_a, full = len(seeds), len(areas), (1 << len(seeds)) - 1
+    same = lambda *columns: np.all([x[c][1:] == x[c][:-1] for c in columns], axis=0)
+    cell = np.append(0, np.cumsum(~same(*CELL)))
+    order = np.lexsort((x["has"], x["rank"], cell))  # a detection's own row, if it has one, before its candidates
+    x, cell = {k: v[order] for k, v in x.items()}, cell[order]
+    head = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (x["rank"][1:] != x["rank"][:-1])))
+    det = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(cell))))
+    edge = np.flatnonzero(x["has"])
+    wanted = np.bincount(det[edge], minlength=len(head))
+    by_gt = edge[np.lexsort((x["ann_id"][edge], cell[edge]))]
+    starts = np.flatnonzero(np.append(True, (cell[by_gt][1:] != cell[by_gt][:-1]) | (x["ann_id"][by_gt][1:] != x["ann_id"][by_gt][:-1]))) if len(by_gt) else np.zeros(0, dtype=np.int64)
+    suitors = np.zeros(len(cell), dtype=np.int64)
+    suitors[by_gt] = np.repeat(np.diff(np.append(starts, len(by_gt))), np.diff(np.append(starts, len(by_gt)))) if len(by_gt) else 0
+    alone = (wanted[det[edge]] == 1) & (x["crowd"][edge] | (suitors[edge] == 1))
+
+    hits, igns = np.zeros((len(head), n_a), dtype=np.int64), np.zeros((len(head), n_a), dtype=np.int64)
+    ids, known = np.zeros((len(head), n_a, n_t), dtype=np.int64), np.zeros((len(head), n_a, n_t), dtype=bool)
+    lo, hi = np.array(areas).T
+    out_of = lambda size: ~((size[:, None] >= lo) & (size[:, None] <= hi))  # noqa: E731  a null or NaN size is in no range
+
+    own = edge[alone]
+    reached = np.searchsorted(np.array(seeds), x["iou"][own], side="right")
+    bits = (np.int64(1) << reached) - 1
+    hits[det[own]] = bits[:, None]
+    igns[det[own]] = np.where(x["ign"][own][:, None] | out_of(x["g_area"][own]), bits[:, None], 0)
+    known[det[own]] = (np.arange(n_t) < reached[:, None])[:, None, :]
+    ids[det[own]] = x["ann_id"][own][:, None, None]
+
+    rest = edge[~alone]
+    if len(rest):
+        columns = [x[c][rest].tolist() for c in ("g_ord", "ann_id", "g_area", "ign", "crowd", "iou")]
+        every, of, at = list(zip(*columns, strict=True)), det[rest].tolist(), cell[rest].tolist()
+        i = 0
+        while i < len(every):
+            j, dets, edges = i, [], []
+            while j < len(every) and at[j] == at[i]:
+                if not dets or dets[-1] != of[j]:
+                    dets.append(of[j])
+                    edges.append([])
+                edges[-1].append(every[j])
+                j += 1
+            done: dict[tuple, int] = {}
+            for a, (low, high) in enumerate(areas):
+                off = lambda e, low=low, high=high: e[3] or not low <= e[2] <= high
+                key = tuple(off(e) for e in every[i:j])
+                if key in done:
+                    for c in (hits, igns, ids, known):
+                        c[dets, a] = c[dets, done[key]]
+                    continue
+                done[key] = a
+                for t, taken in enumerate(greedy(edges, seeds, off)):
+                    for d, pick in zip(dets, taken, strict=True):
+                        if pick is not None:
+                            hits[d, a] |= 1 << t
+                            igns[d, a] |= off(pick) << t
+                            ids[d, a, t], known[d, a, t] = pick[1], True
+            i = j
+    outside = out_of(x["area"][head]) | x["open"][head][:, None]
+    igns |= np.where(outside, full & ~hits, 0)
+    some = hits.ravel() > 0
+    ends = np.append(0, np.cumsum(some * n_t)).astype(np.int32)
+    inner = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~some, False)), pa.array(ids.reshape(-1, n_t)[some].ravel(), mask=~known.reshape(-1, n_t)[some].ravel()))
+    by_area = pa.array(np.arange(0, len(head) * n_a + 1, n_a, dtype=np.int32))
+    lists = [pa.ListArray.from_arrays(by_area, c) for c in (pa.array(hits.ravel()), pa.array(igns.ravel()), inner)]
+    area = x["area"][head]
+    plain = [pa.array(x[c][head]) for c in ("image_id", "category_id", "dt_id", "score")] + [pa.array(area, mask=np.isnan(area)), pa.array(x["rank"][head].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*plain, *lists], names=["image_id", "category_id", "dt_id", "score", "area", "rank", "matched", "ignored", "gts"])
+
+
+def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The columns as numpy arrays; ``has`` tells rows with a candidate, whose columns are 0 or NaN elsewhere."""
+    out = {"has": batch["ann_id"].is_valid().to_numpy(zero_copy_only=False)}
+    for name in _FLAT:
+        column = batch[name]
+        blank = float("nan") if pa.types.is_floating(column.type) else False if pa.types.is_boolean(column.type) else 0
+        out[name] = column.fill_null(blank).to_numpy(zero_copy_only=False)
+    return out
+
+
 def match(gt: DataFrame, dt: DataFrame, params: Params, similarity: Callable | None = None, exhaustive: DataFrame | None = None) -> DataFrame:
     """``matches`` of ``dt`` (with ``rank``) against ``gt`` (with ``ign``).
 
@@ -137,49 +243,35 @@ def match(gt: DataFrame, dt: DataFrame, params: Params, similarity: Callable | N
     """
     ship(gt.sparkSession)
     seeds, areas = params.seeds, [(a.lo, a.hi) for a in params.areas]
-    rows = cells(gt, dt, min(seeds), similarity)
     if exhaustive is not None:
-        rows = rows.join(exhaustive.select(*CELL).distinct().withColumn("open", F.lit(True)), CELL, "left")
-    else:
-        rows = rows.withColumn("open", F.lit(False))
-    full = (1 << len(seeds)) - 1
+        dt = dt.join(exhaustive.select(*CELL).distinct().withColumn("open", F.lit(True)), CELL, "left")
+    rows = candidates(gt, dt, min(seeds), similarity)
 
     def run(batches):
+        kept, lacking = [], 0  # the beginning of a cell whose end comes with later batches
         for batch in batches:
-            out: list[tuple] = []
-            for image, category, dts, found, open_ in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                edges = edges_by_place(dts, found)
-                some = [i for i, own in enumerate(edges) if own]
-                every = [edges[i] for i in some]
-                known: dict[tuple, tuple] = {}
-                by_area = []
-                for lo, hi in areas:
-                    key = tuple(e[3] or not lo <= e[2] <= hi for own in every for e in own)
-                    if key not in known:
-                        picks = greedy(every, seeds, lambda e, lo=lo, hi=hi: e[3] or not lo <= e[2] <= hi)
-                        hit, ign, ids = [0] * len(dts), [0] * len(dts), [None] * len(dts)
-                        for t, taken in enumerate(picks):
-                            for i, pick in zip(some, taken, strict=True):
-                                if pick is not None:
-                                    hit[i] |= 1 << t
-                                    ign[i] |= (pick[3] or not lo <= pick[2] <= hi) << t
-                                    ids[i] = ids[i] or [None] * len(seeds)
-                                    ids[i][t] = pick[1]
-                        known[key] = hit, ign, ids
-                    by_area.append(known[key])
-                for i, d in enumerate(dts):
-                    hits, igns = [], []
-                    for (hit, ign, _), (lo, hi) in zip(by_area, areas, strict=True):
-                        outside = open_ or not (d["area"] is not None and lo <= d["area"] <= hi)
-                        hits.append(hit[i])
-                        igns.append(ign[i] | (full & ~hit[i] if outside else 0))
-                    out.append((image, category, d["dt_id"], d["score"], d["area"], d["rank"], hits, igns, [x[2][i] for x in by_area]))
-            if out:
-                types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int32()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.list_(pa.int64()))]
-                names = ["image_id", "category_id", "dt_id", "score", "area", "rank", "matched", "ignored", "gts"]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-    return rows.select(*CELL, "dts", "edges", F.coalesce("open", F.lit(False)).alias("open")).mapInArrow(run, MATCHES)
+            if not batch.num_rows:
+                continue
+            kept.append(batch)
+            n = batch.num_rows
+            if lacking >= n:
+                lacking -= n
+                if lacking:
+                    continue
+                whole = n
+            else:
+                at = lacking
+                sizes = batch["n"].to_numpy()
+                while at < n:
+                    whole, at = at, at + int(sizes[at])
+                whole, lacking = (n, 0) if at == n else (whole, at - n)
+            ready = [*kept[:-1], batch.slice(0, whole)]
+            kept = [batch.slice(whole)] if whole < n else []
+            ready = [b for b in ready if b.num_rows]
+            if ready:
+                yield _settle(_arrays(pa.Table.from_batches(ready).combine_chunks().to_batches()[0]), seeds, areas)
+
+    return rows.mapInArrow(run, MATCHES)
 
 
 def pairs(gt: DataFrame, dt: DataFrame, floor: float = 0.1, similarity: Callable | None = None) -> DataFrame:

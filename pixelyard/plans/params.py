@@ -10,6 +10,8 @@ from pixelyard.functions.numeric import IOU_LADDER, RECALL_LADDER, ladder
 
 #: The least similarity of a match is a threshold, or just under 1.
 MOST_SEED = 1 - 1e-10
+#: A detection's fates by threshold are the bits of a long.
+MOST_THRESHOLDS = 62
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,8 @@ class Params:
         if not self.max_dets or any(int(m) < 1 for m in self.max_dets):
             raise InvalidConfig("max_dets must be positive")
         object.__setattr__(self, "max_dets", tuple(sorted(int(m) for m in self.max_dets)))
-        if len(self.iou_thresholds) > 31:
-            raise InvalidConfig("at most 31 IoU thresholds")
+        if len(self.iou_thresholds) > MOST_THRESHOLDS:
+            raise InvalidConfig(f"at most {MOST_THRESHOLDS} IoU thresholds at once: they don't depend on each other, so evaluate more in parts")
         if not self.areas or any(not a.lo <= a.hi for a in self.areas):
             raise InvalidConfig("area ranges must not be empty")
         if self.mode not in ("strict", "corrected"):
