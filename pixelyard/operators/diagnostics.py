@@ -16,7 +16,7 @@ from pixelyard.errors import InvalidConfig
 from pixelyard.functions.geometry import met_iou, overlapping
 from pixelyard.functions.numeric import linspace
 from pixelyard.operators import curves, matching
-from pixelyard.operators.matching import CELL, greedy
+from pixelyard.operators.matching import CELL, SHAPES, bbox_similarity, greedy
 from pixelyard.plans.params import MOST_SEED, Params
 from pixelyard.workers import ship
 
@@ -107,12 +107,17 @@ def lrp_report(per_class: DataFrame, extra: list[str] | None = None) -> DataFram
 
 
 def image_pairs(gt: DataFrame, dt: DataFrame, similarity=None) -> DataFrame:
-    """The pairs of an image that overlap, whatever their classes: columns of ``dt`` and ``e``."""
-    g = gt.select("image_id", F.col("category_id").alias("g_cat"), F.col("ord").alias("g_ord"), "ann_id", F.col("bbox").alias("g_bbox"), "ign", "iscrowd")
-    d = dt.select("image_id", "category_id", "dt_id", "rank", "bbox")
-    joined = d.join(g, "image_id").where(overlapping(F.col("g_bbox"), F.col("bbox")))
-    iou = (similarity or met_iou)(F.col("g_bbox"), F.col("bbox"), F.col("iscrowd"))
-    edge = F.struct("g_ord", "ann_id", "g_cat", "ign", F.col("iscrowd").alias("crowd"), iou.alias("iou"), met_iou(F.col("g_bbox"), F.col("bbox")).alias("plain"))
+    """The pairs of an image that overlap, whatever their classes: columns of ``dt`` and ``e``.
+
+    ``e.iou`` is the kernel's, ``e.plain`` the boxes' (as for two boxes that are no crowd).
+    """
+    shapes = [c for c in SHAPES if c in gt.columns and c in dt.columns]
+    g = gt.select("image_id", F.struct(F.col("category_id").alias("g_cat"), F.col("ord").alias("g_ord"), "ann_id", "area", "ign", F.coalesce("iscrowd", F.lit(False)).alias("iscrowd"), *shapes).alias("g"))
+    d = dt.select("image_id", "category_id", "dt_id", "rank", F.struct("area", *shapes).alias("d"))
+    joined = d.join(g, "image_id").where(overlapping(F.col("g.bbox"), F.col("d.bbox")))
+    score = similarity or bbox_similarity
+    iou = getattr(score, "met", score)(F.col("g"), F.col("d"))
+    edge = F.struct("g.g_ord", "g.ann_id", "g.g_cat", "g.ign", F.col("g.iscrowd").alias("crowd"), iou.alias("iou"), met_iou(F.col("g.bbox"), F.col("d.bbox")).alias("plain"))
     return joined.select("image_id", "category_id", "dt_id", "rank", edge.alias("e"))
 
 
@@ -145,7 +150,7 @@ def confusion_matrix(gt: DataFrame, dt: DataFrame, t_f: float = 0.5, max_dets: i
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["dt_id", "ann_id", "g", "d"])
 
-    met = cells.select("edges").mapInArrow(run, "dt_id long, ann_id long, g long, d long").persist()
+    met = cells.select("edges").mapInArrow(run, "dt_id long, ann_id long, g long, d long")
     alone = top.join(met.select("dt_id"), "dt_id", "left_anti").select(F.lit(None).cast("long").alias("ann_id"), F.lit(None).cast("long").alias("g"), F.col("category_id").alias("d"))
     taken = met.where("g is not null").select("ann_id", "g", "d").unionByName(alone)
     missed = gt.where(~F.col("ign")).select("ann_id", F.col("category_id").alias("g")).join(taken.where("ann_id is not null").select("ann_id"), "ann_id", "left_anti").select("g", F.lit(None).cast("long").alias("d"))
@@ -202,20 +207,22 @@ def tide_bins(gt: DataFrame, dt: DataFrame, t_f: float = 0.5, t_b: float = 0.1,
     return bins, missed
 
 
-def error_decomposition(gt: DataFrame, dt: DataFrame, params: Params, t_f: float = 0.5, t_b: float = 0.1, max_dets: int = 100) -> DataFrame:
+def error_decomposition(gt: DataFrame, dt: DataFrame, params: Params, t_f: float = 0.5, t_b: float = 0.1, max_dets: int = 100, similarity=None) -> DataFrame:
     """``fix, map, delta``: the mean AP as it is, with each kind of error mended, and without all false positives.
 
     One job: each mended version of the inputs is a union branch that carries its number in the
-    category id, so all are matched and accumulated side by side.
+    category id, so all are matched and accumulated side by side. A mended location takes all shapes of
+    its ground truth.
     """
-    bins, missed = tide_bins(gt, dt, t_f, t_b, max_dets)
+    shapes = [c for c in SHAPES if c in gt.columns and c in dt.columns]
+    bins, missed = tide_bins(gt, dt, t_f, t_b, max_dets, similarity)
     kinds = ("base", *FIXES, "all_fp")
     n = len(kinds)
     labelled = dt.join(bins.select("dt_id", "bin", "target"), "dt_id", "left")
-    target = gt.select(F.col("ann_id").alias("target"), F.col("category_id").alias("t_cat"), F.col("bbox").alias("t_box"))
+    target = gt.select(F.col("ann_id").alias("target"), F.col("category_id").alias("t_cat"), F.struct(*shapes).alias("t"))
     wide = labelled.join(target, "target", "left")
     k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
-    fixed = wide.select("dt_id", "image_id", "category_id", "score", "bbox", "area", "ord", F.coalesce("bin", F.lit("")).alias("bin"), "t_cat", "t_box", k)
+    fixed = wide.select("dt_id", "image_id", "category_id", "score", *shapes, "area", "ord", F.coalesce("bin", F.lit("")).alias("bin"), "t_cat", "t", k)
     is_ = lambda i: F.element_at(F.array(*[F.lit(x) for x in kinds]), F.col("k") + 1) == i
     gone = F.lit(False)
     for name in ("both", "dupe", "bkg"):
@@ -227,14 +234,14 @@ def error_decomposition(gt: DataFrame, dt: DataFrame, params: Params, t_f: float
         "image_id",
         (F.when(is_("cls") & (F.col("bin") == "cls"), F.col("t_cat")).otherwise(F.col("category_id")) * n + F.col("k")).alias("category_id"),
         "score",
-        F.when(moved, F.col("t_box")).otherwise(F.col("bbox")).alias("bbox"),
-        F.when(moved, F.col("t_box.w") * F.col("t_box.h")).otherwise(F.col("area")).alias("area"),
+        *[F.when(moved, F.col(f"t.{c}")).otherwise(F.col(c)).alias(c) for c in shapes],
+        F.when(moved, F.col("t.bbox.w") * F.col("t.bbox.h")).otherwise(F.col("area")).alias("area"),
         "ord",
     )
     left = gt.join(missed.withColumn("missed", F.lit(True)), "ann_id", "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     new_gt = left.where(~(is_("missed") & F.coalesce("missed", F.lit(False)))).withColumn("category_id", F.col("category_id") * n + F.col("k")).drop("missed", "k")
     one = params.but(max_dets=(max_dets,), areas=params.areas[:1])
-    matches = matching.match(new_gt, matching.top_k(new_dt, max_dets), one)
+    matches = matching.match(new_gt, matching.top_k(new_dt, max_dets), one, similarity)
     npig = matching.ground_truth_counts(new_gt, one)
     values = curves.lane_values(matches, npig, one)
     maps = values.groupBy((F.col("category_id") % n).cast("int").alias("k")).agg(F.avg("ap").alias("map"))
@@ -251,8 +258,8 @@ def fp_iou_histogram(bins: DataFrame, n_bins: int = 20) -> DataFrame:
     return both.groupBy("kind", F.least(F.floor(F.col("iou") * n_bins), F.lit(n_bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def n_counting(gt: DataFrame) -> DataFrame:
+def n_counting(gt: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """``category_id, n``: rows that count, also 0."""
-    return gt.groupBy("category_id").agg(F.count_if(~F.col("ign") & ~F.coalesce("iscrowd", F.lit(False))).alias("n"))
+    return gt.groupBy(*(extra or []), "category_id").agg(F.count_if(~F.col("ign") & ~F.coalesce("iscrowd", F.lit(False))).alias("n"))
 
 

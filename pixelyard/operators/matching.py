@@ -25,6 +25,8 @@ from pixelyard.plans.params import Params
 from pixelyard.workers import ship
 
 CELL = ["image_id", "category_id"]
+#: What a similarity may look at, where both sides have it.
+SHAPES = ("bbox", "keypoints", "mask", "band", "tight")
 MATCHES = "image_id long, category_id long, dt_id long, score double, area double, rank int, matched array<long>, ignored array<long>, gts array<array<long>>"
 
 
@@ -100,9 +102,9 @@ def scored_pairs(gt: DataFrame, dt: DataFrame, least: float, similarity: Callabl
 
     The pairs stay inside the join and the filter above it; only those that are left are gathered later.
     """
-    shapes = [c for c in ("bbox", "keypoints", "mask", "band", "tight") if c in gt.columns]
+    shapes = [c for c in SHAPES if c in gt.columns and c in dt.columns]
     g = gt.select(*CELL, F.struct("ord", "ann_id", "category_id", "area", "ign", F.coalesce("iscrowd", F.lit(False)).alias("iscrowd"), *shapes).alias("g"))
-    d = dt.select(*CELL, "rank", "dt_id", F.struct("area", *[c for c in shapes if c in dt.columns]).alias("d"))
+    d = dt.select(*CELL, "rank", "dt_id", F.struct("area", *shapes).alias("d"))
     met, score = d.join(g, CELL), similarity or bbox_similarity
     if least > 0 and not getattr(score, "anywhere", False):  # box and mask kernels: most pairs end here
         shape = "tight" if "tight" in shapes else "bbox"

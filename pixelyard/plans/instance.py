@@ -181,17 +181,31 @@ class Evaluator:
         diagnostics.refuse_federated("frequency" in data.categories.columns and data.federated)
         if isinstance(self.kernel, Keypoints):
             raise InvalidConfig("not defined for keypoints")
-        gt = data.gt.withColumn("ign", F.coalesce("iscrowd", F.lit(False)) | F.coalesce("ignore", F.lit(False)))
-        return matching.collapse_categories(gt, self.params.use_cats), matching.collapse_categories(dt, self.params.use_cats)
+        gt, dt = self._sides(data, dt, self.params)
+        return gt.withColumn("ign", F.coalesce("iscrowd", F.lit(False)) | F.coalesce("ignore", F.lit(False))), dt
 
     def error_decomposition(self, data: Dataset, dt: DataFrame, max_dets: int = 100) -> DataFrame:
-        return diagnostics.error_decomposition(*self._diagnosed(data, dt), self.params, *diagnostics.TIDE_THRESHOLDS[self.kernel.name], max_dets)
+        return diagnostics.error_decomposition(*self._diagnosed(data, dt), self.params, *diagnostics.TIDE_THRESHOLDS[self.kernel.name], max_dets, of_kernel(self.kernel))
 
     def confusion_matrix(self, data: Dataset, dt: DataFrame, t_f: float = 0.5, max_dets: int = 100) -> DataFrame:
-        return diagnostics.confusion_matrix(*self._diagnosed(data, dt), t_f, max_dets)
+        return diagnostics.confusion_matrix(*self._diagnosed(data, dt), t_f, max_dets, of_kernel(self.kernel))
+
+    def tide_bins(self, data: Dataset, dt: DataFrame, max_dets: int = 100) -> tuple[DataFrame, DataFrame]:
+        return diagnostics.tide_bins(*self._diagnosed(data, dt), *diagnostics.TIDE_THRESHOLDS[self.kernel.name], max_dets, of_kernel(self.kernel))
 
     def fp_iou_histogram(self, data: Dataset, dt: DataFrame, n_bins: int = 20) -> DataFrame:
-        return diagnostics.fp_iou_histogram(diagnostics.tide_bins(*self._diagnosed(data, dt), *diagnostics.TIDE_THRESHOLDS[self.kernel.name])[0], n_bins)
+        return diagnostics.fp_iou_histogram(self.tide_bins(data, dt)[0], n_bins)
+
+    def sliced_lrp(self, data: Dataset, dt: DataFrame, manifest: DataFrame, cross: tuple = (), cap: int = slices.SLICE_CAP, tp_threshold: float = 0.5, tau_grid: tuple[float, ...] = diagnostics.TAU_GRID, max_dets: int = 100) -> tuple[DataFrame, DataFrame]:
+        """``optimal_lrp`` by slice, and ``overall``: per class and the report's means; matched once."""
+        diagnostics.refuse_federated("frequency" in data.categories.columns and data.federated)
+        gt, dt = self._sides(data, dt, self.params)
+        parts = slices.with_overall(slices.slices(manifest, data.images, cross, cap), data.images)
+        key = ["axis", "value"]
+        found = diagnostics.lrp_matches(gt, matching.top_k(dt, max_dets), tp_threshold, of_kernel(self.kernel))
+        n_gt = diagnostics.n_counting(slices.fan_out(gt, parts), key)
+        per_class = diagnostics.optimal_lrp(slices.fan_out(found, parts), n_gt, tp_threshold, tau_grid, key)
+        return per_class, diagnostics.lrp_report(per_class, key)
 
     def optimal_lrp(self, data: Dataset, dt: DataFrame, tp_threshold: float = 0.5, tau_grid: tuple[float, ...] = diagnostics.TAU_GRID, max_dets: int = 100) -> tuple[DataFrame, DataFrame]:
         """Per class and the report's means."""

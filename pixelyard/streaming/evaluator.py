@@ -2,10 +2,15 @@
 
 A snapshot is the batch query over the appended table and all ground truth, so it equals an evaluation
 of everything seen so far. An image that comes again in a later batch is an error.
+
+A batch's images are written last and stand for the whole batch: what a failure left of a batch without
+them isn't read, and is overwritten when the batch runs again. Numbers go on from the table's, so an
+object made after a restart never takes a number again; a query's batches are named by its checkpoint.
 """
 
 from __future__ import annotations
 
+import hashlib
 import queue
 import threading
 
@@ -19,44 +24,72 @@ from pixelyard.plans.instance import Evaluator, Result
 from pixelyard.sources.coco import Dataset
 
 
+class _Batches:
+    """Tables under ``path`` with a folder a batch."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def there(self, name: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+    def images(self) -> DataFrame:
+        """``image_id, batch`` of the batches that are complete."""
+        schema = "image_id long, batch string"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/images") if self.there("images") else self.spark.createDataFrame([], schema)
+
+    def rows(self, name: str, schema: str | None = None) -> DataFrame:
+        """A table's rows of the batches that are complete."""
+        read = self.spark.read.schema(f"{schema}, batch string") if schema else self.spark.read
+        table = read.parquet(f"{self.path}/{name}").withColumn("batch", F.col("batch").cast("string"))
+        return table.join(F.broadcast(self.images().select("batch").distinct()), "batch", "left_semi").drop("batch")
+
+    def name(self, batch_id: int | None, source: str) -> str:
+        if batch_id is not None:
+            return f"{source}-{batch_id}"
+        numbers = self.images().where(F.col("batch").rlike("^update-[0-9]+$")).select(F.substring("batch", 8, 20).cast("long").alias("n"))
+        last = numbers.agg(F.max("n")).first()[0]
+        return f"update-{0 if last is None else last + 1}"
+
+    def add(self, batch: str, images: DataFrame, name: str, rows) -> None:
+        again = images.join(self.images().where(F.col("batch") != batch), "image_id", "left_semi").first()
+        if again is not None:
+            raise RepeatedImage(f"image {again['image_id']} came in an earlier batch")
+        rows().write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+        images.write.mode("overwrite").parquet(f"{self.path}/images/batch={batch}")
+
+
 class StreamingEvaluator:
     """Appends ``matches`` under ``path``, a folder a batch: a batch that is run again replaces its own."""
 
     def __init__(self, evaluator: Evaluator, data: Dataset, path: str):
-        self.evaluator, self.data, self.path = evaluator, data, path.rstrip("/")
+        self.evaluator, self.data = evaluator, data
         self.spark: SparkSession = data.gt.sparkSession
-        self._next = 0
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        return self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], f"{schema}, batch long")
+        self.batches = _Batches(self.spark, path)
 
     def seen(self) -> DataFrame:
-        return self._table("images", "image_id long")
+        return self.batches.images()
 
-    def update(self, batch: DataFrame, batch_id: int | None = None) -> None:
+    def update(self, batch: DataFrame, batch_id: int | None = None, source: str = "batch") -> None:
         """Match one batch of detections; also the callback of ``foreachBatch``."""
-        number = self._next if batch_id is None else batch_id
-        self._next = max(self._next, number + 1)
-        images = batch.select("image_id").distinct()
-        again = images.join(self.seen().where(F.col("batch") != number), "image_id", "left_semi").first()
-        if again is not None:
-            raise RepeatedImage(f"image {again['image_id']} came in an earlier batch")
-        matches = self.evaluator.match(self.data, batch).matches
-        matches.write.mode("overwrite").parquet(f"{self.path}/matches/batch={number}")
-        images.write.mode("overwrite").parquet(f"{self.path}/images/batch={number}")
+        self.batches.add(self.batches.name(batch_id, source), batch.select("image_id").distinct(), "matches", lambda: self.evaluator.match(self.data, batch).matches)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run over a streaming DataFrame of detections."""
-        return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        source = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+        return stream.writeStream.foreachBatch(lambda batch, n: self.update(batch, n, source)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def snapshot(self) -> Result:
-        """The result over all batches so far; images not seen yet count as having no detections."""
+        """The result over all batches so far; images not seen yet count as having no detections.
+
+        Its tables, cells and slices are those of any other result; pairs, which need the boxes, aren't kept.
+        """
         empty = self.data.gt.select(F.lit(0).cast("long").alias("dt_id"), "image_id", "category_id", F.lit(0.0).alias("score"), "bbox", "area", "ord", *[c for c in ("keypoints", "mask", "tight") if c in self.data.gt.columns]).where(F.lit(False))
         result = self.evaluator.match(self.data, empty)
-        result.matches = self._table("matches", MATCHES).drop("batch")
+        if self.batches.there("matches"):
+            result.matches = self.batches.rows("matches", MATCHES)
         return result
 
     finalize = snapshot
@@ -103,26 +136,13 @@ class StreamingSums:
     """
 
     def __init__(self, spark: SparkSession, path: str, count, keys: list[str]):
-        self.spark, self.path, self.count, self.keys, self._next = spark, path.rstrip("/"), count, keys, 0
-
-    def _there(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        self.count, self.keys, self.batches = count, keys, _Batches(spark, path)
 
-    def update(self, batch: DataFrame, batch_id: int | None = None) -> None:
-        number = self._next if batch_id is None else batch_id
-        self._next = max(self._next, number + 1)
-        images = batch.select("image_id").distinct()
-        if self._there("images"):
-            again = images.join(self.spark.read.parquet(f"{self.path}/images").where(F.col("batch") != number), "image_id", "left_semi").first()
-            if again is not None:
-                raise RepeatedImage(f"image {again['image_id']} came in an earlier batch")
-        self.count(batch).write.mode("overwrite").parquet(f"{self.path}/counts/batch={number}")
-        images.write.mode("overwrite").parquet(f"{self.path}/images/batch={number}")
+    def update(self, batch: DataFrame, batch_id: int | None = None, source: str = "batch") -> None:
+        self.batches.add(self.batches.name(batch_id, source), batch.select("image_id").distinct(), "counts", lambda: self.count(batch))
 
     def snapshot(self) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/counts").drop("batch")
+        rows = self.batches.rows("counts")
         return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in self.keys])
 
     finalize = snapshot
