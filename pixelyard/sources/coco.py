@@ -48,6 +48,16 @@ def _flag(name: str) -> F.Column:
     return F.when(text.isNull(), F.lit(None).cast("boolean")).when(text.isin("1", "true", "1.0"), True).when(text.isin("0", "false", "0.0"), False).otherwise(F.raise_error(F.concat(F.lit(f"{name} must be 0 or 1, not "), text)).cast("boolean"))
 
 
+#: Fixed value: the largest keypoint coordinate.
+MOST_POINT = 33_554_432.0
+
+
+def _points(name: str) -> F.Column:
+    """Keypoints must be finite and in range."""
+    odd = F.exists(name, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) > MOST_POINT))
+    return F.when(odd, F.raise_error(F.lit("a keypoint isn't a number within 2 ** 25")).cast("array<double>")).otherwise(F.col(name)).alias(name)
+
+
 def ground_truth(images: DataFrame, categories: DataFrame, annotations: DataFrame, masks: bool = False) -> Dataset:
     """Typed tables from rows of the three lists; ``annotations`` may have an ``ord``."""
     image = images.select(F.col("id").alias("image_id"), "width", "height", "file_name", *[c for c in ("neg_category_ids", "not_exhaustive_category_ids") if c in images.columns])
@@ -61,7 +71,7 @@ def ground_truth(images: DataFrame, categories: DataFrame, annotations: DataFram
         _flag("ignore").alias("ignore"),
         box_from(F.col("bbox")).alias("bbox"),
         "segmentation",
-        "keypoints",
+        _points("keypoints"),
         "num_keypoints",
         F.col("ord") if "ord" in annotations.columns else F.col("id").alias("ord"),
     )
@@ -127,7 +137,7 @@ def detections(rows: DataFrame, area: str = "from_bbox", images: DataFrame | Non
     if rows.where(F.col("id").isNull()).take(1):
         rows, ids = _numbered(rows), F.coalesce("id", "_number")
     score = F.when(F.isnan("score") | F.col("score").isNull(), F.raise_error(F.lit("a detection's score isn't a number")).cast("double")).otherwise(F.col("score"))
-    out = rows.select(ids.alias("dt_id"), "image_id", "category_id", score.alias("score"), b.alias("bbox"), F.col("area").alias("given"), *[c for c in ("segmentation", "keypoints", "num_keypoints") if c in rows.columns], "ord")
+    out = rows.select(ids.alias("dt_id"), "image_id", "category_id", score.alias("score"), b.alias("bbox"), F.col("area").alias("given"), *[_points(c) if c == "keypoints" else c for c in ("segmentation", "keypoints", "num_keypoints") if c in rows.columns], "ord")
     if masks:
         if mode != "strict" and out.where(F.col("segmentation").isNull()).take(1):
             raise InvalidDetection("a detection has no mask")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pixelyard.functions.geometry import COCO_SIGMAS, box, oks
 from pixelyard.operators import calibration, curves, diagnostics, federated, masks, matching, panoptic, semantic, slices, summary, tables
 from pixelyard.plans.params import AREAS, Params, coco_plan
+from pixelyard.sources import coco, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -592,8 +593,57 @@ def semantic_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("class_id", "n_gt", "n_dt", "n_hit", *[F.round(c, 9).alias(c) for c in ("iou", "recall", "precision")])
 
 
-@query("ground_truth_hash")
+@query(
+    "ground_truth_hash",
+    _base() + " SELECT category_id, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat_ws('/', CAST(ann_id AS VARCHAR), CAST(image_id AS VARCHAR), CAST(CAST(round(area * 4) AS BIGINT) AS VARCHAR), CASE WHEN iscrowd THEN '1' ELSE '0' END)), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM gt GROUP BY category_id",
+)
 def ground_truth_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order-free identity of the ground truth: XOR of row hashes and a count, by category."""
+    """The order-free identity of the ground truth by category: a count and the sum of pieces of row hashes."""
     gt = ground_truth(spark, sf_dir)
-    return gt.groupBy("category_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("ann_id", "image_id", "area", "iscrowd")).alias("digest"))
+    line = F.sha2(F.concat_ws("/", F.col("ann_id").cast("string"), F.col("image_id").cast("string"), F.round(F.col("area") * 4).cast("long").cast("string"), F.col("iscrowd").cast("int").cast("string")), 256)
+    piece = F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(20,0)")
+    return gt.groupBy("category_id").agg(F.count("*").alias("n"), F.sum(piece).cast("string").alias("digest"))
+
+
+# ------------------------------------------------------------------- ingest
+
+_INGEST_SQL = _base() + " SELECT image_id, category_id, x, y, w, h, area, score FROM dt"
+
+
+def _ingested(rows: DataFrame) -> DataFrame:
+    return coco.detections(rows).select("image_id", "category_id", "bbox.*", "area", "score")
+
+
+def _by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image's detections as arrays, boxes by their corners."""
+    b = F.col("bbox")
+    corners = F.array(b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"])
+    own = detections(ground_truth(spark, sf_dir)).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("dt_id", corners.alias("b"), "score", "category_id"))).alias("x"))
+    return own.select("image_id", F.col("x.b").alias("boxes"), F.col("x.score").alias("scores"), F.col("x.category_id").alias("labels"))
+
+
+@query("ingest_per_image", _INGEST_SQL)
+def ingest_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(ingest.per_image(_by_image(spark, sf_dir), "xyxy"))
+
+
+@query("ingest_batch", _INGEST_SQL)
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every hundred images, with their counts."""
+    images = _by_image(spark, sf_dir).withColumn("counts", F.size("boxes").cast("long"))
+    one = images.groupBy(F.floor(F.col("image_id") / 100)).agg(F.array_sort(F.collect_list(F.struct("image_id", "counts", "boxes", "scores", "labels"))).alias("x"))
+    return _ingested(ingest.batch(one.select(F.col("x.image_id").alias("image_ids"), F.col("x.counts").alias("counts"), *[F.flatten(F.col(f"x.{c}")).alias(c) for c in ("boxes", "scores", "labels")]), "xyxy"))
+
+
+@query("ingest_matrix", _INGEST_SQL)
+def ingest_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dt = detections(ground_truth(spark, sf_dir))
+    return _ingested(ingest.matrix(dt.select(F.col("image_id").cast("double"), "bbox.*", "score", F.col("category_id").cast("double"))))
+
+
+@query("ingest_json", _INGEST_SQL)
+def ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the text of result records."""
+    b = F.col("bbox")
+    text = detections(ground_truth(spark, sf_dir)).select(F.to_json(F.struct("image_id", "category_id", "score", F.array(*[b[k] for k in "xywh"]).alias("bbox"))).alias("t"))
+    return _ingested(text.select(F.from_json("t", coco.DETECTION).alias("x")).select("x.*"))
