@@ -129,13 +129,14 @@ def _counted(matches: DataFrame, npig: DataFrame, params: Params, keys: list[str
     by_area = F.map_from_entries(F.collect_list(F.struct("area_idx", "npig")))
     known = npig.where("npig > 0").groupBy(*keys).agg(by_area.alias("x")).select(*keys, F.array(*[F.coalesce(F.element_at("x", F.lit(a)), F.lit(0)).cast("long") for a in range(n_a)]).alias("npigs"))
     rows = matches.select(*keys, "image_id", "rank", "score", "matched", "ignored").join(known, keys)
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "image_id", "rank")
+    # the window keeps a key's rows in one task, in order: a repartition after the join could be left out and the join's skewed parts split
+    ordered = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "image_id", "rank")))
     fields = [T.StructField(n, k) for n, k in (("area_idx", T.IntegerType()), ("m_idx", T.IntegerType()), ("t_idx", T.IntegerType()), ("npig", T.LongType()), ("b", T.IntegerType()), ("p", T.DoubleType()), ("s", T.DoubleType()), ("tp", T.LongType()))]
     schema = T.StructType([*(rows.schema[k] for k in keys), *fields])
     ship(matches.sparkSession)
 
     def run(batches):
-        key, counts = None, None
+        key, counts, upto = None, None, 0
 
         def finished():
             columns = counts.rows()
@@ -150,6 +151,7 @@ def _counted(matches: DataFrame, npig: DataFrame, params: Params, keys: list[str
                 codes = batch[k].dictionary_encode(null_encoding="encode").indices.to_numpy()
                 changes[1:] |= codes[1:] != codes[:-1]
             flat = lambda c: c.flatten().to_numpy().reshape(-1, n_a)
+            place = batch["place"].to_numpy()
             rank, score, hit, ign = batch["rank"].to_numpy(), batch["score"].to_numpy(), flat(batch["matched"]), flat(batch["ignored"])
             starts = [0, *np.flatnonzero(changes).tolist(), n]
             for i, j in zip(starts, starts[1:]):
@@ -157,7 +159,10 @@ def _counted(matches: DataFrame, npig: DataFrame, params: Params, keys: list[str
                 if own != key:
                     if key is not None:
                         yield finished()
-                    key, counts = own, _Counts(np.array(batch["npigs"][i].as_py()), params)
+                    key, counts, upto = own, _Counts(np.array(batch["npigs"][i].as_py()), params), 0
+                if place[i] != upto + 1 or place[j - 1] != upto + j - i:
+                    raise RuntimeError("a key's rows aren't together")
+                upto += j - i
                 counts.add(rank[i:j], score[i:j], hit[i:j], ign[i:j])
         if key is not None:
             yield finished()

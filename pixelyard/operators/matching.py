@@ -162,6 +162,8 @@ def _settle(x: dict[str, np.ndarray], seeds: tuple[float, ...], areas: list[tupl
     n_t, n_a, full = len(seeds), len(areas), (1 << len(seeds)) - 1
     same = lambda *columns: np.all([x[c][1:] == x[c][:-1] for c in columns], axis=0)
     cell = np.append(0, np.cumsum(~same(*CELL)))
+    if (np.bincount(cell) != x["n"][np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))]).any():
+        raise RuntimeError("a cell's rows aren't together")
     order = np.lexsort((x["has"], x["rank"], cell))  # a detection's own row, if it has one, before its candidates
     x, cell = {k: v[order] for k, v in x.items()}, cell[order]
     head = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (x["rank"][1:] != x["rank"][:-1])))
@@ -231,7 +233,7 @@ def _settle(x: dict[str, np.ndarray], seeds: tuple[float, ...], areas: list[tupl
 def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """The columns as numpy arrays; ``has`` tells rows with a candidate, whose columns are 0 or NaN elsewhere."""
     out = {"has": batch["ann_id"].is_valid().to_numpy(zero_copy_only=False)}
-    for name in _FLAT:
+    for name in [*_FLAT, "n"]:
         column = batch[name]
         blank = float("nan") if pa.types.is_floating(column.type) else False if pa.types.is_boolean(column.type) else 0
         out[name] = column.fill_null(blank).to_numpy(zero_copy_only=False)
