@@ -7,14 +7,21 @@ segment has at most one partner. Below that, ground truth in ascending id takes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelyard.errors import InvalidAnnotation
+from pixelyard.operators import masks
 from pixelyard.workers import ship
 
 VOID = 0
+#: What isn't on a segment's band, in a map of bands.
+INTERIOR = -1
 
 
 def overlaps(gt_runs: DataFrame, dt_runs: DataFrame) -> DataFrame:
@@ -46,6 +53,54 @@ def overlaps(gt_runs: DataFrame, dt_runs: DataFrame) -> DataFrame:
     return both.select("image_id", "g", "d").mapInArrow(run, "image_id long, gt_id long, dt_id long, n long")
 
 
+def band_map(labels: np.ndarray, order: Sequence[int], d: int, mode: str = "corrected") -> tuple[np.ndarray, dict[int, int]]:
+    """A map of the segments' bands, ``d`` pixels deep, and each one's pixels.
+
+    Corrected: bands of the map as it is, by ascending id, a later one over an earlier one; a band's
+    pixels are counted before others cover them. Strict: in the given order, each on the map that those
+    before it have left.
+    """
+    out = labels.copy() if mode == "strict" else np.where(labels == VOID, VOID, INTERIOR)
+    sizes = {}
+    for segment in order if mode == "strict" else sorted(order):
+        inside = (out if mode == "strict" else labels) == segment
+        band = inside & (masks.erode(inside.astype(np.uint8), d) == 0)
+        if mode == "strict":
+            out[inside] = INTERIOR
+        out[band] = segment
+        sizes[segment] = int(band.sum())
+    return out, sizes
+
+
+def bands(runs: DataFrame, segments: DataFrame, sizes: DataFrame, ratio: float = 0.02, mode: str = "corrected") -> tuple[DataFrame, DataFrame]:
+    """Runs of every image's map of bands, without interiors, and ``image_id, segment_id, band``, the bands' pixels.
+
+    ``sizes``: ``image_id, height, width``. ``segments`` may have an ``ord``, the order that strict mode paints in.
+    """
+    ship(runs.sparkSession)
+    order = F.array_sort(F.collect_list(F.struct(F.col("ord" if "ord" in segments.columns else "segment_id").alias("o"), "segment_id")))
+    own = segments.groupBy("image_id").agg(order.alias("order"))
+    maps = runs.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("start", "len", "segment_id"))).alias("runs"))
+    rows = maps.join(own, "image_id", "left").join(sizes, "image_id").select("image_id", "height", "width", F.col("runs.start").alias("start"), F.col("runs.len").alias("len"), F.col("runs.segment_id").alias("ids"), F.coalesce(F.col("order.segment_id"), F.array().cast("array<long>")).alias("order"))
+
+    def paint(batches):
+        for batch in batches:
+            for image, h, w, start, n, ids, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                flat = np.zeros(h * w, dtype=np.int64)
+                for a, k, x in zip(start, n, ids, strict=True):
+                    flat[a : a + k] = x
+                painted, found = band_map(flat.reshape(h, w), own, masks.radius(ratio, h, w), mode)
+                flat = painted.ravel()
+                at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+                sizes = np.diff(np.append(at, flat.size))
+                seen = flat[at] != INTERIOR
+                columns = [np.append(at[seen], np.full(len(found), -1)), np.append(sizes[seen], list(found.values())), np.append(flat[at][seen], list(found))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), image)), *(pa.array(c.astype(np.int64)) for c in columns)], names=["image_id", "start", "len", "segment_id"])
+
+    out = rows.mapInArrow(paint, "image_id long, start long, len long, segment_id long")
+    return out.where("start >= 0"), out.where("start < 0").select("image_id", "segment_id", F.col("len").alias("band"))
+
+
 def validate(segments: DataFrame, categories: DataFrame) -> None:
     """Segment ids are unique in their image, not void, and of known categories."""
     bad = segments.where(F.col("segment_id") == VOID).first()
@@ -59,19 +114,38 @@ def validate(segments: DataFrame, categories: DataFrame) -> None:
         raise InvalidAnnotation(f"segment {lost['segment_id']}: unknown category {lost['category_id']}")
 
 
-def matched_segments(pairs: DataFrame, gt: DataFrame, dt: DataFrame, threshold: float = 0.5) -> DataFrame:
+@dataclass
+class Bands:
+    """What boundary quality needs besides: the overlaps of the maps of bands and the bands' pixels, of both sides."""
+
+    pairs: DataFrame
+    gt: DataFrame
+    dt: DataFrame
+
+
+def matched_segments(pairs: DataFrame, gt: DataFrame, dt: DataFrame, threshold: float = 0.5, boundary: Bands | None = None) -> DataFrame:
     """``image_id, gt_id, dt_id, category_id, iou`` of the true positives.
 
     ``gt`` and ``dt``: ``image_id, segment_id, category_id, area`` (``gt`` also ``iscrowd``). The union leaves
     out the part of the prediction that is void in the ground truth. A partner has the same category,
-    isn't a crowd, and overlaps by more than ``threshold``.
+    isn't a crowd, and overlaps by more than ``threshold``. With ``boundary``, the smaller of the segments'
+    and their bands' overlap counts.
     """
     void = pairs.where(F.col("gt_id") == VOID).select("image_id", "dt_id", F.col("n").alias("void"))
     g = gt.where(~F.coalesce("iscrowd", F.lit(False))).select("image_id", F.col("segment_id").alias("gt_id"), F.col("category_id"), F.col("area").alias("g_area"))
     d = dt.select("image_id", F.col("segment_id").alias("dt_id"), F.col("category_id").alias("d_cat"), F.col("area").alias("d_area"))
     rows = pairs.join(g, ["image_id", "gt_id"]).join(d, ["image_id", "dt_id"]).where(F.col("category_id") == F.col("d_cat")).join(void, ["image_id", "dt_id"], "left")
     union = F.col("g_area") + F.col("d_area") - F.col("n") - F.coalesce("void", F.lit(0))
-    good = rows.withColumn("iou", F.col("n") / union).where(F.col("iou") > threshold).select("image_id", "gt_id", "dt_id", "category_id", "iou")
+    iou = F.col("n") / union
+    if boundary is not None:
+        rows = rows.join(boundary.pairs.select("image_id", "gt_id", "dt_id", F.col("n").alias("b_n")), ["image_id", "gt_id", "dt_id"], "left")
+        rows = rows.join(boundary.pairs.where(F.col("gt_id") == VOID).select("image_id", "dt_id", F.col("n").alias("b_void")), ["image_id", "dt_id"], "left")
+        for side, name in ((boundary.gt, "gt"), (boundary.dt, "dt")):
+            rows = rows.join(side.select("image_id", F.col("segment_id").alias(f"{name}_id"), F.col("band").alias(f"{name}_band")), ["image_id", f"{name}_id"], "left")
+        b = {c: F.coalesce(c, F.lit(0)) for c in ("b_n", "b_void", "gt_band", "dt_band")}
+        b_union = b["gt_band"] + b["dt_band"] - b["b_n"] - b["b_void"]
+        iou = F.least(iou, F.when(b_union > 0, b["b_n"] / b_union).otherwise(0.0))
+    good = rows.withColumn("iou", iou).where(F.col("iou") > threshold).select("image_id", "gt_id", "dt_id", "category_id", "iou")
     if threshold >= 0.5:
         return good
     ship(pairs.sparkSession)
@@ -98,13 +172,13 @@ def _counts(sum_iou: Column | None = None, n_tp: int = 0, n_fp: int = 0, n_fn: i
     return [(F.lit(0.0) if sum_iou is None else sum_iou).alias("sum_iou"), *[F.lit(v).cast("long").alias(k) for k, v in (("n_tp", n_tp), ("n_fp", n_fp), ("n_fn", n_fn))]]
 
 
-def attribution(pairs: DataFrame, gt: DataFrame, dt: DataFrame, threshold: float = 0.5, mode: str = "corrected") -> DataFrame:
+def attribution(pairs: DataFrame, gt: DataFrame, dt: DataFrame, threshold: float = 0.5, mode: str = "corrected", boundary: Bands | None = None) -> DataFrame:
     """``image_id, category_id, sum_iou, n_tp, n_fp, n_fn`` per image and category.
 
     An unmatched prediction of which more than half is void or a crowd of its category isn't a false
     positive. Several crowds of a category count together (strict: only the last by id).
     """
-    tp = matched_segments(pairs, gt, dt, threshold)
+    tp = matched_segments(pairs, gt, dt, threshold, boundary)
     hits = tp.select("image_id", "category_id", *_counts(F.col("iou"), n_tp=1))
     lost = gt.where(~F.coalesce("iscrowd", F.lit(False))).join(tp.select("image_id", F.col("gt_id").alias("segment_id")), ["image_id", "segment_id"], "left_anti").select("image_id", "category_id", *_counts(n_fn=1))
     crowd = gt.where(F.coalesce("iscrowd", F.lit(False))).select("image_id", F.col("segment_id").alias("gt_id"), F.col("category_id").alias("crowd_cat"))

@@ -71,3 +71,31 @@ def text(rows: DataFrame) -> list[str]:
 def canonical_name(metric: str, iou: float | None, area: str, cap: int) -> str:
     span = "0.50:0.95" if iou is None else f"{iou:.2f}"
     return f"{metric}_{span}_{area}_{cap}"
+
+
+#: Short names of the customary lines.
+ALIASES = {
+    "AP": "AP_0.50:0.95_all_100",
+    "AP50": "AP_0.50_all_100",
+    "AP75": "AP_0.75_all_100",
+    "APs": "AP_0.50:0.95_small_100",
+    "APm": "AP_0.50:0.95_medium_100",
+    "APl": "AP_0.50:0.95_large_100",
+    "AR1": "AR_0.50:0.95_all_1",
+    "AR10": "AR_0.50:0.95_all_10",
+    "AR100": "AR_0.50:0.95_all_100",
+    "ARs": "AR_0.50:0.95_small_100",
+    "ARm": "AR_0.50:0.95_medium_100",
+    "ARl": "AR_0.50:0.95_large_100",
+}
+
+
+def canonical(name: str) -> str:
+    return ALIASES.get(name, name)
+
+
+def lrp_text(report: DataFrame) -> list[str]:
+    """The means of an optimal LRP report, a line each."""
+    r = report.first()
+    titles = (("olrp", "Optimal LRP"), ("olrp_loc", "Optimal LRP Loc"), ("olrp_fp", "Optimal LRP FP"), ("olrp_fn", "Optimal LRP FN"))
+    return [f" {title:<16} = {r[name]:0.3f}" for name, title in titles]

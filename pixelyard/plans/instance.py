@@ -12,7 +12,7 @@ from pixelyard.functions.numeric import pairwise_mean
 from pixelyard.operators import calibration, curves, diagnostics, federated, matching, slices, summary, tables
 from pixelyard.operators.masks import with_bands
 from pixelyard.operators.similarity import of_kernel
-from pixelyard.plans.params import KEYPOINT_AREAS, Bbox, Boundary, Keypoints, Params, coco_plan, keypoint_plan, lvis_plan
+from pixelyard.plans.params import KEYPOINT_AREAS, Bbox, Boundary, ByFrequency, ByGroup, ByIds, Keypoints, Params, coco_plan, keypoint_plan, lvis_plan
 from pixelyard.sources.coco import Dataset
 
 
@@ -38,8 +38,34 @@ class Result:
             self._values = curves.lane_values(self.matches, self.npig, self.params)
         return self._values
 
-    def summary(self) -> DataFrame:
-        return summary.lines(self.values(), self.params, self.plan, self.data.categories)
+    def summary(self, categories: ByFrequency | ByIds | ByGroup | None = None, groups: DataFrame | None = None) -> DataFrame:
+        """The summary over all categories, or over those of a filter; an empty choice has no values."""
+        return summary.lines(self._chosen(categories, groups), self.params, self.plan, self.data.categories)
+
+    def _chosen(self, categories, groups: DataFrame | None) -> DataFrame:
+        values = self.values()
+        if categories is None:
+            return values
+        if isinstance(categories, ByIds):
+            return values.where(F.col("category_id").isin([int(i) for i in categories.ids]))
+        if isinstance(categories, ByFrequency):
+            return values.join(self.data.categories.where(F.col("frequency") == categories.tag).select("category_id"), "category_id", "left_semi")
+        if groups is None or not groups.where(F.col("label") == categories.label).take(1):
+            raise InvalidConfig(f"no group is called {categories.label!r}")
+        return values.join(groups.where(F.col("label") == categories.label).select("category_id"), "category_id", "left_semi")
+
+    def by_group(self, groups: DataFrame) -> DataFrame:
+        """The summary by group of ``groups(label, category_id)``; a category may be in several."""
+        return summary.lines(self.values().join(groups.select("label", "category_id").distinct(), "category_id"), self.params, self.plan, self.data.categories, ["label"])
+
+    def ious(self) -> DataFrame:
+        """``image_id, category_id, dts, gts, ious``: a row a cell with both, its overlaps by detection (in order of rank) and ground truth."""
+        every = self.pairs(0.0)
+        ranked = self.dt.select("dt_id", "rank")
+        cell = every.join(ranked, "dt_id").join(self.gt.select("ann_id", F.col("ord").alias("g_ord")), "ann_id")
+        rows = cell.groupBy("image_id", "category_id", "rank", "dt_id").agg(F.array_sort(F.collect_list(F.struct("g_ord", "ann_id", "iou"))).alias("g"))
+        cells = rows.groupBy("image_id", "category_id").agg(F.array_sort(F.collect_list(F.struct("rank", "dt_id", "g"))).alias("x"))
+        return cells.select("image_id", "category_id", F.col("x.dt_id").alias("dts"), F.col("x")[0]["g"]["ann_id"].alias("gts"), F.transform("x", lambda d: d["g"]["iou"]).alias("ious"))
 
     def stats(self) -> list[float]:
         """The summary's values in order, -1 where there is none."""

@@ -149,3 +149,26 @@ class Keypoints:
     #: sigmas by category; other categories have the seventeen standard ones
     sigmas: dict[int, tuple[float, ...]] = field(default_factory=dict)
     name: str = "keypoints"
+
+
+@dataclass(frozen=True)
+class ByFrequency:
+    """Categories of a frequency tag, r, c or f."""
+
+    tag: str
+
+    def __post_init__(self) -> None:
+        if self.tag not in ("r", "c", "f"):
+            raise InvalidConfig(f"unknown frequency {self.tag!r}")
+
+
+@dataclass(frozen=True)
+class ByIds:
+    ids: frozenset[int]
+
+
+@dataclass(frozen=True)
+class ByGroup:
+    """The categories of one group of a table ``label, category_id``."""
+
+    label: str

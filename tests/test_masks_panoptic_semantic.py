@@ -197,3 +197,29 @@ def test_semantic_evaluator(spark, tmp_path):
     assert {(r["gt_class"], r["dt_class"]): r["n"] for r in out.confusion().collect()} == {(0, 0): 2, (1, 1): 2, (1, 0): 1}
     assert out.summary().first()["pixel_accuracy"] == pytest.approx(0.8)
     assert Evaluator.preset("cityscapes").n_classes == 19 and Evaluator(2, 255, class_ids=(0,)).evaluate(out.runs).summary().first()["miou"] == pytest.approx(2 / 3)
+
+
+def test_boundary_panoptic(spark):
+    from pixelyard.errors import InvalidConfig
+    from pixelyard.plans.panoptic import Evaluator
+
+    gt_map, dt_map = np.zeros((40, 40), dtype=np.int64), np.zeros((40, 40), dtype=np.int64)
+    gt_map[2:30, 2:30], gt_map[32:38, 2:38], dt_map[2:30, 4:32], dt_map[32:38, 2:38] = 1, 2, 7, 8
+    rows = lambda m: spark.createDataFrame([(1, int(s), int(n), int(k)) for s, n, k in zip(*png.runs(m), strict=True)], "image_id long, start long, len long, segment_id long")
+    gt = spark.createDataFrame([(1, 1, 1, 0, False), (1, 2, 2, 0, False)], "image_id long, segment_id long, category_id long, area long, iscrowd boolean")
+    dt = spark.createDataFrame([(1, 7, 1, 0), (1, 8, 2, 0)], "image_id long, segment_id long, category_id long, area long")
+    kinds = spark.createDataFrame([(1, True), (2, False)], "category_id long, isthing boolean")
+    sizes = spark.createDataFrame([(1, 40, 40)], "image_id long, height int, width int")
+    for mode in ("corrected", "strict"):
+        evaluator = Evaluator(boundary=True, mode=mode, threshold=0.2)
+        got = {r["category_id"]: r for r in evaluator.from_runs(kinds, gt, dt, rows(gt_map), rows(dt_map), sizes).per_class().collect()}
+        (g, g_area), (d, d_area) = (panoptic.band_map(m, ids, 1, mode) for m, ids in ((gt_map, [1, 2]), (dt_map, [7, 8])))
+        inter, void = int(((g == 1) & (d == 7)).sum()), int(((g == 0) & (d == 7)).sum())
+        mask = ((gt_map == 1) & (dt_map == 7)).sum() / ((gt_map == 1).sum())
+        edge = inter / (g_area[1] + d_area[7] - inter - void)
+        assert edge < mask and got[1]["sq"] == pytest.approx(edge) and got[2]["pq"] == 1.0
+    assert Evaluator().from_runs(kinds, gt, dt, rows(gt_map), rows(dt_map)).per_class().where("category_id = 1").first()["sq"] == pytest.approx(mask)
+    with pytest.raises(InvalidConfig):
+        Evaluator(boundary=True).from_runs(kinds, gt, dt, rows(gt_map), rows(dt_map))
+    one, found = panoptic.band_map(np.ones((5, 5), dtype=np.int64), [1], 1)
+    assert (one[1:4, 1:4] == panoptic.INTERIOR).all() and found == {1: 16}
