@@ -11,8 +11,12 @@ from pixelyard.plans.params import Line, Params
 
 
 def lines(values: DataFrame, params: Params, plan: Sequence[Line], categories: DataFrame | None = None, extra: list[str] | None = None) -> DataFrame:
-    """``ord, metric, iou, area, max_dets, value``: one aggregation over lane values; null where no lane has a value."""
+    """``ord, metric, iou, area, max_dets, value``: one aggregation over lane values; null where no lane has a value.
+
+    Beside a key column called ``value``, a slice's, the last one is called ``result``.
+    """
     extra = extra or []
+    name = "result" if "value" in extra else "value"
     if any(line.frequency for line in plan):
         values = values.join(categories.select("category_id", "frequency"), "category_id", "left")
     parts = []
@@ -34,7 +38,7 @@ def lines(values: DataFrame, params: Params, plan: Sequence[Line], categories: D
                 F.lit(line.area).alias("area"),
                 F.lit(params.max_dets[line.cap_index(params.max_dets)] if line.cap_index(params.max_dets) is not None else line.cap[1]).alias("max_dets"),
                 F.lit(line.frequency).cast("string").alias("frequency"),
-                F.col(f"v{i}").alias("value"),
+                F.col(f"v{i}").alias(name),
             )
             for i, line in enumerate(plan)
         ]

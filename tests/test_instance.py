@@ -242,7 +242,7 @@ def test_tables_slices_and_metrics(spark):
     assert table == {1: (1, 1, 1, 0, 0, 1), 2: (1, 1, 0, 1, 1, 0), 3: (0, 0, 0, 0, 0, 0)}
     assert {r["dt_id"]: r["status"] for r in result.per_detection().collect()} == {1: "tp", 2: "fp"}
     man = manifest.from_rows(spark, [{"key": 1, "w": "sun"}, {"key": 2, "w": "rain"}])
-    by = {(r["axis"], r["value"]): r["value_"] for r in result.sliced(man).where("ord = 0").withColumnRenamed("value", "v").toDF("axis", "value", "ord", "metric", "iou", "area", "max_dets", "frequency", "value_").collect()}
+    by = {(r["axis"], r["value"]): r["result"] for r in result.sliced(man).where("ord = 0").collect()}
     assert by[("w", "sun")] == near(1.0) and by[("w", "rain")] == 0.0 and by[("overall", "all")] == near(result.stats()[0])
     assert result.metrics()["map"] == near(result.stats()[0]) and "mar_100" in result.metrics()
     assert result.text()[0].startswith(" Average Precision")
