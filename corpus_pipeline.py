@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: filter, deduplicate, decontaminate, pack.
 
 Each stage takes all that the one before has kept. Stages but the last return the columns of
-``documents``; the last returns the pieces of the packed sequences.
+``documents``; the last returns the pieces of the packed sequences. For all stages: a null text counts
+as empty, a row without a doc_id is a document like any other, repeated rows are judged alike, whole
+texts are read however long, further columns are carried along, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,27 +20,30 @@ END_ID = 1
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
+    """Documents that the compression classifier rejects go; equal texts stay or go together."""
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; equal texts stay or go together."""
     return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
+    """One row of each near-duplicate group stays, that of the smallest doc_id, or the first of equal ones.
+
+    Different texts of one doc_id both stay; texts without words are one group.
+    """
     return simhash.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; an empty benchmark takes none."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in packed sequences."""
+    """The pieces of all documents in packed sequences; an empty text is its end id alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
