@@ -250,7 +250,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     Returns ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids`` (little-endian unsigned
     32-bit). ``start`` counts the ids of all documents before it. The parts' counts and roots are
     recomputed from the documents' and held against the manifest at once, each document against its own
-    count and root as it is rebuilt.
+    count and root as it is rebuilt. Rows are as they were written: repeated ones repeat, those with a null
+    doc_id come first, an empty text is its end id; a store of an empty table gives no rows.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = spark.read.parquet(f"{path}/recipes")

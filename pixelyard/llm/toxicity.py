@@ -97,8 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with the column ``score``: nearer to 1, the label 1 is likelier.
 
-    A null or empty text has the score of the bias alone. All columns and rows stay; a column of that
-    name is replaced.
+    A null or empty text has the score of the bias alone. All columns and rows stay, also repeated ones
+    and those without a doc_id; an empty table stays empty; a column of that name is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score")
@@ -115,7 +115,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose scores stay under a half; all columns stay, whatever their names."""
+    """The rows of ``docs`` whose scores stay under a half; all columns stay, whatever their names.
+
+    Rows with equal texts, null and empty ones included, stay or go together; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
     made: list[np.ndarray] = []
@@ -129,6 +132,10 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of each row of ``docs``."""
+    """``doc_id, held_out, score, predicted`` of each row of ``docs``.
+
+    Every row counts, also repeated ones, null and empty texts and those without a doc_id (held out: the
+    checksum of an empty text is 0). Without labels all rows have an even score; an empty table gives no rows.
+    """
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
