@@ -5,7 +5,7 @@ vector of transformed rates. For every (language, source) the minimum covariance
 sought by concentration steps: the mean and covariance of the six tenths of the rows with the
 smallest distances, again and again. They begin from three estimates (medians and median deviations;
 mean and covariance; the correlation of squashed entries); after ``FIRST_STEPS`` steps the start with
-the smallest determinant goes on until the group's determinant settles. The covariance is scaled to be right
+the smallest determinant goes on while the group's determinant falls. The covariance is scaled to be right
 for normal rows and widened by a tolerance. A document goes if its squared Mahalanobis distance from
 its group's estimate is over ``CUTOFF``, which one normal row in 10 ** 10 exceeds. An estimate needs
 ``LEAST`` rows: a group of fewer uses its language's, and a language of fewer that of all rows, so a
@@ -33,7 +33,7 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 LEAST = 100
 #: Share of the rows whose covariance determinant is minimised.
 KEPT_SHARE = 0.6
-#: Steps from every start; the best one goes on until its determinant's logarithm moves by at most ``SETTLED``.
+#: Steps from every start; the best one goes on while its determinant's logarithm falls by more than ``SETTLED``.
 FIRST_STEPS, MOST_STEPS, SETTLED = 2, 30, 1e-3
 #: Groups whose rows (some 200 bytes each, one a start) are sent to every task; more are joined by key.
 FEW_GROUPS = 50_000
@@ -63,14 +63,16 @@ LOWER = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _runs(h: Column) -> Column:
-    """The hash of each run of ``WINDOW`` consecutive hashes: of two, then of two such, and so on."""
-    n, step = F.size(h), 1
-    runs = h
+def _runs(out: DataFrame) -> DataFrame:
+    """``h``, the hash of each run of ``WINDOW`` consecutive ones of ``h``: of two, then of two such, and so on.
+
+    Each is a column of its own, so that it is computed once.
+    """
+    n, step = F.size("h"), 1
     while step < WINDOW:
-        runs = F.zip_with(runs, F.slice(runs, step + 1, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
+        out = out.withColumn("h", F.zip_with("h", F.slice("h", step + 1, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    return F.when(n >= WINDOW, F.slice(runs, 1, F.greatest(n - WINDOW + 1, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    return out.withColumn("h", F.when(n >= WINDOW, F.slice("h", 1, F.greatest(n - WINDOW + 1, F.lit(1)))).otherwise(F.array().cast("array<bigint>")))
 
 
 def _twice(pairs: Column) -> Column:
@@ -95,7 +97,7 @@ def counts(docs: DataFrame) -> DataFrame:
             "h": F.transform("w", lambda x: F.xxhash64(x)),  # a word's hash, once
         }
     )
-    out = out.withColumns({"n_dup_lines": (F.size("l") - F.size(F.array_distinct("l"))).cast("long"), "h": _runs(F.col("h"))}).drop("text", "l")
+    out = _runs(out.withColumn("n_dup_lines", (F.size("l") - F.size(F.array_distinct("l"))).cast("long")).drop("text", "l"))
     # most texts repeat no window; only the others sort theirs
     out = out.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).drop("h")
     out = out.withColumn("s", _twice(F.col("s")))
@@ -197,7 +199,7 @@ def estimates(rows: DataFrame, few: bool) -> DataFrame:
     settled = group.where(F.lit(False))
     for _ in range(MOST_STEPS):  # a group that has settled is done, whatever the others do
         before = group.select("g", F.col("det").alias("before"))
-        after = scratch.stage(_step(rows, group, few).join(before, "g").withColumn("moves", F.abs(F.col("det") - F.col("before")) > SETTLED).drop("before"), "step")
+        after = scratch.stage(_step(rows, group, few).join(before, "g").withColumn("moves", F.col("before") - F.col("det") > SETTLED).drop("before"), "step")
         settled, group = settled.unionByName(after.where(~F.col("moves")).drop("moves")), after.where("moves").drop("moves")
         if group.isEmpty():
             break
