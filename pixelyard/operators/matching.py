@@ -1,9 +1,9 @@
 """Greedy matching of detections to ground truth, cell by cell.
 
-A cell is an image and a category. Similarities come from an equi-join on the cell, below the least
-threshold they are dropped inside it. One Arrow pass over flat rows, cell after cell, does the rest: a
-detection with one candidate that no other wants is settled by array arithmetic, for all thresholds and
-area ranges at once; only the detections that compete run the sequential part.
+A cell is an image and a category. One Arrow pass over flat rows, many whole cells at once, finds the
+pairs of boxes by array arithmetic and settles detections level by level: those that compete for no
+ground truth pick together, for all thresholds. Pairs of other similarities come from an equi-join on
+the cell; below the least threshold they are dropped inside it.
 
 The result, ``matches``, has a row per detection that is within the cap:
 ``image_id, category_id, dt_id, score, area, rank`` and, by area range, ``matched`` and ``ignored``
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelyard.functions.geometry import box_iou, met_iou, overlapping
+from pixelyard.operators import pairing
 from pixelyard.plans.params import Params
 from pixelyard.workers import ship
 
@@ -134,110 +135,82 @@ def edges_by_place(dts: list[dict], edges: list[dict] | None) -> list[list[tuple
 
 
 _FLAT = ["image_id", "category_id", "rank", "dt_id", "score", "area", "open", "g_ord", "ann_id", "g_area", "ign", "crowd", "iou"]
+_SIDES = ("x", "y", "w", "h")
+
+
+def plain_boxes(least: float, similarity: Callable | None) -> bool:
+    """Whether the similarity is that of boxes, at a threshold that only overlapping ones reach."""
+    return least > 0 and (similarity is None or similarity is bbox_similarity)
 
 
 def candidates(gt: DataFrame, dt: DataFrame, least: float, similarity: Callable | None = None) -> DataFrame:
-    """``_FLAT`` rows: each detection with each of its candidates, or once with nulls; ``n`` counts the cell's rows.
+    """Rows of ``dt`` and, by their ``ann_id``, of what may match them, numbered within the cell by ``place``.
 
-    The count also keeps every cell in one partition, row next to row.
+    For boxes these are the cell's rows of ``gt``, whose pairs the Arrow pass finds; other similarities
+    give a row a pair at ``least`` or more, with its ``rank`` and ``iou``. The numbers also keep every
+    cell in one partition, row next to row.
     """
-    d = dt.withColumn("open", F.coalesce("open", F.lit(False)) if "open" in dt.columns else F.lit(False))
-    score = similarity or bbox_similarity
-    if getattr(score, "met", None) is not None and least > 0:
-        g = gt.select(*CELL, F.struct("bbox", F.coalesce("iscrowd", F.lit(False)).alias("iscrowd"), F.col("ord").alias("g_ord"), "ann_id", F.col("area").alias("g_area"), "ign").alias("g"))
-        d = d.select(*CELL, "rank", "dt_id", "score", "area", "open", F.struct("bbox").alias("d"))
-        near = overlapping(F.col("g.bbox"), F.col("d.bbox")) & (score.met(F.col("g"), F.col("d")) >= least)
-        met = d.join(g, (d["image_id"] == g["image_id"]) & (d["category_id"] == g["category_id"]) & near, "left")
-        iou = F.when(F.col("g").isNotNull(), score.met(F.col("g"), F.col("d")))
-        rows = met.select(d["image_id"], d["category_id"], "rank", "dt_id", "score", "area", "open", "g.g_ord", "g.ann_id", "g.g_area", "g.ign", F.col("g.iscrowd").alias("crowd"), iou.alias("iou"))
-    else:  # a similarity that isn't a plain expression can't stand in a join's condition
-        edge = scored_pairs(gt, dt, least, similarity).select(*CELL, "rank", "dt_id", "edge.*")
-        alone = d.select(*CELL, "rank", "dt_id", "score", "area", "open")
-        rows = alone.unionByName(edge, allowMissingColumns=True)
-    return rows.select(*_FLAT, F.count(F.lit(1)).over(Window.partitionBy(*CELL)).alias("n"))
-
-
-def _settle(x: dict[str, np.ndarray], seeds: tuple[float, ...], areas: list[tuple[float, float]]) -> pa.RecordBatch:
+    is_open = F.coalesce("open", F.lit(False)) if "open" in dt.columns else F.lit(False)
+    own = dt.select(*CELL, "rank", "dt_id", "score", "area", is_open.alias("open"), *([F.col("bbox")[c].alias(c) for c in _SIDES] if plain_boxes(least, similarity) else []))
+    if plain_boxes(least, similarity):
+        crowd = F.coalesce("iscrowd", F.lit(False)).alias("crowd")
+        other = gt.select(*CELL, F.col("ord").alias("g_ord"), "ann_id", F.col("area").alias("g_area"), "ign", crowd, *[F.col("bbox")[c].alias(c) for c in _SIDES])
+    else:
+        other = scored_pairs(gt, dt, least, similarity).select(*CELL, "rank", "dt_id", "edge.*")
+    known = F.col("image_id").isNotNull() & F.col("category_id").isNotNull() & F.col("ann_id").isNotNull()  # nulls match nothing
+    rows = own.unionByName(other.where(known), allowMissingColumns=True)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*CELL).orderBy("rank")))
+
+
+def _edges(x: dict[str, np.ndarray], d: dict[str, np.ndarray], cell: np.ndarray, d_cell: np.ndarray, least: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The candidates of the detections ``d``, and the place of each one's detection in ``d``."""
+    e = {c: v[x["has"]] for c, v in x.items()}
+    if "x" in x:
+        det, at, iou, _ = pairing.meeting(d_cell, tuple(d[c] for c in _SIDES), cell[x["has"]], tuple(e[c] for c in _SIDES), e["crowd"], least)
+        return {c: e[c][at] for c in ("g_ord", "ann_id", "g_area", "ign", "crowd")} | {"iou": iou}, det
+    ranks = int(x["rank"].max(initial=0)) + 1
+    return e, np.searchsorted(d_cell * ranks + d["rank"], cell[x["has"]] * ranks + e["rank"])
+
+
+def _settle(batch: pa.RecordBatch, seeds: tuple[float, ...], areas: list[tuple[float, float]]) -> pa.RecordBatch:
     """``matches`` of the rows of whole cells."""
+    x = _arrays(batch)
     n_t, n_a, full = len(seeds), len(areas), (1 << len(seeds)) - 1
-    same = lambda *columns: np.all([x[c][1:] == x[c][:-1] for c in columns], axis=0)
-    cell = np.append(0, np.cumsum(~same(*CELL)))
-    if (np.bincount(cell) != x["n"][np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))]).any():
-        raise RuntimeError("a cell's rows aren't together")
-    order = np.lexsort((x["has"], x["rank"], cell))  # a detection's own row, if it has one, before its candidates
-    x, cell = {k: v[order] for k, v in x.items()}, cell[order]
-    head = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (x["rank"][1:] != x["rank"][:-1])))
-    det = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(cell))))
-    edge = np.flatnonzero(x["has"])
-    wanted = np.bincount(det[edge], minlength=len(head))
-    by_gt = edge[np.lexsort((x["ann_id"][edge], cell[edge]))]
-    starts = np.flatnonzero(np.append(True, (cell[by_gt][1:] != cell[by_gt][:-1]) | (x["ann_id"][by_gt][1:] != x["ann_id"][by_gt][:-1]))) if len(by_gt) else np.zeros(0, dtype=np.int64)
-    suitors = np.zeros(len(cell), dtype=np.int64)
-    suitors[by_gt] = np.repeat(np.diff(np.append(starts, len(by_gt))), np.diff(np.append(starts, len(by_gt)))) if len(by_gt) else 0
-    alone = (wanted[det[edge]] == 1) & (x["crowd"][edge] | (suitors[edge] == 1))
-
-    hits, igns = np.zeros((len(head), n_a), dtype=np.int64), np.zeros((len(head), n_a), dtype=np.int64)
-    ids, known = np.zeros((len(head), n_a, n_t), dtype=np.int64), np.zeros((len(head), n_a, n_t), dtype=bool)
+    cell = pairing.numbered(x, CELL)
+    heads = np.flatnonzero(~x["has"])
+    heads = heads[np.lexsort((x["rank"][heads], cell[heads]))]
+    d, d_cell = {c: v[heads] for c, v in x.items()}, cell[heads]
+    e, det = _edges(x, d, cell, d_cell, min(seeds))
+    codes = np.unique(e["ann_id"], return_inverse=True)[1]
+    gt = np.unique(d_cell[det] * (len(codes) + 1) + codes, return_inverse=True)[1]
+    picks = pairing.Picks(len(heads), det, gt, e["g_ord"], e["crowd"], e["iou"])
     lo, hi = np.array(areas).T
     out_of = lambda size: ~((size[:, None] >= lo) & (size[:, None] <= hi))  # noqa: E731  a null or NaN size is in no range
 
-    own = edge[alone]
-    reached = np.searchsorted(np.array(seeds), x["iou"][own], side="right")
-    bits = (np.int64(1) << reached) - 1
-    hits[det[own]] = bits[:, None]
-    igns[det[own]] = np.where(x["ign"][own][:, None] | out_of(x["g_area"][own]), bits[:, None], 0)
-    known[det[own]] = (np.arange(n_t) < reached[:, None])[:, None, :]
-    ids[det[own]] = x["ann_id"][own][:, None, None]
-
-    rest = edge[~alone]
-    if len(rest):
-        columns = [x[c][rest].tolist() for c in ("g_ord", "ann_id", "g_area", "ign", "crowd", "iou")]
-        every, of, at = list(zip(*columns, strict=True)), det[rest].tolist(), cell[rest].tolist()
-        i = 0
-        while i < len(every):
-            j, dets, edges = i, [], []
-            while j < len(every) and at[j] == at[i]:
-                if not dets or dets[-1] != of[j]:
-                    dets.append(of[j])
-                    edges.append([])
-                edges[-1].append(every[j])
-                j += 1
-            done: dict[tuple, int] = {}
-            for a, (low, high) in enumerate(areas):
-                off = lambda e, low=low, high=high: e[3] or not low <= e[2] <= high
-                key = tuple(off(e) for e in every[i:j])
-                if key in done:
-                    for c in (hits, igns, ids, known):
-                        c[dets, a] = c[dets, done[key]]
-                    continue
-                done[key] = a
-                for t, taken in enumerate(greedy(edges, seeds, off)):
-                    for d, pick in zip(dets, taken, strict=True):
-                        if pick is not None:
-                            hits[d, a] |= 1 << t
-                            igns[d, a] |= off(pick) << t
-                            ids[d, a, t], known[d, a, t] = pick[1], True
-            i = j
-    outside = out_of(x["area"][head]) | x["open"][head][:, None]
+    off, outside, bits = e["ign"][:, None] | out_of(e["g_area"]), out_of(d["area"]) | d["open"][:, None], np.int64(1) << np.arange(n_t)
+    hits, igns = np.zeros((len(heads), n_a), dtype=np.int64), np.zeros((len(heads), n_a), dtype=np.int64)
+    ids, known = np.zeros((len(heads), n_a, n_t), dtype=np.int64), np.zeros((len(heads), n_a, n_t), dtype=bool)
+    for a in range(n_a):
+        edge = picks.of(np.array(seeds), off[:, a])
+        known[:, a] = edge >= 0
+        hits[:, a] = known[:, a] @ bits
+        if len(det):
+            igns[:, a] = (known[:, a] & off[edge, a]) @ bits
+            ids[:, a] = e["ann_id"][edge]
     igns |= np.where(outside, full & ~hits, 0)
     some = hits.ravel() > 0
     ends = np.append(0, np.cumsum(some * n_t)).astype(np.int32)
     inner = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~some, False)), pa.array(ids.reshape(-1, n_t)[some].ravel(), mask=~known.reshape(-1, n_t)[some].ravel()))
-    by_area = pa.array(np.arange(0, len(head) * n_a + 1, n_a, dtype=np.int32))
+    by_area = pa.array(np.arange(0, len(heads) * n_a + 1, n_a, dtype=np.int32))
     lists = [pa.ListArray.from_arrays(by_area, c) for c in (pa.array(hits.ravel()), pa.array(igns.ravel()), inner)]
-    area = x["area"][head]
-    plain = [pa.array(x[c][head]) for c in ("image_id", "category_id", "dt_id", "score")] + [pa.array(area, mask=np.isnan(area)), pa.array(x["rank"][head].astype(np.int32))]
-    return pa.RecordBatch.from_arrays([*plain, *lists], names=["image_id", "category_id", "dt_id", "score", "area", "rank", "matched", "ignored", "gts"])
+    names = ["image_id", "category_id", "dt_id", "score", "area", "rank"]
+    plain = batch.select(names).take(pa.array(heads)).columns
+    return pa.RecordBatch.from_arrays([*plain, *lists], names=[*names, "matched", "ignored", "gts"])
 
 
 def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """The columns as numpy arrays; ``has`` tells rows with a candidate, whose columns are 0 or NaN elsewhere."""
-    out = {"has": batch["ann_id"].is_valid().to_numpy(zero_copy_only=False)}
-    for name in [*_FLAT, "n"]:
-        column = batch[name]
-        blank = float("nan") if pa.types.is_floating(column.type) else False if pa.types.is_boolean(column.type) else 0
-        out[name] = column.fill_null(blank).to_numpy(zero_copy_only=False)
-    return out
+    """The columns as numpy arrays; ``has`` tells rows with an ``ann_id``, whose columns are 0 or NaN elsewhere."""
+    return pairing.arrays(batch) | {"has": batch["ann_id"].is_valid().to_numpy(zero_copy_only=False)}
 
 
 def match(gt: DataFrame, dt: DataFrame, params: Params, similarity: Callable | None = None, exhaustive: DataFrame | None = None) -> DataFrame:
@@ -250,30 +223,11 @@ def match(gt: DataFrame, dt: DataFrame, params: Params, similarity: Callable | N
     if exhaustive is not None:
         dt = dt.join(exhaustive.select(*CELL).distinct().withColumn("open", F.lit(True)), CELL, "left")
     rows = candidates(gt, dt, min(seeds), similarity)
+    at_once = min(pairing.CHUNK_ROWS, pairing.CHUNK_ROWS * 40 // (len(seeds) * len(areas)))
 
     def run(batches):
-        kept, lacking = [], 0  # the beginning of a cell whose end comes with later batches
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kept.append(batch)
-            n = batch.num_rows
-            if lacking >= n:
-                lacking -= n
-                if lacking:
-                    continue
-                whole = n
-            else:
-                at = lacking
-                sizes = batch["n"].to_numpy()
-                while at < n:
-                    whole, at = at, at + int(sizes[at])
-                whole, lacking = (n, 0) if at == n else (whole, at - n)
-            ready = [*kept[:-1], batch.slice(0, whole)]
-            kept = [batch.slice(whole)] if whole < n else []
-            ready = [b for b in ready if b.num_rows]
-            if ready:
-                yield _settle(_arrays(pa.Table.from_batches(ready).combine_chunks().to_batches()[0]), seeds, areas)
+        for batch in pairing.whole_cells(batches, at_once):
+            yield _settle(batch, seeds, areas)
 
     return rows.mapInArrow(run, MATCHES)
 
