@@ -175,7 +175,7 @@ def steps(matches: DataFrame, npig: DataFrame, params: Params, extra: list[str]
     extra = extra or []
     lane, keys = [*extra, *LANE], [*extra, "category_id"]
     if split is None:
-        matches = matches.persist()  # the largest key is counted first
+        matches = matches.select(*keys, "image_id", "rank", "score", "matched", "ignored").persist()  # the largest key is counted first
         split = bool(matches.groupBy(*keys).count().where(F.col("count") > SPLIT_ROWS).take(1))
     if split:
         known = npig.where(F.col("npig") > 0).select(*extra, "category_id", "area_idx", "npig")

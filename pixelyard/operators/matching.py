@@ -135,7 +135,7 @@ def edges_by_place(dts: list[dict], edges: list[dict] | None) -> list[list[tuple
 
 
 _FLAT = ["image_id", "category_id", "rank", "dt_id", "score", "area", "open", "g_ord", "ann_id", "g_area", "ign", "crowd", "iou"]
-_SIDES = ("x", "y", "w", "h")
+SIDES = ("x", "y", "w", "h")
 
 
 def plain_boxes(least: float, similarity: Callable | None) -> bool:
@@ -151,10 +151,10 @@ def candidates(gt: DataFrame, dt: DataFrame, least: float, similarity: Callable
     cell in one partition, row next to row.
     """
     is_open = F.coalesce("open", F.lit(False)) if "open" in dt.columns else F.lit(False)
-    own = dt.select(*CELL, "rank", "dt_id", "score", "area", is_open.alias("open"), *([F.col("bbox")[c].alias(c) for c in _SIDES] if plain_boxes(least, similarity) else []))
+    own = dt.select(*CELL, "rank", "dt_id", "score", "area", is_open.alias("open"), *([F.col("bbox")[c].alias(c) for c in SIDES] if plain_boxes(least, similarity) else []))
     if plain_boxes(least, similarity):
         crowd = F.coalesce("iscrowd", F.lit(False)).alias("crowd")
-        other = gt.select(*CELL, F.col("ord").alias("g_ord"), "ann_id", F.col("area").alias("g_area"), "ign", crowd, *[F.col("bbox")[c].alias(c) for c in _SIDES])
+        other = gt.select(*CELL, F.col("ord").alias("g_ord"), "ann_id", F.col("area").alias("g_area"), "ign", crowd, *[F.col("bbox")[c].alias(c) for c in SIDES])
     else:
         other = scored_pairs(gt, dt, least, similarity).select(*CELL, "rank", "dt_id", "edge.*")
     known = F.col("image_id").isNotNull() & F.col("category_id").isNotNull() & F.col("ann_id").isNotNull()  # nulls match nothing
@@ -166,7 +166,7 @@ def _edges(x: dict[str, np.ndarray], d: dict[str, np.ndarray], cell: np.ndarray,
     """The candidates of the detections ``d``, and the place of each one's detection in ``d``."""
     e = {c: v[x["has"]] for c, v in x.items()}
     if "x" in x:
-        det, at, iou, _ = pairing.meeting(d_cell, tuple(d[c] for c in _SIDES), cell[x["has"]], tuple(e[c] for c in _SIDES), e["crowd"], least)
+        det, at, iou, _ = pairing.meeting(d_cell, tuple(d[c] for c in SIDES), cell[x["has"]], tuple(e[c] for c in SIDES), e["crowd"], least)
         return {c: e[c][at] for c in ("g_ord", "ann_id", "g_area", "ign", "crowd")} | {"iou": iou}, det
     ranks = int(x["rank"].max(initial=0)) + 1
     return e, np.searchsorted(d_cell * ranks + d["rank"], cell[x["has"]] * ranks + e["rank"])

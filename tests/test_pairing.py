@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelyard.functions.geometry import box
-from pixelyard.operators import matching, pairing
+from pixelyard.operators import diagnostics, matching, pairing
 from pixelyard.plans.params import Params
 
 
@@ -85,3 +85,39 @@ def test_nulls_match_nothing(spark):
     gt, dt = frames(spark, [(1, None, (0.0, 0.0, 9.0, 9.0), False, False), (2, 0, (0.0, 0.0, 9.0, 9.0), False, False)], [(1, None, (0.0, 0.0, 9.0, 9.0), 0.9), (2, 0, (0.0, 0.0, 9.0, 9.0), 0.9)])
     rows = {r["dt_id"]: r for r in matching.match(gt, matching.top_k(dt, 100), Params()).collect()}
     assert rows[1]["image_id"] is None and rows[1]["matched"][0] == 0 and rows[2]["matched"][0] == 1023
+
+
+def test_error_types_are_told_apart_without_a_join(spark):
+    """Every pair of an image went through a join's condition; plain loops say what the types are."""
+    rng = random.Random(3)
+    gts, dets = crowded(rng, 4, 160, 160)
+    gts = [g[:4] + (g[3] or g[4],) for g in gts]
+    gt, dt = frames(spark, gts, dets)
+    gt, dt = gt.withColumn("category_id", F.col("ann_id") % 3), dt.withColumn("category_id", F.expr("int(dt_id / 4) % 3").cast("long"))
+    dt = dt.withColumn("category_id", F.when(F.col("dt_id") == 7, F.lit(None)).otherwise(F.col("category_id")))
+    bins, missed = diagnostics.tide_bins(gt, dt, max_dets=30)
+    assert "Join" not in bins._jdf.queryExecution().executedPlan().toString()
+    got = {r["dt_id"]: r for r in bins.collect()}
+    want = {}
+    for image in range(4):
+        best = sorted((d for d in dets if d[1] == image), key=lambda d: (-d[3], d[0]))[:30]
+        own = [g for g in gts if g[1] == image]
+        category = {d[0]: None if d[0] == 7 else d[0] // 4 % 3 for d in best}
+        for k in (None, 0, 1, 2):
+            mine = [d for d in best if category[d[0]] == k]
+            edges = [[(g[0], g[0], 0.0, g[4], g[3], v) for g in own if g[0] % 3 == k and (v := iou(g[2], d[2], False)) >= 0.5] for d in mine]
+            (picks,) = matching.greedy(edges, (0.5,), lambda e: e[3])
+            for d, pick in zip(mine, picks):
+                value = lambda same: max(((iou(g[2], d[2], g[3]), -g[0]) for g in own if k is not None and (g[0] % 3 == k) == same), default=(0.0, 0))
+                (s, s_id), (c, c_id) = value(True), value(False)
+                if pick:
+                    want[d[0]] = ("ignore" if pick[3] else "tp", pick[1], 0.0, 0.0)
+                elif s >= 0.5 or c >= 0.5:
+                    want[d[0]] = ("dupe", -s_id, s, c) if s >= 0.5 else ("cls", -c_id, s, c)
+                elif max(s, c) >= 0.1:
+                    want[d[0]] = ("loc", -s_id, s, c) if s >= c else ("both", -c_id, s, c)
+                else:
+                    want[d[0]] = ("bkg", None, s, c)
+    assert {i: (r["bin"], r["target"], r["iou_same"], r["iou_cross"]) for i, r in got.items()} == want and len({w[0] for w in want.values()}) >= 6
+    hit = {w[1] for w in want.values() if w[0] == "tp"}
+    assert sorted(r["ann_id"] for r in missed.collect()) == sorted(g[0] for g in gts if not g[4] and g[0] not in hit)
