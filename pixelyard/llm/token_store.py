@@ -35,6 +35,8 @@ _MASK = np.uint64(MEAN - 1)
 #: The part number of the manifest's row for the whole store.
 WHOLE = -1
 _WINDOW_STEPS = (1, 2, 4, 8)
+#: Ids whose rolling hashes are computed at once.
+BLOCK_IDS = 1 << 16
 #: A chunk that over one in so many places of the store asks for is handed to all tasks: at most as many
 #: chunks of at most ``MOST`` ids, 32 MB; the others' rows are joined by name.
 HOT_SHARE = 1000
@@ -42,14 +44,26 @@ HOT_SHARE = 1000
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """At each place a hash of the 16 ids that end there (fewer near the start)."""
-    r = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    r = ids.astype(np.uint64)
+    r += np.uint64(1)
+    r *= np.uint64(0x9E3779B97F4A7C15)
     r ^= r >> np.uint64(29)
     for step in _WINDOW_STEPS:
-        shifted = r.copy()
-        shifted[step:] += r[:-step] << np.uint64(step) if len(r) > step else r[:0]
-        r = shifted
+        r[step:] += r[:-step] << np.uint64(step)
     r *= np.uint64(0xD6E8FEB86659FD93)
-    return r >> np.uint64(40)
+    r >>= np.uint64(40)
+    return r
+
+
+def asked(ids: np.ndarray, block: int = BLOCK_IDS) -> np.ndarray:
+    """The places whose ``rolling`` hash asks for a cut, computed a block at a time, which stays in the processor's cache."""
+    before = sum(_WINDOW_STEPS)
+    found = [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(ids), block):
+        start = max(0, at - before)
+        places = np.flatnonzero((rolling(ids[start : at + block]) & _MASK) == 0) + start
+        found.append(places[places >= at])
+    return np.concatenate(found)
 
 
 def cuts(places: np.ndarray, n: int) -> list[int]:
@@ -116,7 +130,7 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFram
         counts = np.array([len(x) // 4 for x in encoded])
         flat = np.frombuffer(b"".join(encoded), dtype="<u4")
         at = np.append(0, np.cumsum(counts))
-        places = np.flatnonzero((rolling(flat) & _MASK) == 0)
+        places = asked(flat)
         bounds = np.searchsorted(places, at)
         narrow = flat.astype(kind).tobytes()
         size = np.dtype(kind).itemsize

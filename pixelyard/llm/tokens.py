@@ -31,8 +31,8 @@ UNPROVEN = "[^\\x00-\\x{24F}]|\\x{130}|<\\|"
 MARKS = "!#$%&*+,-./:;=?@|~)"
 #: Letters up to here have one form only, so that a word of them goes straight to the model.
 PLAIN = chr(0x17F)
-#: Known keys of a worker, some 20 MB with their ids. When there are more, it starts again with the first ones.
-CACHE_KEYS, KEPT_KEYS = 500_000, 60_000
+#: Known keys of a worker, some 90 MB with their ids. When there are more, those looked up most often are kept.
+CACHE_KEYS, KEPT_KEYS = 500_000, 250_000
 #: Bytes of text that are encoded at once; what lies between text and ids is some thirty times as large.
 PART_BYTES = 4 << 20
 
@@ -52,8 +52,9 @@ class Encoder:
 
     Keys: a run of letters stands for itself after a blank (byte-level BPE) or alone (tokenizers that drop
     white space). In byte-level BPE any other key stands for itself after a blank too, but for one that
-    starts with a line end (itself) or a NUL (the rest of it). The ids of known keys lie end to end in
-    ``pool``; looking up a batch's different keys is one Arrow call.
+    starts with a line end (itself) or a NUL (the rest of it). ``places`` has each known key's place in
+    ``ids``, its ids, and in ``hits``, how many parts had it. Laying the ids of a part's words end to end
+    is one Arrow call.
     """
 
     def __init__(self, path: str):
@@ -61,20 +62,20 @@ class Encoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.drops_white = not self.tokenizer.encode(" \n ", add_special_tokens=False).ids
         self.line_end = b"" if self.drops_white else self._full("\n")
-        self.keys = pa.array([""], pa.string())
-        self.ids = [b"" if self.drops_white else self._full(" ")]
-        self.pool, self.size = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int32)
-        self._pooled = 0
+        self.places = {"": 0}
+        self.ids = pa.array([b"" if self.drops_white else self._full(" ")], pa.binary())
+        self.hits = np.zeros(1, dtype=np.int32)
 
     def _full(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, word: str, blank: bool) -> bytes:
-        if max(word) > PLAIN or "\u0130" in word:
+        ascii_ = word.isascii()
+        if not ascii_ and (max(word) > PLAIN or "\u0130" in word):
             return self._full(" " + word if blank else word)
         if self.drops_white:
             word, blank = word.lower(), False
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        letters = word if ascii_ else word.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array("I", [x.id for x in self.tokenize(BYTE_LETTERS[32] + letters if blank else letters)]).tobytes()
 
     def _key(self, key: str) -> bytes:
@@ -95,26 +96,24 @@ class Encoder:
 
     def _find(self, keys: pa.Array) -> np.ndarray:
         """The places of ``keys``, which are all different, among the known ones; new ones are encoded."""
-        at = pc.index_in(keys, value_set=self.keys)
-        if at.null_count:
-            missing = keys.filter(pc.is_null(at))
-            self.ids += [self._key(x) for x in missing.to_numpy(zero_copy_only=False).tolist()]
-            places = at.to_numpy(zero_copy_only=False)
-            new = np.isnan(places)
-            places[new] = len(self.keys) + np.arange(len(missing))
-            self.keys = pa.concat_arrays([self.keys, missing])
-            return places.astype(np.int64)
-        return at.to_numpy().astype(np.int64)
-
-    def _refresh(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length in ``pool`` of each known key's ids."""
-        new = self.ids[self._pooled :]
-        if new:
-            self.pool = np.append(self.pool, np.frombuffer(b"".join(new), dtype="<u4"))
-            self.size = np.append(self.size, np.fromiter(map(len, new), dtype=np.int32, count=len(new)) >> 2)
-            self.ids[self._pooled :] = [None] * len(new)
-            self._pooled = len(self.ids)
-        return (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.int32), self.size
+        names, known = keys.to_numpy(zero_copy_only=False).tolist(), self.places
+        at = np.array([known.get(x, -1) for x in names], dtype=np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            missing = [names[i] for i in new.tolist()]
+            at[new] = len(known) + np.arange(len(new))
+            self.ids = pa.concat_arrays([self.ids, pa.array([self._key(x) for x in missing], pa.binary())])
+            self.hits = np.append(self.hits, np.zeros(len(new), dtype=np.int32))
+            known.update(zip(missing, at[new].tolist(), strict=True))
+        self.hits[at] += 1
+        return at
+
+    def _forget(self) -> None:
+        """Keep the first key, which stands for a blank alone, and those that most parts had."""
+        kept = np.append(0, 1 + np.sort(np.argpartition(-self.hits[1:], KEPT_KEYS)[:KEPT_KEYS]))
+        names = list(self.places)  # in the order of their places
+        self.places = {names[i]: place for place, i in enumerate(kept.tolist())}
+        self.ids, self.hits = self.ids.take(pa.array(kept)), self.hits[kept] >> 1
 
     def _cut(self, column: pa.Array) -> pa.ListArray:
         """The keys of texts that have no run of white space but single blanks and line ends."""
@@ -125,7 +124,7 @@ class Encoder:
     def _encode(self, cut: pa.ListArray) -> list[bytes]:
         """Each row's ids. A key is looked up once, however often it stands in the batch."""
         encoded = cut.flatten().dictionary_encode()
-        keys, index = encoded.dictionary, encoded.indices.to_numpy()
+        keys = encoded.dictionary
         stems = pc.utf8_rtrim(keys, characters=MARKS)
         alpha = pc.utf8_is_alpha(stems)
         # a word and the marks after it are two keys: the patterns part them
@@ -135,20 +134,19 @@ class Encoder:
             stems = pc.if_else(alpha, pc.ascii_lower(stems), stems)
         else:
             tails = pc.binary_join_element_wise("\0", tails, "")
-        heads = pc.if_else(alpha, stems, keys).dictionary_encode()
-        tails = tails.dictionary_encode()
-        first = self._find(heads.dictionary)[heads.indices.to_numpy()]
-        second = np.full(len(keys), -1)
-        second[marked.to_numpy(zero_copy_only=False)] = self._find(tails.dictionary)[tails.indices.to_numpy()]
-        start, size = self._refresh()
-        size2 = np.append(size, 0)  # place -1: nothing
-        both = np.stack([first, second], axis=1)[index].ravel()
-        n = size2[both]
-        at = np.append(0, np.cumsum(n, dtype=np.int64))
-        gaps = start[both] - at[:-1].astype(np.int32)
-        ids = self.pool[np.repeat(gaps, n) + np.arange(at[-1], dtype=np.int32)].tobytes()
-        ends = 4 * at[2 * (cut.offsets.to_numpy() - cut.offsets[0].as_py())]
-        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        both = pa.concat_arrays([pc.if_else(alpha, stems, keys), tails]).dictionary_encode()
+        places = self._find(both.dictionary)
+        found = self.ids.take(pa.array(places)).take(both.indices)
+        heads, tails = found.slice(0, len(keys)), found.slice(len(keys))
+        after = np.cumsum(marked.to_numpy(zero_copy_only=False)) - 1
+        tails = tails.take(pc.if_else(marked, pa.array(after), None))
+        of_key = pc.binary_join_element_wise(heads, tails, b"", null_handling="replace", null_replacement=b"")
+        ids = of_key.cast(pa.large_binary()).take(encoded.indices)
+        _, offsets, values = ids.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64, count=len(ids) + 1)
+        ends = at[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        values = memoryview(values or b"")
+        return [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; null counts as empty."""
@@ -163,10 +161,8 @@ class Encoder:
         return out
 
     def _encode_part(self, texts: pa.Array) -> list[bytes]:
-        if len(self.keys) > CACHE_KEYS:
-            self._refresh()
-            self.keys, self.ids, self.size = pa.concat_arrays([self.keys[:KEPT_KEYS]]), self.ids[:KEPT_KEYS], self.size[:KEPT_KEYS].copy()
-            self.pool, self._pooled = self.pool[: int(self.size.sum())].copy(), KEPT_KEYS
+        if len(self.places) > CACHE_KEYS:
+            self._forget()
         collects = gc.isenabled()
         gc.disable()  # lists of strings hold no cycles, and there are very many of them
         try:

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from pixelyard.llm import components, decontamination, html_pages, html_text, licenses, packing, quality, quality_rules, simhash, textvec, token_store, toxicity, url_filter
+from pixelyard.llm import components, decontamination, html_pages, html_text, licenses, packing, quality, quality_rules, simhash, textvec, token_store, tokens, toxicity, url_filter
 from pixelyard.llm.tokens import Encoder
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -664,6 +664,24 @@ def test_encoder_on_odd_strings(path):
             assert np.frombuffer(ids, "<u4").tolist() == expected.ids, text
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_keeps_the_words_that_most_texts_have(path, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_KEYS", 400)
+    monkeypatch.setattr(tokens, "KEPT_KEYS", 200)
+    rng = random.Random(12)
+    whole, ours = Tokenizer.from_file(path), Encoder(path)
+    asked, key = [], ours._key
+    monkeypatch.setattr(ours, "_key", lambda x: asked.append(x) or key(x))
+    word = lambda: "".join(rng.choice("abcdefghijé") for _ in range(9))
+    common = [word() for _ in range(50)]
+    for part in range(12):
+        known = common if part else []  # the first keys are not the common ones
+        words = [*(word() for _ in range(150)), *known, *(x + ".," for x in known)]
+        text = "1 " + " ".join(rng.sample(words, len(words)))
+        assert np.frombuffer(ours.encode(pa.array([text]))[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert [asked.count(x) for x in common] == [1] * 50
+
+
 def encoded(path, end):
     t = Tokenizer.from_file(path)
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], dtype="<u4").tobytes() for _, x in DOCS]
@@ -723,6 +741,14 @@ def test_cuts_are_found_again_after_an_insertion():
     assert len(a & b) > 0.9 * len(a)
 
 
+def test_cuts_by_blocks_are_those_of_the_whole_stream():
+    ids = np.random.default_rng(2).integers(0, 300, 20_000).astype("<u4")
+    for n in (0, 1, 16, 17, 20_000):
+        places = np.flatnonzero((token_store.rolling(ids[:n]) & token_store._MASK) == 0)
+        for block in (7, 16, 4096, token_store.BLOCK_IDS):
+            assert token_store.asked(ids[:n], block).tolist() == places.tolist()
+
+
 def test_packing(docs, empty):
     for group in (1 << 20, 2):
         out = packing.pack(docs, WORD, 1, group_pieces=group).collect()
