@@ -31,7 +31,7 @@ UNPROVEN = "[^\\x00-\\x{24F}]|\\x{130}|<\\|"
 MARKS = "!#$%&*+,-./:;=?@|~)"
 #: Letters up to here have one form only, so that a word of them goes straight to the model.
 PLAIN = chr(0x17F)
-#: Known keys of a worker, some 90 MB with their ids. When there are more, those looked up most often are kept.
+#: Known keys of a worker, an estimated 90 MB with their ids. When there are more, those looked up most often are kept.
 CACHE_KEYS, KEPT_KEYS = 500_000, 250_000
 #: Bytes of text that are encoded at once; what lies between text and ids is some thirty times as large.
 PART_BYTES = 4 << 20
